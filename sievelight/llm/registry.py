@@ -1,6 +1,7 @@
 """Queries of this subpackage and the SQL of those that SQL can express."""
 
+from .minhash import op5_minhash
 from .quality import op3_quality
 
-QUERIES = {"op3_quality": op3_quality}
+QUERIES = {"op3_quality": op3_quality, "op5_minhash": op5_minhash}
 SQL: dict[str, str] = {}
