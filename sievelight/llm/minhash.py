@@ -186,3 +186,25 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     name = unused(docs, "gone")
     gone = near_duplicates(docs).where("not kept").select(F.col("id").alias(name)).distinct()
     return docs.join(gone.hint("merge"), docs["doc_id"] == gone[name], "left_anti")
+
+
+#: The same in SQL: shared shingles are counted for all pairs, and the smallest id spreads along the links.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS found FROM w),
+n AS (SELECT doc_id, len(found)::BIGINT AS n, hash(list_sort(found)) AS h FROM s),
+r AS (SELECT n, h, min(doc_id) AS rep FROM n WHERE n > 0 GROUP BY ALL),
+m AS (SELECT n.doc_id, n.n, coalesce(r.rep, n.doc_id) AS rep FROM n LEFT JOIN r ON n.n = r.n AND n.h = r.h),
+x AS (SELECT s.doc_id, unnest(found) AS sh FROM s WHERE doc_id IN (SELECT rep FROM r)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+t AS (SELECT rep AS node, rep AS seen FROM r UNION SELECT e.b, t.seen FROM t JOIN e ON t.node = e.a AND t.seen < e.b),
+c AS (SELECT node, min(seen) AS component FROM t GROUP BY node)
+SELECT m.doc_id, m.n AS n_shingles, coalesce(c.component, m.doc_id) AS component_id,
+  m.doc_id = coalesce(c.component, m.doc_id) AS kept
+FROM m LEFT JOIN c ON m.rep = c.node
+"""

@@ -1,7 +1,8 @@
 """Queries of this subpackage and the SQL of those that SQL can express."""
 
-from .minhash import op5_minhash
+from .minhash import OP5_SQL, op5_minhash
+from .mixing import OP8_SQL, op8_mixing
 from .quality import op3_quality
 
-QUERIES = {"op3_quality": op3_quality, "op5_minhash": op5_minhash}
-SQL: dict[str, str] = {}
+QUERIES = {"op3_quality": op3_quality, "op5_minhash": op5_minhash, "op8_mixing": op8_mixing}
+SQL: dict[str, str] = {"op5_minhash": OP5_SQL, "op8_mixing": OP8_SQL}
