@@ -1,8 +1,20 @@
 """Queries of this subpackage and the SQL of those that SQL can express."""
 
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run
+
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import OP5_SQL, op5_minhash
 from .mixing import OP8_SQL, op8_mixing
+from .packing import op4_packing
 from .quality import op3_quality
 
-QUERIES = {"op3_quality": op3_quality, "op5_minhash": op5_minhash, "op8_mixing": op8_mixing}
-SQL: dict[str, str] = {"op5_minhash": OP5_SQL, "op8_mixing": OP8_SQL}
+QUERIES = {
+    "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
+    "op5_minhash": op5_minhash,
+    "op8_mixing": op8_mixing,
+    "op10_line_dedup": op10_line_dedup,
+    "pipeline": run,
+}
+SQL: dict[str, str] = {k: v for k, v in {"op5_minhash": OP5_SQL, "op8_mixing": OP8_SQL, "op10_line_dedup": OP10_SQL, "pipeline": PIPELINE_SQL}.items() if v}
