@@ -4,7 +4,9 @@ from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run
 
 from .fertility import op9_fertility
+
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .lm_score import op1_lm_score
 from .minhash import OP5_SQL, op5_minhash
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op4_packing
@@ -14,6 +16,7 @@ from .sstable import op6_sstable
 from .url_filter import op2_url_filter
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,

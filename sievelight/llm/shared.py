@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 #: One word, as the contracts of the queries define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: An odd factor of 64 bits.
+BASE = 0x9E3779B97F4A7C15
 #: Words whose hash a Python worker remembers; past it, hashes are computed anew.
 HASH_CACHE = 1_000_000
 
@@ -56,10 +58,10 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return hashes
     width = min(n, k)
-    value = np.full(n - width + 1, np.uint64(width))
-    for i in range(width):
-        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n - width + 1 + i])
-    return np.unique(value)
+    value = np.zeros(n - width + 1, np.uint64)
+    for i in range(width):  # one odd factor a place, so the order of words counts
+        value += hashes[i : n - width + 1 + i] * np.uint64((BASE * (2 * i + 1) ** 7) & (2**64 - 1))
+    return np.unique(mix(value + np.uint64(width)))
 
 
 def map_batches(df: DataFrame, each: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | dict | None]], schema: str | T.StructType) -> DataFrame:
@@ -120,6 +122,7 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    spark._jvm.System.gc()  # Spark deletes shuffle files once the driver has collected the plans that made them
     return out
 
 
@@ -134,3 +137,73 @@ def discard(df: DataFrame) -> None:
 def fold_of(column: str, parts: int) -> Column:
     """crc32 of an id as text, modulo parts; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+#: Bytes hashed at once, about; a longer run without white space is taken whole.
+BLOCK_BYTES = 1 << 21
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
+_LOWER += np.uint64(1)
+
+
+class FlatWords:
+    """Hashes all words of a column at once, with A-Z lowered: prefix sums of byte times power give each word's polynomial, which
+    is scrambled together with its length."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, BLOCK_BYTES + 2**16)
+            self.up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, BASE, np.uint64)])
+            self.down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, pow(BASE, -1, 2**64), np.uint64)])
+
+    def block(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self.powers(len(data))
+        total = np.cumsum(_LOWER[data] * self.up[: len(data)])
+        before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+        return mix((total[ends - 1] - before) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+    def __call__(self, column: pa.Array) -> "FlatTexts":
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        wide = pa.types.is_large_string(column.type)
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        word = np.r_[False, ~_SPACE[data], False]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        starts = np.flatnonzero(word[1:] & (~word[:-1] | edge) & np.r_[word[1:-1], False])
+        ends = np.flatnonzero(word[:-1] & (~word[1:] | edge))
+        hashes = np.empty(len(starts), np.uint64)
+        a = 0
+        while a < len(starts):
+            b = max(int(np.searchsorted(ends, starts[a] + BLOCK_BYTES, "right")), a + 1)
+            hashes[a:b] = self.block(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a])
+            a = b
+        return FlatTexts(data, offsets, starts, ends, hashes)
+
+
+class FlatTexts:
+    """Words of a column: hashes of all, and the place of each text among them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray):
+        self.data, self.offsets, self.starts, self.ends, self.hashes = data, offsets, starts, ends, hashes
+        self.bounds = np.searchsorted(starts, offsets)
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.hashes[self.bounds[k] : self.bounds[k + 1]]
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and line in it (from 0) of each word."""
+        breaks = np.flatnonzero(self.data == 10)
+        text = np.repeat(np.arange(len(self)), np.diff(self.bounds))
+        line = np.searchsorted(breaks, self.starts)
+        return text, line - np.searchsorted(breaks, self.offsets)[text]
