@@ -6,8 +6,9 @@ contiguous slices. Bands of ROWS coordinates put documents into buckets.
 
 No bucket is expanded into pairs. Documents with equal sets form a class first, and only class representatives have bands.
 Each bucket links its members to its smallest one; the distinct links are verified on full sets, and components follow. Only
-buckets that still hold several components are looked at again: members of different components, whose likeness by a 128-bit
-sketch is not far below the threshold, are verified too. Very full ones are first divided by a second band.
+buckets that still hold several components are looked at again, once for each different membership: inside such a bucket,
+members of different components whose signatures agree well enough are verified, nearest first, and united at once, so that
+members of one component are never compared. Only links that unite come out. Very full buckets are first divided by a second band.
 
 With 48 bands of 5, a pair at exactly 0.75 shares no bucket with probability 2e-6, and far less above.
 
@@ -16,8 +17,11 @@ with equal ids get the component of all their texts. Null ids are a node each an
 columns are neither read nor touched.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +30,11 @@ from .shared import WordHashes, lists, map_batches, mix, shingles, signed, table
 
 SHINGLE, THRESHOLD = 5, 75  # words, per cent
 CIRCLE_LOG2, BANDS, ROWS, SEED = 20, 48, 5, 11
-#: Members of a bucket past which pairs across its components must share a second band.
-FULL_BUCKET = 1_000
-#: Least share of equal sketch bits for a pair across components to be verified: at 0.75 the expected share is 0.875, six
-#: standard deviations higher.
-SKETCH_BITS, SKETCH_LEAST = 128, 90
+#: Members of an open bucket past which those to be compared must share a second band.
+FULL_BUCKET = 2_000
+#: Bytes of a signature that are kept, one a coordinate, and those that must agree for members of an open bucket to be verified:
+#: at 0.75, 276 are expected to, and 239 is 4.4 standard deviations below.
+SKETCH, SKETCH_LEAST = 368, 239
 
 
 class Circulant:
@@ -38,7 +42,7 @@ class Circulant:
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, k = bands, rows, bands * rows + SKETCH_BITS
+        self.bands, self.rows, k = bands, rows, max(bands * rows, SKETCH)
         pi = rng.permutation(1 << CIRCLE_LOG2).astype(np.int32)
         self.slices = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: k - 1]]), k)
         self.factor = rng.integers(1, 2**62, rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,24 +60,21 @@ class Circulant:
         rows = signature[: self.bands * self.rows].astype(np.uint64).reshape(self.bands, self.rows)
         return mix((mix(rows + np.uint64(1)) * self.factor).sum(1, dtype=np.uint64) + self.band)
 
-    def sketch(self, signature: np.ndarray) -> np.ndarray:
-        """One bit of each further coordinate, as two integers."""
-        bits = (mix(signature[self.bands * self.rows :].astype(np.uint64)) >> np.uint64(63)).astype(np.uint8)
-        return np.packbits(bits).view(np.uint64)
+    def sketch(self, signature: np.ndarray) -> bytes:
+        """One byte of each coordinate."""
+        return (mix(signature[:SKETCH].astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def set_hash(found: np.ndarray) -> tuple[int, int]:
     """128-bit hash of a set, by which equal sets meet."""
     if not len(found):
         return 0, 0
-    import xxhash
-
     value = xxhash.xxh3_128_intdigest(found.tobytes())
     return (value >> 64) - 2**63, (value & (2**64 - 1)) - 2**63
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, h1, h2, keys, s1, s2) of each document."""
+    """(id, n, h1, h2, keys, sketch) of each document."""
 
     def each():
         hashes, circulant = WordHashes(), Circulant(bands, rows)
@@ -90,14 +91,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
                     sketch.append(circulant.sketch(signature))
                 else:
                     keys.append(np.empty(0, np.uint64))
-                    sketch.append(np.zeros(2, np.uint64))
-            s = signed(np.array(sketch, np.uint64).reshape(-1, 2))
+                    sketch.append(None)
             h = np.array(h, np.int64).reshape(-1, 2)
-            return {"id": batch["id"], "n": n, "h1": h[:, 0], "h2": h[:, 1], "keys": lists(signed(np.concatenate(keys)), [len(k) for k in keys], pa.int64()), "s1": s[:, 0], "s2": s[:, 1]}
+            return {"id": batch["id"], "n": n, "h1": h[:, 0], "h2": h[:, 1], "keys": lists(signed(np.concatenate(keys)), [len(k) for k in keys], pa.int64()), "sketch": pa.array(sketch, pa.binary())}
 
         return one
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), each, "id long, n long, h1 long, h2 long, keys array<long>, s1 long, s2 long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), each, "id long, n long, h1 long, h2 long, keys array<long>, sketch binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -140,17 +140,71 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return map_batches(both.select("a", "b", "x", "y"), each, "a long, b long")
 
 
-def across(buckets: DataFrame, joined: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket that are in different components and alike by their sketches."""
-    inside = buckets.join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_ = inside.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("size")).where("least < most").select("key", "size")
-    left = inside.join(open_.hint("merge"), "key").join(sketches, "id")
-    sub = left.where(F.col("size") > FULL_BUCKET).withColumn("key", F.explode(F.transform(F.array_except("keys", F.array("key")), lambda k: F.xxhash64("key", k))))
-    left = left.where(F.col("size") <= FULL_BUCKET).drop("keys").unionByName(sub.drop("keys"))
-    x = left.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
-    y = left.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
-    alike = SKETCH_BITS - F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) - F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) >= SKETCH_LEAST
-    return x.join(y.hint("merge"), (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def united(ids: list[int], component: list[int], sketches: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links that unite components of one bucket."""
+    up = {c: c for c in component}
+
+    def find(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    out = []
+    for i in range(1, len(ids)):
+        roots = np.array([find(c) for c in component[:i]])
+        other = np.flatnonzero(roots != find(component[i]))
+        if not len(other):
+            continue
+        alike = (sketches[other] == sketches[i]).sum(1)
+        near = np.flatnonzero(alike >= SKETCH_LEAST)
+        for j in other[near[np.argsort(-alike[near], kind="stable")]]:
+            a, b = find(component[i]), find(component[j])
+            if a != b:
+                n = common(sets[i], sets[j])
+                if 100 * n >= threshold * (len(sets[i]) + len(sets[j]) - n):
+                    up[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
+    return out
+
+
+def across(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components so far."""
+    inside = buckets.join(joined.hint("merge"), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    open_ = inside.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).where("least < most")
+    open_ = open_.groupBy("who", "size", "least", "most").agg(F.min("key").alias("key")).select("key", "size")
+    left = inside.join(open_.hint("merge"), "key")
+    small = left.where(F.col("size") <= FULL_BUCKET).select("key", "id", "c")
+    full = left.where(F.col("size") > FULL_BUCKET).join(sketches.select("id", "keys").hint("merge"), "id")
+    full = full.withColumn("key", F.explode(F.transform(F.array_except("keys", F.array("key")), lambda k: F.xxhash64("key", k)))).select("key", "id", "c")
+    rows = small.union(full).join(sketches.select("id", "sketch").hint("merge"), "id").join(sets.hint("merge"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            _, ids, component, sketch, sets = zip(*held)
+            found = united(list(ids), list(component), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH), [np.frombuffer(x, np.uint64) for x in sets], threshold) if len(ids) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch[k].to_pylist() for k in ("key", "id", "c", "sketch", "set"))):
+                if held and held[0][0] != row[0]:
+                    yield from out()
+                    held = []
+                held.append(row)
+        if held:
+            yield from out()
+
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", "id").select("key", "id", "c", "sketch", "set").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -159,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = made.where("n > 0 and id is not null")
     classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     # A representative's own row: the one of its class with the least id.
-    reps = written(some.join(classes.hint("merge"), ["h1", "h2", "n"]).where("id = rep").select("id", "h1", "h2", "n", "keys", "s1", "s2").dropDuplicates(["id", "h1", "h2", "n"]))
+    reps = written(some.join(classes.hint("merge"), ["h1", "h2", "n"]).where("id = rep").select("id", "h1", "h2", "n", "keys", "sketch").dropDuplicates(["id", "h1", "h2", "n"]))
     bands_of = reps.select("id", F.explode("keys").alias("key"))
     hubs = bands_of.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     buckets = written(bands_of.join(hubs.hint("merge"), "key").select("key", "id", "hub"))
@@ -169,8 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows of a class are linked with its representative. A row whose id repeats with another text ties both classes together.
     copies = some.join(classes.hint("merge"), ["h1", "h2", "n"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     joined = written(components(verified(first, sets, threshold).union(copies)))
-    rest = written(across(buckets.select("key", "id").distinct(), joined, reps.select("id", "keys", "s1", "s2")).join(first, ["a", "b"], "left_anti"))
-    more = written(verified(rest, sets, threshold))
+    more = written(across(buckets.select("key", "id").distinct(), joined, reps, sets, threshold))
     if not more.isEmpty():
         joined = components(more.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     out = made.select("id", F.col("n").alias("n_shingles")).join(joined.hint("merge"), F.col("id") == F.col("node"), "left")
