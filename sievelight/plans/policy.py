@@ -114,6 +114,7 @@ def decide_uk(rows: DataFrame, threshold: float = 0.5, least_chars: int = LEAST_
 def decide_pci_legacy(rows: DataFrame, threshold: float = 0.5, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The older card policy: quality first, and only remaining hits, or a missing redaction, force a review."""
     poor, empty, suspect = F.coalesce("quality_score", F.lit(0.0)) < threshold, F.coalesce("char_count", F.lit(0)) < least_chars, F.col("suspicions") > 0
-    left = (F.col("hits") > 0) & ((F.coalesce("hits_remaining", F.lit(0)) > 0) | ~F.coalesce("redacted_present", F.lit(True)))
+    present = F.coalesce("redacted_present", F.lit(True)) if "redacted_present" in rows.columns else F.lit(True)
+    left = (F.col("hits") > 0) & ((F.coalesce("hits_remaining", F.lit(0)) > 0) | ~present)
     decision = F.when(poor | empty, REJECTED).when(suspect | left, REVIEW).otherwise(CONFIRMED)
     return rows.withColumn("decision", decision).withColumn("reasons", codes((poor, "EXTRACTION_QUALITY_LOW"), (~poor & empty, "EXTRACTION_EMPTY"), (~poor & ~empty & suspect, "PAN_SUSPECT_OCR_LOW_CONF"), (~poor & ~empty & ~suspect & left, "PAN_REMAINS_AFTER_REDACTION")))
