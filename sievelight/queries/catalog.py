@@ -90,18 +90,17 @@ def pan_by_lang(spark, d):
     return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "severity").agg(F.count("*").alias("n"))
 
 
+STRICT_SIGN = f"0-9{pan.STRICT_LOOKALIKE}"
 STRICT_CTE = f"""
 s AS ({X.ALL_SPANS_SQL}),
-t AS (SELECT doc_id, span_id, source, ocr_conf, text, translate(text, '{pan.STRICT_LOOKALIKE}', '{pan.STRICT_DIGITS}') AS t FROM s),
-r AS (SELECT doc_id, span_id, source, ocr_conf, unnest(regexp_extract_all(regexp_replace(t, '([0-9]+(?:[ -][0-9]+)*)', '<\\1>', 'g'), '<[0-9 -]+>')) AS run FROM t),
-m AS (SELECT *, regexp_replace(run, '[^0-9]', '', 'g') AS digits FROM r)"""
+r AS (SELECT doc_id, span_id, unnest(regexp_extract_all(regexp_replace(text, '[^{STRICT_SIGN} -]', '|', 'g'), '\\b[{STRICT_SIGN}](?:[ -]?[{STRICT_SIGN}]){{12,18}}\\b')) AS m FROM s),
+m AS (SELECT doc_id, span_id, regexp_replace(CASE WHEN length(regexp_replace(m, '[^A-Za-z]', '', 'g')) <= 0.25 * length(regexp_replace(m, '[^0-9A-Za-z]', '', 'g')) THEN translate(m, '{pan.STRICT_LOOKALIKE}', '{pan.STRICT_DIGITS}') ELSE m END, '[^0-9]', '', 'g') AS digits FROM r)"""
 
 
-@query("pan_strict_runs", f"WITH {STRICT_CTE} SELECT doc_id, span_id, digits, {luhn('digits')} AS ok FROM m WHERE length(digits) BETWEEN 13 AND 19 AND doc_id < 10000000")
-def pan_strict_runs(spark, d):
-    """Candidates of the older rule whose run of digits is no longer than a number, in documents."""
-    docs = S.line_spans(X.table(spark, d, "documents").select("doc_id", "text"))
-    rows = docs.select("doc_id", "span_id", F.explode(pan.strict_candidates(F.col("text"))).alias("m"))
+@query("pan_strict", f"WITH {STRICT_CTE} SELECT doc_id, span_id, digits, {luhn('digits')} AS ok FROM m WHERE length(digits) BETWEEN 13 AND 19")
+def pan_strict(spark, d):
+    """Candidates of the older rule."""
+    rows = X.all_spans(spark, d).select("doc_id", "span_id", F.explode(pan.strict_candidates(F.col("text"))).alias("m"))
     return rows.select("doc_id", "span_id", F.col("m.digits").alias("digits"), pan.luhn(F.col("m.digits")).alias("ok"))
 
 
