@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BASE, FlatWords, fold_of, lists, map_batches, mix, signed, table, written
+from .shared import BASE, FlatWords, chunks, fold_of, lists, map_batches, mix, signed, table, written
 
 U = np.uint64
 CLASSES, CLASS_WORDS, KNOWN, ROUNDS, RATE = 32, 32, 1 << 19, 3, 0.15
@@ -55,10 +55,11 @@ def counts_of(docs: DataFrame, text_col: str) -> DataFrame:
 
         for batch in batches:
             ends += batch.num_rows
-            waiting.append(flat(batch.column(0)).hashes)
-            if sum(map(len, waiting)) > 4_000_000:
-                h, c = merged()
-                waiting = []
+            for _, column in chunks(batch.column(0)):
+                waiting.append(flat(column).hashes)
+                if sum(map(len, waiting)) > 4_000_000:
+                    h, c = merged()
+                    waiting = []
         h, c = merged()
         if ends:
             h, c = np.r_[U(END_HASH), h], np.r_[ends, c]
@@ -97,8 +98,17 @@ def start(counts: DataFrame) -> Model:
     """The model before training: the most frequent words and log-frequencies."""
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     tokens, vocabulary = int(totals[0] or 0), int(totals[1])
-    most = counts.orderBy(F.col("c").desc(), "h").limit(KNOWN).toPandas()
-    h, c = most["h"].to_numpy(np.int64).view(U), most["c"].to_numpy(np.int64)
+    # The least count of which all words fit into KNOWN; very high counts are one bin.
+    bins = counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.col("c").desc())
+    least, room = 1_000_001, KNOWN
+    for b in bins.toLocalIterator():
+        if (room := room - b["n"]) < 0:
+            break
+        least = b["c"]
+    most = counts.where(F.col("c") >= least).toArrow()
+    h, c = most["h"].to_numpy().view(U), most["c"].to_numpy()
+    order = np.lexsort((h, -c))
+    h, c = h[order], c[order]
     rank = np.minimum(np.arange(len(h)), HEAD)
     end = np.flatnonzero(h == U(END_HASH))
     end_count = int(counts.where(F.col("h") == END_HASH).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
@@ -181,15 +191,6 @@ def step(weights: np.ndarray, sums: np.ndarray, rows: np.ndarray, target: np.nda
     weights[used] -= (RATE * gradient / np.sqrt(sums[used])[:, None]).astype(np.float32)
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    a = 0
-    while a < len(column):
-        b = max(int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES)), a + 1)
-        yield a, column.slice(a, b - a)
-        a = b
-
-
 PARTS = ("classes", "words", "class_sums", "word_sums")
 
 
@@ -207,7 +208,7 @@ def trained(docs: DataFrame, model: Model, text_col: str, share: Column) -> Mode
             weights = {k: getattr(m, k).copy() for k in PARTS}
             tokens, seen = Tokens(m), 0
             for batch in batches:
-                for _, column in pieces(batch.column(0)):
+                for _, column in chunks(batch.column(0), CHUNK_BYTES):
                     tokens(column)
                     target = np.minimum(tokens.rank // CLASS_WORDS, CLASSES)
                     for a in range(0, len(tokens.h), BATCH):
@@ -266,7 +267,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, id_col: str, text_c
             return [np.bincount(text, minlength=n), np.bincount(text[tokens.count > 0], minlength=n), np.bincount(text, more, n), np.bincount(text, p, n), at, signed(tokens.h[rest])]
 
         def one(batch: pa.RecordBatch) -> dict:
-            size, known, base, score, count, rest = (np.concatenate(x) for x in zip(*[some(c) for _, c in pieces(batch["text"])]))
+            size, known, base, score, count, rest = (np.concatenate(x) for x in zip(*[some(c) for _, c in chunks(batch["text"], CHUNK_BYTES)]))
             return {"id": batch["id"], "n": size, "known": known, "base": base, "score": score, "rest": lists(rest, count, pa.int64())}
 
         return one

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,11 +119,14 @@ def work_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing."""
-    spark, path = df.sparkSession, work_dir(df.sparkSession)
+    spark, path, schema = df.sparkSession, work_dir(df.sparkSession), df.schema
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    # Spark deletes shuffle files once the driver has collected the plans that made them.
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
     out._stored_at = path
-    spark._jvm.System.gc()  # Spark deletes shuffle files once the driver has collected the plans that made them
     return out
 
 
@@ -148,6 +152,16 @@ _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
 
 
+def chunks(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) of about ``size`` bytes each, which bounds a worker's memory; a longer text is taken whole."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    a = 0
+    while a < len(column):
+        b = max(int(np.searchsorted(offsets, int(offsets[a]) + size)), a + 1)
+        yield a, column.slice(a, b - a)
+        a = b
+
+
 class FlatWords:
     """Hashes all words of a column at once, with A-Z lowered: prefix sums of byte times power give each word's polynomial, which
     is scrambled together with its length."""
