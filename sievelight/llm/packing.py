@@ -10,7 +10,7 @@ whole would, tasks stay bounded and none waits for another. A document longer th
 sequences and a rest, so every token is placed.
 
 Defined cases: null and empty texts hold the end token alone. Rows with equal ids are packed one by one, told apart by ``copy``
-(0, 1, ...; equal rows are interchangeable). Null ids are packed as well. Other columns are neither read nor touched.
+(0, 1, ...; equal rows are interchangeable). Null ids are packed as well, told apart by larger numbers. Other columns are neither read nor touched.
 """
 
 from __future__ import annotations
@@ -71,13 +71,14 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, attention: float =
     """One row per placed piece: doc_id, copy, piece, start and n_tokens (words of the document, and its end token), sequence
     (unique), offset in it, and capacity and filled of the sequence."""
     longest = max(lengths)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (size_of(F.col(text_col)) + 1).alias("size"), F.xxhash64(id_col, text_col).alias("h"))
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), (size_of(F.col(text_col)) + 1).alias("size"), F.xxhash64(text_col).alias("h"))
     groups = max(1, -(-docs.count() // group_rows))
-    rows = rows.withColumn("group", F.pmod(F.col("h"), F.lit(groups)))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.col("h").cast("string"))), F.lit(groups)))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size", "h"], kind="stable").reset_index(drop=True)
         copy = pdf.groupby(["doc_id"], dropna=False).cumcount().to_numpy()
+        copy = copy + np.where(pdf["doc_id"].isna(), key[0] * 2**31, 0)
         size = pdf["size"].to_numpy(np.int64)
         count = -(-size // longest)
         of = np.repeat(np.arange(len(pdf)), count)
@@ -89,11 +90,11 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, attention: float =
         where = np.array(where, np.int64)
         capacity = np.array(capacity, np.int64)[where]
         filled = np.bincount(where, weights=length[order]).astype(np.int64)[where]
-        out = pdf["doc_id"].astype("Int64").iloc[of[order]].reset_index(drop=True).to_frame("doc_id")
+        out = pdf["doc_id"].iloc[of[order]].reset_index(drop=True).to_frame("doc_id")
         return out.assign(copy=copy[of[order]], piece=piece[order], start=start[order], n_tokens=length[order], sequence=key[0] * 2**31 + where, offset=offset, capacity=capacity, filled=filled)
 
-    kind = "doc_id long, copy long, piece long, start long, n_tokens long, sequence long, offset long, capacity long, filled long"
-    return rows.groupBy("group").applyInPandas(one, kind)
+    kind = "doc_id string, copy long, piece long, start long, n_tokens long, sequence long, offset long, capacity long, filled long"
+    return rows.groupBy("group").applyInPandas(one, kind).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
