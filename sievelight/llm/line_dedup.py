@@ -5,11 +5,12 @@ Jaccard likeness to it of THRESHOLD per cent or more; whether that line goes its
 LEAST_WORDS different words never match.
 
 1. Word frequencies go into a counting sketch of a fixed size, which orders words by rarity (any total order is exact).
-2. Lines with equal sets form a class; only its first line is joined further, the others are later matches of it.
-3. Each first line is posted under the rarest words of its set, its prefix: two sets above the threshold share one. Under very
-   common words, postings are dealt to pairs of blocks, so that no word's group is unbounded.
-4. Inside a word's group, lines are compared by length, position and a parity bitmap (a lower bound of the sets' difference);
-   each later line puts forward its nearest earlier lines, not all pairs.
+2. The first line of each set settles the others with that set: they are later matches of it.
+3. Each line is posted under the rarest words of its set, its prefix: two sets above the threshold share one. Under very common
+   words, postings are dealt to pairs of blocks, so that no word's group is unbounded. A task posts a set once.
+4. Inside a word's group, lines are compared by length, by position (the bound that holds where their first common word is) and
+   by a parity bitmap (a lower bound of the sets' difference); each later line puts forward its nearest earlier lines, not all
+   pairs.
 5. The nearest candidate of each line is verified on full sets; then, for lines not settled, all others; where a group held more
    candidates than were put forward, it is gone through again for the unsettled lines without that limit.
 
@@ -25,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, discard, lists, map_batches, mix, signed, table, unused, written
+from .shared import FlatWords, chunks, discard, lists, map_batches, mix, signed, table, unused, written
 
-THRESHOLD, LEAST_WORDS, SKETCH_LOG2, BLOCK_ROWS, PUT_FORWARD = 80, 5, 21, 40_000, 4
-#: Words that are ordered at once, which bounds a worker's memory; a longer text is taken whole.
-CHUNK_WORDS = 200_000
+THRESHOLD, LEAST_WORDS, SKETCH_LOG2, BLOCK_ROWS, PUT_FORWARD = 80, 5, 21, 40_000, 16
+#: Bytes that are taken at once, which bounds a worker's memory; a longer text is taken whole.
+CHUNK_BYTES = 4 << 20
+#: Keys up to which a table of them goes to all tasks.
+FEW_KEYS = 500_000
+#: Sets that a task remembers to have posted.
+POSTED = 500_000
 LAST = 2**63 - 1
 U = np.uint64
 PARTS = 64
@@ -40,41 +45,15 @@ def need(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
     return -(-threshold * (n + m) // (100 + threshold))
 
 
-def line_sets(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line, word hash) of all words of all lines."""
-    text, line, count, found = [], [], [], []
-    for i, t in enumerate(texts):
-        for k, one in enumerate((t or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-            if words := one.split():
-                text.append(i)
-                line.append(k)
-                count.append(len(words))
-                found += words
-    return np.repeat(np.array(text, np.int64), count), np.repeat(np.array(line, np.int64), count), hashes.of(found)
-
-
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") // 6
-        if size >= CHUNK_WORDS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def sketch(docs: DataFrame, text_col: str, log2: int) -> np.ndarray:
     """Occurrences of words, by the leading bits of their hash; the size doesn't depend on the table."""
     part = (1 << log2) // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(1 << log2, np.int64)
+        flat, total = FlatWords(), np.zeros(1 << log2, np.int64)
         for batch in batches:
-            texts = batch[0].to_pylist()
-            for a, b in chunks(texts):
-                at = hashes.of([w for t in texts[a:b] for w in (t or "").encode("utf-8", "surrogatepass").lower().split()]) >> U(64 - log2)
-                total += np.bincount(at.astype(np.int64), minlength=1 << log2)
+            for _, texts in chunks(batch.column(0), CHUNK_BYTES):
+                total += np.bincount((flat(texts).hashes >> U(64 - log2)).astype(np.int64), minlength=1 << log2)
         rows = []
         for k in range(PARTS):
             at = np.flatnonzero(total[k * part : (k + 1) * part])
@@ -96,37 +75,55 @@ def sketch(docs: DataFrame, text_col: str, log2: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, threshold: int, least: int) -> DataFrame:
-    """Every line with enough words: doc, line, n (different words), h1 and h2 (hash of the set), bits (parity bitmap), keys (of
-    its prefix; several for a very common word) and at (their positions in the order)."""
+    """Every line with enough words: doc, line, n (different words), h1 and h2 (hash of the set), b1 and b2 (parity bitmap), keys
+    (of its prefix; several for a very common word) and at (their positions in the order)."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     log2 = int(len(counts)).bit_length() - 1
 
     def each():
-        hashes, counts = WordHashes(), sent.value
+        flat, counts = FlatWords(), sent.value
+        posted: dict[int, tuple[int, int]] = {}
 
-        def some(ids: np.ndarray, texts: list[str | None]) -> list:
-            text, line, h = line_sets(texts, hashes)
-            of = np.cumsum(np.r_[False, (text[1:] != text[:-1]) | (line[1:] != line[:-1])]) if len(text) else text
+        def some(ids: np.ndarray, column: pa.Array) -> list:
+            texts = flat(column)
+            h = texts.hashes
+            if not len(h):
+                return []
+            text, line = texts.lines()
+            new = np.r_[True, (text[1:] != text[:-1]) | (line[1:] != line[:-1])]
+            first, of = np.flatnonzero(new), np.cumsum(new) - 1
+            text, line = text[first], line[first]
             freq = counts[(h >> U(64 - log2)).astype(np.int64)]
-            order = np.lexsort((h, freq, of))
-            text, line, h, of, freq = text[order], line[order], h[order], of[order], freq[order]
-            fresh = np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])][: len(h)]
-            text, line, h, of, freq = text[fresh], line[fresh], h[fresh], of[fresh], freq[fresh]
-            n = np.bincount(of) if len(of) else np.empty(0, np.int64)
-            ok = n[of] >= least
-            text, line, h, of, freq = text[ok], line[ok], h[ok], of[ok], freq[ok]
+            # Line, frequency and hash in one integer; the rare cases that it can't tell apart are sorted by all three.
+            key = (of.astype(U) << U(44)) | (np.minimum(freq, 4095).astype(U) << U(32)) | (h >> U(32))
+            order = np.argsort(key)
+            if len(first) >= 2**20 or ((key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
+                order = np.lexsort((h, np.minimum(freq, 4095), of))
+            h, of, freq = h[order], of[order], freq[order]
+            fresh = np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])]
+            n = np.bincount(of[fresh], minlength=len(first))
+            fresh &= n[of] >= least
+            h, of, freq, ok = h[fresh], of[fresh], freq[fresh], n >= least
             if not len(h):
                 return []
-            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            n = np.diff(np.r_[first, len(h)])
-            at = np.arange(len(h)) - np.repeat(first, n)
-            bits = np.bitwise_xor.reduceat(U(1) << (mix(h + U(5)) & U(63)), first)
-            h1, h2 = np.add.reduceat(mix(h + U(1)), first), np.add.reduceat(mix(h + U(2)), first)
-            short = np.repeat(n - -(-threshold * n // 100) + 1, n)
-            pick = at < short
-            # A word seen once in all can't be shared.
-            pick &= freq > 1
-            own, at, h, freq = np.repeat(np.arange(len(n)), n)[pick], at[pick], h[pick], freq[pick]
+            text, line, n = text[ok], line[ok], n[ok]
+            start = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(h)) - start[of]
+            m = mix(h + U(5))
+            bit = U(1) << (m & U(63))
+            half = (m >> U(6)) & U(1) == 0
+            b1, b2 = np.bitwise_xor.reduceat(np.where(half, bit, U(0)), start), np.bitwise_xor.reduceat(np.where(half, U(0), bit), start)
+            h1, h2 = np.add.reduceat(m, start), np.add.reduceat(mix(h + U(2)), start)
+            # A word seen once in all can't be shared; a set that this task has posted for an earlier line needs no other posting.
+            again = np.zeros(len(n), bool)
+            for i, (x, place) in enumerate(zip(h1.tolist(), zip(ids[text].tolist(), line.tolist()))):
+                if (before := posted.get(x)) is not None and before < place:
+                    again[i] = True
+                elif before is not None or len(posted) < POSTED:
+                    posted[x] = place
+            pick = (at < (n - -(-threshold * n // 100) + 1)[of]) & (freq > 1) & ~again[of]
+            own, at, h, freq = of[pick], at[pick], h[pick], freq[pick]
             blocks = np.maximum(freq // BLOCK_ROWS, 1).astype(np.int64)
             if (blocks > 1).any():
                 mine = (mix(h1[own] ^ U(3)) % blocks.astype(U)).astype(np.int64)
@@ -134,20 +131,20 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, th
                 own, at, h, mine, blocks = (np.repeat(v, blocks) for v in (own, at, h, mine, blocks))
                 low, high = np.minimum(mine, other), np.maximum(mine, other)
                 h = np.where(blocks > 1, mix(h + (low * blocks + high).astype(U)), h)
-            return [ids[text[first]], line[first].astype(np.int32), n.astype(np.int32), signed(h1), signed(h2), signed(bits), np.bincount(own, minlength=len(n)), signed(h), at.astype(np.int32)]
+            return [ids[text], line.astype(np.int32), n.astype(np.int32), signed(h1), signed(h2), signed(b1), signed(b2), np.bincount(own, minlength=len(n)), signed(h), at.astype(np.int32)]
 
         def one(batch: pa.RecordBatch) -> dict | None:
-            ids, texts = batch["id"].to_numpy(zero_copy_only=False), batch["text"].to_pylist()
-            got = [g for a, b in chunks(texts) if (g := some(ids[a:b], texts[a:b]))]
+            ids = batch["id"].to_numpy(zero_copy_only=False)
+            got = [g for a, texts in chunks(batch["text"], CHUNK_BYTES) if (g := some(ids[a:], texts))]
             if not got:
                 return None
-            doc, line, n, h1, h2, bits, count, keys, at = (np.concatenate(x) for x in zip(*got))
-            return {"doc": doc, "line": line, "n": n, "h1": h1, "h2": h2, "bits": bits, "keys": lists(keys, count, pa.int64()), "at": lists(at, count, pa.int32())}
+            doc, line, n, h1, h2, b1, b2, count, keys, at = (np.concatenate(x) for x in zip(*got))
+            return {"doc": doc, "line": line, "n": n, "h1": h1, "h2": h2, "b1": b1, "b2": b2, "keys": lists(keys, count, pa.int64()), "at": lists(at, count, pa.int32())}
 
         return one
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(texts, each, "doc long, line int, n int, h1 long, h2 long, bits long, keys array<long>, at array<int>")
+    return map_batches(texts, each, "doc long, line int, n int, h1 long, h2 long, b1 long, b2 long, keys array<long>, at array<int>")
 
 
 def popcount(v: np.ndarray) -> np.ndarray:
@@ -155,7 +152,7 @@ def popcount(v: np.ndarray) -> np.ndarray:
 
 
 class Groups:
-    """Candidates inside the groups of one key; rows come sorted by key, doc and line."""
+    """Candidates inside the groups of one key; rows come sorted by key."""
 
     #: Group size from which each row is compared with all before it at once.
     LARGE = 300
@@ -163,17 +160,23 @@ class Groups:
     def __init__(self, threshold: int, limit: int):
         self.threshold, self.limit = threshold, limit
 
-    def near(self, r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Difference of the bitmaps where rows j (earlier) may match rows i, else -1."""
+    def near(self, r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs of rows i and j those that may match, with the later line first, and the difference of their bitmaps."""
         n, m = r["n"][i], r["n"][j]
         least = need(n, m, self.threshold)
-        bound = np.minimum(r["at"][i], r["at"][j]) + np.minimum(n - r["at"][i], m - r["at"][j])
-        apart = popcount(r["bits"][i] ^ r["bits"][j])
-        ok = (least <= np.minimum(n, m)) & (bound >= least) & (apart <= n + m - 2 * least) & (r["open"][i]) & ((r["doc"][i] != r["doc"][j]) | (r["line"][i] != r["line"][j]))
-        return np.where(ok, apart, -1)
+        ok = np.flatnonzero(np.minimum(n - r["at"][i], m - r["at"][j]) >= least)
+        i, j, n, m, least = i[ok], j[ok], n[ok], m[ok], least[ok]
+        apart = popcount(r["b1"][i] ^ r["b1"][j]) + popcount(r["b2"][i] ^ r["b2"][j])
+        ok = (apart <= n + m - 2 * least) & ((r["h"][i] != r["h"][j]) | (n != m) | (apart > 0))
+        i, j, apart = i[ok], j[ok], apart[ok]
+        di, dj, li, lj = r["doc"][i], r["doc"][j], r["line"][i], r["line"][j]
+        later, same = (di > dj) | ((di == dj) & (li > lj)), (di == dj) & (li == lj)
+        i, j = np.where(later, i, j), np.where(later, j, i)
+        ok = r["open"][i] & ~same
+        return i[ok], j[ok], apart[ok]
 
     def __call__(self, r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows i and j of the candidates, their bitmap difference, and whether i has more than were put forward."""
+        """Later and earlier rows of the candidates, their bitmap difference, and whether the later one has more in its group."""
         size = len(r["key"])
         start = np.flatnonzero(np.r_[True, r["key"][1:] != r["key"][:-1]][:size])
         length = np.diff(np.r_[start, size])
@@ -183,49 +186,60 @@ class Groups:
         at = np.flatnonzero(np.repeat(length < self.LARGE, length))
         d = 1
         while len(at := at[rank[at] >= d]):
-            apart = self.near(r, at, at - d)
-            hit = apart >= 0
-            found.append((at[hit], at[hit] - d, apart[hit]))
+            found.append(self.near(r, at, at - d))
             d += 1
         for s, n in zip(start[length >= self.LARGE], length[length >= self.LARGE]):
+            waiting = []
             for i in range(s + 1, s + n):
-                if r["open"][i]:
-                    j = np.arange(s, i)
-                    apart = self.near(r, np.full(len(j), i), j)
-                    hit = np.flatnonzero(apart >= 0)
-                    if self.limit and len(hit) > self.limit + 1:
-                        hit = hit[np.argpartition(apart[hit], self.limit)[: self.limit + 1]]
-                    found.append((np.full(len(hit), i), j[hit], apart[hit]))
+                waiting.append(self.near(r, np.full(i - s, i), np.arange(s, i)))
+                if sum(len(x[0]) for x in waiting) > 1_000_000:  # nothing but the nearest is needed of each
+                    waiting = [self.nearest(*(np.concatenate(x) for x in zip(*waiting)), self.limit + 1 if self.limit else 0)]
+            found += waiting
         if not found:
             return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
-        i, j, apart = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((j, apart, i))
-        i, j, apart = i[order], j[order], apart[order]
+        i, j, apart = self.nearest(*(np.concatenate(x) for x in zip(*found)), self.limit + 1 if self.limit else 0)
         first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
         count = np.diff(np.r_[first, len(i)])
-        place = np.arange(len(i)) - np.repeat(first, count)
         more = np.repeat(count > self.limit, count) if self.limit else np.zeros(len(i), bool)
-        keep = place < self.limit if self.limit else np.ones(len(i), bool)
+        keep = np.arange(len(i)) - np.repeat(first, count) < self.limit if self.limit else np.ones(len(i), bool)
         return i[keep], j[keep], apart[keep], more[keep]
 
-
-def candidates(lines: DataFrame, threshold: int, limit: int) -> DataFrame:
-    """(xd, xl, yd, yl, apart, more): later line x, earlier line y; for each x of a group the ``limit`` nearest, or all if 0."""
-    posts = lines.select(F.explode(F.arrays_zip("keys", "at")).alias("p"), "doc", "line", "n", "bits", "open").select(F.col("p.keys").alias("key"), "doc", "line", "n", F.col("p.at").alias("at"), "bits", "open")
-    names = ["key", "doc", "line", "n", "at", "bits", "open"]
+    @staticmethod
+    def nearest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted by i and nearness; at most ``limit`` of each i, or all if 0."""
+        order = np.lexsort((j, apart, i))
+        i, j, apart = i[order], j[order], apart[order]
+        if limit:
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
+            keep = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < limit
+            i, j, apart = i[keep], j[keep], apart[keep]
+        return i, j, apart
+
+
+def candidates(lines: DataFrame, threshold: int, limit: int, keys: DataFrame | None = None) -> DataFrame:
+    """(xd, xl, yd, yl, apart, more): later line x, earlier line y; for each x of a group the ``limit`` nearest, or all if 0. If
+    ``lines`` has a column ``open``, only for those x where it holds, and if there are ``keys``, only under those. A posting is six
+    integers."""
+    half = F.lit(2**32 - 1)
+    shut = F.when(F.col("open"), F.lit(0)).otherwise(F.lit(2**31)) if "open" in lines.columns else F.lit(0)
+    posts = lines.select(F.explode(F.arrays_zip("keys", "at")).alias("p"), "doc", "b1", "b2", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("h1").bitwiseAND(half)).alias("line_h"), F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(shut).alias("n_"))
+    posts = posts.select(F.col("p.keys").alias("key"), "doc", "line_h", F.col("n_").bitwiseOR(F.col("p.at").cast("long")).alias("n_at"), "b1", "b2")
+    if keys is not None:
+        posts = posts.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys.hint("merge"), "key", "left_semi")
+    names = ["key", "doc", "line_h", "n_at", "b1", "b2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, held = Groups(threshold, limit), None
 
         def out(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            low = r["n_at"] & (2**32 - 1)
+            r = {"key": r["key"], "doc": r["doc"], "line": r["line_h"] >> 32, "h": r["line_h"] & (2**32 - 1), "n": r["n_at"] >> 32, "at": low & (2**31 - 1), "open": low < 2**31, "b1": r["b1"], "b2": r["b2"]}
             i, j, apart, more = groups(r)
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc"][i]), pa.array(r["line"][i].astype(np.int32)), pa.array(r["doc"][j]), pa.array(r["line"][j].astype(np.int32)), pa.array(apart.astype(np.int32)), pa.array(more)], ["xd", "xl", "yd", "yl", "apart", "more"])
 
         for batch in batches:
             r = {k: batch[k].to_numpy(zero_copy_only=False) for k in names}
-            for k in ("n", "at"):
-                r[k] = r[k].astype(np.int64)
             if held is not None:
                 r = {k: np.concatenate([held[k], r[k]]) for k in names}
             # The last group may go on in the next batch.
@@ -236,25 +250,28 @@ def candidates(lines: DataFrame, threshold: int, limit: int) -> DataFrame:
         if held is not None:
             yield from out(held)
 
-    dealt = posts.repartition(F.col("key")).sortWithinPartitions("key", "doc", "line")
-    return dealt.mapInArrow(run, "xd long, xl int, yd long, yl int, apart int, more boolean")
+    return posts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "xd long, xl int, yd long, yl int, apart int, more boolean")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line, set) of the wanted lines: sorted word hashes as bytes."""
 
     def each():
-        hashes = WordHashes()
+        flat = FlatWords()
 
         def one(batch: pa.RecordBatch) -> dict:
             doc, line, found = [], [], []
-            for i, text, lines in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), batch["lines"].to_pylist()):
-                all_ = (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
-                for k in lines:
-                    if k < len(all_):
-                        doc.append(i)
-                        line.append(k)
-                        found.append(np.unique(hashes.of(all_[k].split())).tobytes())
+            ids, wanted = batch["id"].to_pylist(), batch["lines"].to_pylist()
+            for a, column in chunks(batch["text"], CHUNK_BYTES):
+                texts = flat(column)
+                _, of = texts.lines()
+                for k in range(len(texts)):
+                    h, lines = texts[k], of[texts.bounds[k] : texts.bounds[k + 1]]
+                    for x in wanted[a + k]:
+                        i, j = np.searchsorted(lines, [x, x + 1])
+                        doc.append(ids[a + k])
+                        line.append(x)
+                        found.append(np.unique(h[i:j]).tobytes())
             return {"doc": doc, "line": line, "set": pa.array(found, pa.binary())}
 
         return one
@@ -289,12 +306,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """(doc, line) of the lines that go; lines count from 0, a null id is LAST."""
     counts = sketch(docs, text_col, SKETCH_LOG2)
-    all_lines = written(prefixes(docs, id_col, text_col, counts, threshold, least))
-    first = all_lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "line")).alias("first"))
-    copies = written(all_lines.select("h1", "h2", "n", "doc", "line").join(first.hint("merge"), ["h1", "h2", "n"]).where("doc <> first.doc or line <> first.line").select("doc", "line"))
-    heads = written(all_lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "line", "bits", "keys", "at")).alias("r")).select("n", "r.*"))
-    discard(all_lines)
-    found = written(candidates(heads.withColumn("open", F.lit(True)), threshold, PUT_FORWARD).groupBy("xd", "xl", "yd", "yl").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
+    lines = written(prefixes(docs, id_col, text_col, counts, threshold, least))
+    slim = lines.select("h1", "h2", "doc", "line")
+    first = slim.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    copies = written(slim.join(first.hint("merge"), ["h1", "h2"]).where("doc <> first.doc or line <> first.line").select("doc", "line"))
+    found = written(candidates(lines.where(F.size("keys") > 0), threshold, PUT_FORWARD).groupBy("xd", "xl", "yd", "yl").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
+    found = written(found.join(copies.withColumnsRenamed({"doc": "xd", "line": "xl"}).hint("merge"), ["xd", "xl"], "left_anti"))
     wanted = found.select(F.col("xd").alias("doc"), F.col("xl").alias("line")).union(found.select(F.col("yd").alias("doc"), F.col("yl").alias("line"))).distinct()
     sets = written(sets_of(docs, wanted, id_col, text_col))
     nearest = found.groupBy("xd", "xl").agg(F.min(F.struct("apart", "yd", "yl")).alias("b")).select("xd", "xl", "b.yd", "b.yl")
@@ -304,18 +321,22 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     again = found.where("more").select("xd", "xl").distinct().join(gone, ["xd", "xl"], "left_anti")
     again = written(again.select(F.col("xd").alias("doc"), F.col("xl").alias("line"), F.lit(True).alias("open")))
     if not again.isEmpty():
-        marked = heads.join(again.hint("merge"), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        rest = written(candidates(marked, threshold, 0).select("xd", "xl", "yd", "yl").distinct().join(found, ["xd", "xl", "yd", "yl"], "left_anti"))
+        keys = written(lines.join(again.hint("merge"), ["doc", "line"]).select(F.explode("keys").alias("key")).distinct())
+        marked = lines.where(F.size("keys") > 0).join(again.hint("merge"), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        rest = written(candidates(marked, threshold, 0, keys).select("xd", "xl", "yd", "yl").distinct().join(found, ["xd", "xl", "yd", "yl"], "left_anti"))
         wanted = rest.select(F.col("xd").alias("doc"), F.col("xl").alias("line")).union(rest.select(F.col("yd").alias("doc"), F.col("yl").alias("line"))).distinct()
         gone = gone.union(verified(rest, written(sets_of(docs, wanted, id_col, text_col)), threshold))
-    return copies.union(gone).distinct()
+    out = written(copies.union(gone).distinct())
+    discard(lines)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_lines", **options: int) -> DataFrame:
     """The table with one more column, the sorted numbers of the lines of each text that go; null where none goes."""
-    gone = written(removals(docs, id_col, text_col, **options))
-    per = gone.groupBy(F.col("doc").alias("doc__")).agg(F.sort_array(F.collect_set("line")).alias(removed_col))
-    return docs.join(per.hint("merge"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == per["doc__"], "left").drop("doc__")
+    gone = removals(docs, id_col, text_col, **options)
+    of = unused(docs, "of_doc")
+    per = gone.groupBy(F.col("doc").alias(of)).agg(F.sort_array(F.collect_set("line")).alias(removed_col))
+    return docs.join(per.hint("merge"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == per[of], "left").drop(of)
 
 
 def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
