@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WordHashes, lists, map_batches, mix, shingles, signed, table, unused, words, written
+from .shared import FlatWords, chunks, lists, map_batches, mix, shingles, signed, table, unused, written
 
 SHINGLE, THRESHOLD = 5, 75  # words, per cent
 CIRCLE_LOG2, BANDS, ROWS, SEED = 20, 48, 5, 11
@@ -73,16 +73,23 @@ def set_hash(found: np.ndarray) -> tuple[int, int]:
     return (value >> 64) - 2**63, (value & (2**64 - 1)) - 2**63
 
 
+def sets_in(column: pa.Array, flat: FlatWords, shingle: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text."""
+    for _, part in chunks(column):
+        texts = flat(part)
+        for k in range(len(texts)):
+            yield shingles(texts[k], shingle)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
     """(id, n, h1, h2, keys, sketch) of each document."""
 
     def each():
-        hashes, circulant = WordHashes(), Circulant(bands, rows)
+        flat, circulant = FlatWords(), Circulant(bands, rows)
 
         def one(batch: pa.RecordBatch) -> dict:
             n, h, keys, sketch = [], [], [], []
-            for text in batch["text"].to_pylist():
-                found = shingles(hashes.of(words(text)), shingle)
+            for found in sets_in(batch["text"], flat, shingle):
                 n.append(len(found))
                 h.append(set_hash(found))
                 if len(found):
@@ -104,10 +111,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, sh
     """(id, set) of the documents in ``wanted``: sorted shingle hashes as bytes."""
 
     def each():
-        hashes = WordHashes()
+        flat = FlatWords()
 
         def one(batch: pa.RecordBatch) -> dict:
-            return {"id": batch["id"], "set": pa.array([shingles(hashes.of(words(t)), shingle).tobytes() for t in batch["text"].to_pylist()], pa.binary())}
+            return {"id": batch["id"], "set": pa.array([x.tobytes() for x in sets_in(batch["text"], flat, shingle)], pa.binary())}
 
         return one
 
