@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, work_dir, written
+from .shared import chunks, table, work_dir, written
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQQB8s")
@@ -186,8 +186,7 @@ class Reader:
 
 class Encoder(dict):
     """Ids of a text as bytes. Byte-level BPE with the usual pattern never joins what stands before a space that follows another
-    character with what stands after, so the runs between spaces are encoded apart (together for all that are new) and the ids of
-    frequent ones are remembered. Texts where white space meets such a space are encoded whole."""
+    character with what stands after, so the runs between spaces are encoded apart and their ids are remembered. Texts where white space meets such a space are encoded whole."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -203,26 +202,26 @@ class Encoder(dict):
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        runs = text.split(" ")
-        if not self.apart or len(runs) == 1:
-            return self.whole([text])[0]
-        first, runs = runs[0], runs[1:]
-        if new := [r for r in set(runs) if r not in self]:
-            if len(self) + len(new) > CACHE:
-                self.clear()
-                new = list(set(runs))
-            plain = [r for r in new if r and not r[0].isspace() and not r[-1].isspace()]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. What is new in the texts is encoded in one call; once CACHE runs are remembered, new ones are
+        forgotten after the call."""
+        split = [t.split(" ") for t in texts]
+        new = set().union(*(r[1:] for r in split)).difference(self) if self.apart else set()
+        plain = [r for r in new if r and not r[0].isspace() and not r[-1].isspace()]
+        self.update(dict.fromkeys(new))
+        # What begins a text has no space before it; a text that white space at a border makes special is encoded whole.
+        heads = [t if not self.apart or not r[0] or r[0][-1].isspace() else r[0] for t, r in zip(texts, split)]
+        ids = self.whole([" " + r for r in plain] + heads)
+        self.update(zip(plain, ids))
+        parts = [[] if h is t else [self[x] for x in r[1:]] for t, r, h in zip(texts, split, heads)]
+        out = [None if None in p else h + b"".join(p) for h, p in zip(ids[len(plain) :], parts)]
+        odd = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(odd, self.whole([texts[k] for k in odd]) if odd else []):
+            out[k] = x
+        if len(self) > CACHE:
             for r in new:
-                self[r] = None
-            for r, ids in zip(plain, self.whole([" " + r for r in plain])):
-                self[r] = ids
-        parts = [self[r] for r in runs]
-        if None in parts or not first or first[-1].isspace():
-            return self.whole([text])[0]
-        return self.whole([first])[0] + b"".join(parts)
+                del self[r]
+        return out
 
 
 @cache
@@ -255,12 +254,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
         encode = encoder(vocabulary)
         stop = np.array([end], encode.kind).tobytes()
         for batch in batches:
-            for id_, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
+            for first, texts in chunks(batch["text"], 1 << 20):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(part)
                     writer = Writer(out, encode.width)
-                writer.add(id_, encode(text) + stop)
+                for id_, ids in zip(batch["id"].slice(first, len(texts)).to_pylist(), encode(texts.to_pylist())):
+                    writer.add(id_, ids + stop)
         if writer is not None:
             writer.close()
             out.close()

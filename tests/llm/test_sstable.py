@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyarrow import fs
 
+import sievelight.llm.sstable as sstable
 from sievelight.llm.sstable import Encoder, Reader, Writer, lookup, probes, read, write
 
 P = pytest.importorskip("public_tokenizers")
@@ -21,12 +22,15 @@ def plain():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_encoder_equals_whole_texts():
+@pytest.mark.parametrize("kept", [20, 600_000])
+def test_encoder_equals_whole_texts(monkeypatch, kept):
+    monkeypatch.setattr(sstable, "CACHE", kept)
     rng, encode, reference = random.Random(3), Encoder(VOCABULARY), plain()
     parts = ["a", "B", "'s", "'", " ", "  ", "\n", "\t", "é", "日本", "1", "!", "?!", "don't", "<|endoftext|>", "\r\n", "ﬁ", "🙂", "　", "x y", " 's"]
     for _ in range(3000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
-        assert np.frombuffer(encode(text), "<u2").tolist() == reference(text), repr(text)
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(rng.randrange(1, 4))]
+        for text, ids in zip(texts, encode(texts)):
+            assert np.frombuffer(ids, "<u2").tolist() == reference(text), repr(text)
 
 
 @pytest.mark.parametrize("width", [2, 4])
