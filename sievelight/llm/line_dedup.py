@@ -1,13 +1,15 @@
 """Line dedup by an exact set-similarity self-join.
 
 A line is the set of its words. A line goes if an earlier line of the corpus, in the order of (doc_id, line number), has a
-Jaccard likeness to it of THRESHOLD per cent or more; whether that line goes itself does not matter. Lines of fewer than
-LEAST_WORDS different words never match.
+Jaccard likeness to it of THRESHOLD per cent or more; whether that line goes itself does not matter. The query and the stage
+take every line that has a word; ``removals`` can leave out lines of fewer than ``least`` different words (LEAST_WORDS unless
+given).
 
 1. Word frequencies go into a counting sketch of a fixed size, which orders words by rarity (any total order is exact).
 2. The first line of each set settles the others with that set: they are later matches of it.
 3. Each line is posted under the rarest words of its set, its prefix: two sets above the threshold share one. Under very common
-   words, postings are dealt to pairs of blocks, so that no word's group is unbounded. A task posts a set once.
+   words, postings are dealt to pairs of blocks, so that no word's group is unbounded. A task posts a set once. A set so small
+   that no other set can be near it (n / (n + 1) below the threshold) needs no posting: step 2 finds all its matches.
 4. Inside a word's group, lines are compared by length, by position (the bound that holds where their first common word is) and
    by a parity bitmap (a lower bound of the sets' difference); each later line puts forward its nearest earlier lines, not all
    pairs.
@@ -76,7 +78,7 @@ def sketch(docs: DataFrame, text_col: str, log2: int) -> np.ndarray:
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, threshold: int, least: int) -> DataFrame:
     """Every line with enough words: doc, line, n (different words), h1 and h2 (hash of the set), b1 and b2 (parity bitmap), keys
-    (of its prefix; several for a very common word) and at (their positions in the order)."""
+    (of its prefix; several for a very common word) and at (their positions in the order). Without keys, b1 and b2 are 0."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     log2 = int(len(counts)).bit_length() - 1
 
@@ -116,14 +118,18 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, th
             b1, b2 = np.bitwise_xor.reduceat(np.where(half, bit, U(0)), start), np.bitwise_xor.reduceat(np.where(half, U(0), bit), start)
             h1, h2 = np.add.reduceat(m, start), np.add.reduceat(mix(h + U(2)), start)
             # A word seen once in all can't be shared; a set that this task has posted for an earlier line needs no other posting.
-            again = np.zeros(len(n), bool)
-            for i, (x, place) in enumerate(zip(h1.tolist(), zip(ids[text].tolist(), line.tolist()))):
+            # The nearest to a set of n words that is not the same has a likeness of n / (n + 1).
+            again = 100 * n < threshold * (n + 1)
+            near = np.flatnonzero(~again)
+            for i, x, place in zip(near.tolist(), h1[near].tolist(), zip(ids[text[near]].tolist(), line[near].tolist())):
                 if (before := posted.get(x)) is not None and before < place:
                     again[i] = True
                 elif before is not None or len(posted) < POSTED:
                     posted[x] = place
             pick = (at < (n - -(-threshold * n // 100) + 1)[of]) & (freq > 1) & ~again[of]
             own, at, h, freq = of[pick], at[pick], h[pick], freq[pick]
+            mute = np.bincount(own, minlength=len(n)) == 0
+            b1[mute], b2[mute] = 0, 0
             blocks = np.maximum(freq // BLOCK_ROWS, 1).astype(np.int64)
             if (blocks > 1).any():
                 mine = (mix(h1[own] ^ U(3)) % blocks.astype(U)).astype(np.int64)
@@ -352,7 +358,7 @@ def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs.select("doc_id", "text"))
+    out = dedup_lines(docs.select("doc_id", "text"), least=1)
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
     removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
     return out.select("doc_id", n.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
@@ -362,7 +368,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents without the lines that go, with n_chars of the new text; those that lose all their words go too."""
     name, text = unused(docs, "removed_lines"), unused(docs, "text_left")
     left = F.when(F.col(name).isNull(), F.col("text")).otherwise(F.pandas_udf(without, "string")("text", name))
-    out = dedup_lines(docs, removed_col=name).withColumn(text, left).where(F.col(name).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    out = dedup_lines(docs, removed_col=name, least=1).withColumn(text, left).where(F.col(name).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     kinds = dict(docs.dtypes)
     new = {"text": F.col(text), "n_chars": F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kinds["n_chars"])) if "n_chars" in kinds else None}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

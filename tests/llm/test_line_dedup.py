@@ -5,7 +5,7 @@ import random
 import pytest
 
 import sievelight.llm.line_dedup as m
-from sievelight.llm.line_dedup import dedup_lines, line_dedup_stage, removals
+from sievelight.llm.line_dedup import dedup_lines, line_dedup_stage, op10_line_dedup, removals
 
 SPACE = " \t\v\f\r"
 
@@ -73,3 +73,32 @@ def test_stage(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def short_corpus(seed):
+    rng = random.Random(seed)
+    words = [f"s{k}" for k in range(12)]
+    return [(d, "\n".join(" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 9]))) for _ in range(rng.randrange(1, 6)))) for d in range(80)]
+
+
+def every_line(rows):
+    lines = [(i, k, s) for i, t in rows for k, x in enumerate(t.split("\n")) if (s := line_set(x))]
+    return {(i, k) for i, k, s in lines if any((j, q) < (i, k) and 100 * len(s & z) >= 80 * len(s | z) for j, q, z in lines)}
+
+
+def numbers(rows):
+    return {(r["doc_id"], int(k)) for r in rows for k in r["removed_lines"].split(",") if k}
+
+
+def test_query_takes_short_lines(spark, tmp_path):
+    rows = short_corpus(4) + [(90, "buy now buy now buy now"), (91, "les.\nall rights reserved"), (92, "Les.\nbuy NOW\nreserved all rights")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = numbers(op10_line_dedup(spark, str(tmp_path)).collect())
+    assert got == every_line(rows)
+    assert {(92, 0), (92, 1), (92, 2)} <= got
+
+
+def test_stage_takes_short_lines(spark):
+    rows = [(1, "les.\none two"), (2, "all rights\nLES."), (3, "two one")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {1: rows[0][1], 2: "all rights"}
