@@ -1,10 +1,12 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
 The probability of a token is that of its class given the history times that of the token in its class. The HEAD most frequent
-training tokens fall into classes of equal numbers by rank; all others form the tail class, inside which the smoothed training
-count decides, so that any word has a probability and all of them sum to 1. Features of a history are a bias, the word before, the
-words two and three places before (skips) and the pair before (n-gram), where a word outside the head is known by its last two
-bytes. They hash into rows of two weight tables of a fixed size: feature to classes, and feature with class to its words.
+training tokens fall into classes of equal numbers by rank; all others form the tail class. The tail is a tree of classes inside
+classes, of equal branches and as deep as the counted vocabulary asks for, whose leaves are all other KNOWN words; words beyond
+those have the share of the tail that their smoothed training count gives, so that any word has a probability and all of them sum
+to 1. Features of a history are a bias, the word before, the words two and three places before (skips) and the pair before
+(n-gram), where a word that isn't known is known by its last two bytes. They hash into rows of three weight tables, sized by the
+vocabulary up to MOST_ROWS_LOG2: feature to classes, feature with class to its words, feature with node of the tree to its branches.
 
 Training goes over all training texts once, in ROUNDS: each round's share of the texts is spread over the workers, each of which
 starts from the common weights and makes adaptive gradient steps in batches; the steps are averaged. The bias rows start at the
@@ -30,11 +32,14 @@ from .shared import BASE, FlatWords, chunks, fold_of, lists, map_batches, mix, s
 
 U = np.uint64
 CLASSES, CLASS_WORDS, KNOWN, ROUNDS, RATE = 32, 32, 1 << 19, 3, 0.15
-#: Rows of the two weight tables, as powers of two; tokens in a gradient batch; bytes taken at once.
-CLASS_ROWS_LOG2, WORD_ROWS_LOG2, BATCH, CHUNK_BYTES = 13, 15, 1 << 15, 2 << 20
+#: Tokens in a gradient batch; bytes taken at once; branches of a node of the tail's tree at most.
+BATCH, CHUNK_BYTES, BRANCHES = 1 << 15, 2 << 20, 32
+#: Squared gradients that rows of the tree start with: high, as most tail features are seen once or twice.
+TREE_CALM = 4.0
+#: Hashed rows of the tables (classes, words, tree) as powers of two: of a small vocabulary, and the most, which bounds memory.
+LEAST_ROWS_LOG2, MOST_ROWS_LOG2 = (13, 15, 13), (16, 16, 17)
 HEAD = CLASSES * CLASS_WORDS
 END_HASH = 0
-BEFORE = HEAD + 1024
 
 
 def counts_of(docs: DataFrame, text_col: str) -> DataFrame:
@@ -87,6 +92,24 @@ class Model:
     words: np.ndarray
     class_sums: np.ndarray
     word_sums: np.ndarray
+    #: Place among the known words by count, from 0.
+    place: np.ndarray
+    end_place: int
+    known_tokens: int
+    #: Branches of a node of the tail's tree, its depth, its weights: a bias row for each node, then the hashed ones.
+    width: int
+    depth: int
+    tree: np.ndarray
+    tree_sums: np.ndarray
+
+    @property
+    def nodes(self) -> int:
+        return sum(self.width**k for k in range(self.depth))
+
+    @property
+    def rare_total(self) -> float:
+        """Counts of the words beyond the known ones, each one higher, and one unknown word."""
+        return float(self.tokens - self.known_tokens + self.vocabulary - len(self.counts) + 1)
 
     @property
     def tail_total(self) -> float:
@@ -116,14 +139,29 @@ def start(counts: DataFrame) -> Model:
     head = np.zeros(HEAD)
     head[: min(HEAD, len(c))] = c[:HEAD]
     by_class = head.reshape(CLASSES, CLASS_WORDS).sum(1)
-    classes = np.zeros((1 << CLASS_ROWS_LOG2, CLASSES + 1), np.float32)
-    words = np.zeros((1 << WORD_ROWS_LOG2, CLASS_WORDS), np.float32)
+    by_size = [1 << min(most, max(least, vocabulary.bit_length())) for least, most in zip(LEAST_ROWS_LOG2, MOST_ROWS_LOG2)]
+    classes = np.zeros((by_size[0], CLASSES + 1), np.float32)
+    words = np.zeros((by_size[1], CLASS_WORDS), np.float32)
     classes[0] = np.log(np.r_[by_class, tokens - head.sum()] + 1) - np.log(tokens + CLASSES + 1)
     # The bias row of a class is its own; no feature hashes there.
     words[:CLASSES] = np.log((head.reshape(CLASSES, CLASS_WORDS) + 0.01) / (by_class + 0.01 * CLASS_WORDS)[:, None])
+    leaves = (c[HEAD:] if len(c) > HEAD else np.zeros(1)) + 1.0
+    depth = 1
+    while BRANCHES**depth < len(leaves):
+        depth += 1
+    width = 2
+    while width**depth < len(leaves):
+        width += 1
+    mass, bias = np.r_[leaves, np.zeros(width**depth - len(leaves))], []
+    for _ in range(depth):
+        mass = mass.reshape(-1, width)
+        bias.append(np.log(np.maximum(mass, 1e-12) / np.maximum(mass.sum(1, keepdims=True), 1e-9)))
+        mass = mass.sum(1)
+    tree = np.concatenate([*bias[::-1], np.zeros((by_size[2], width))]).astype(np.float32)
     order = np.argsort(h)
     known = int(min(HEAD, len(c)))
-    return Model(h[order], c[order], rank[order], end_count, end_rank, tokens, vocabulary, int(c[:known].sum()), known, classes, words, np.full(len(classes), 1e-2, np.float32), np.full(len(words), 1e-2, np.float32))
+    sums = [np.full(len(x), s, np.float32) for x, s in ((classes, 1e-2), (words, 1e-2), (tree, TREE_CALM))]
+    return Model(h[order], c[order], rank[order], end_count, end_rank, tokens, vocabulary, int(c[:known].sum()), known, classes, words, sums[0], sums[1], order, int(end[0]) if len(end) else -1, int(c.sum()), width, depth, tree, sums[2])
 
 
 class Tokens:
@@ -146,26 +184,42 @@ class Tokens:
         self.count, self.rank = np.full(size, -1, np.int64), np.full(size, HEAD, np.int64)
         self.count[place[known]], self.rank[place[known]] = m.counts[at[known]], m.rank[at[known]]
         self.count[end], self.rank[end] = m.end_count, m.end_rank
-        # What later tokens see: a head word, or the last two bytes of another.
+        where = np.full(size, -1, np.int64)
+        where[place[known]], where[end] = m.place[at[known]], m.end_place
+        self.leaf = np.where(where >= HEAD, where - HEAD, -1)
+        # What later tokens see: a known word, or the last two bytes of another.
         padded = np.r_[np.uint8(0), texts.data]
         last = texts.ends
         tail = (padded[last].astype(np.int64) * 256 + padded[np.maximum(last - 1, 0)]) * 40503 % 65536 // 64 if len(last) else np.empty(0, np.int64)
         sign = np.zeros(size, np.int64)
-        sign[place] = np.where(self.rank[place] < HEAD, self.rank[place], HEAD + tail)
+        sign[place] = np.where(where[place] >= 0, where[place], len(m.hashes) + tail)
         first = end - np.diff(texts.bounds)
         since = np.arange(size) - first[self.text]
-        back = [np.where(since >= k, np.r_[np.zeros(k, np.int64), sign[: size - k]] if size > k else 0, BEFORE).astype(U) for k in (1, 2, 3)]
-        self.features = [mix(back[0] + U(1 << 20)), mix(back[1] + U(2 << 20)), mix(back[2] + U(3 << 20)), mix(back[0] * U(1 << 12) + back[1] + U(1 << 40))]
+        back = [np.where(since >= k, np.r_[np.zeros(k, np.int64), sign[: size - k]] if size > k else 0, len(m.hashes) + 1024).astype(U) for k in (1, 2, 3)]
+        self.features = [mix(back[0] + U(1 << 20)), mix(back[1] + U(2 << 20)), mix(back[2] + U(3 << 20)), mix(back[0] * U(1 << 21) + back[1] + U(1 << 44))]
 
     def class_rows(self, part: slice) -> np.ndarray:
         f = [np.zeros(len(self.h[part]), np.int64)]
-        return np.stack(f + [((x[part] >> U(64 - CLASS_ROWS_LOG2)) | U(1)).astype(np.int64) for x in self.features], 1)
+        shift = U(65 - len(self.model.classes).bit_length())
+        return np.stack(f + [np.maximum((x[part] >> shift).astype(np.int64), 1) for x in self.features], 1)
 
     def word_rows(self, where: np.ndarray) -> np.ndarray:
         c = (self.rank[where] // CLASS_WORDS).astype(U)
-        rows = [(mix(x[where] + c * U(BASE)) >> U(64 - WORD_ROWS_LOG2)).astype(np.int64) for x in self.features]
+        shift = U(65 - len(self.model.words).bit_length())
+        rows = [(mix(x[where] + c * U(BASE)) >> shift).astype(np.int64) for x in self.features]
         return np.stack([c.astype(np.int64)] + [np.where(r < CLASSES, r + CLASSES, r) for r in rows], 1)
 
+    def tree_rows(self, where: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and branches of tail words, level by level."""
+        m, before = self.model, 0
+        shift = U(65 - (len(m.tree) - m.nodes).bit_length())
+        for level in range(m.depth):
+            down = self.leaf[where] // m.width ** (m.depth - 1 - level)
+            node = before + down // m.width
+            before += m.width**level
+            rows = [m.nodes + (mix(x[where] + node.astype(U) * U(BASE)) >> shift).astype(np.int64) for x in self.features]
+            yield np.stack([node, *rows], 1), down % m.width
+
 
 
 def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -182,16 +236,15 @@ def step(weights: np.ndarray, sums: np.ndarray, rows: np.ndarray, target: np.nda
     """One adaptive gradient step on the log-loss of a batch; ``sums`` has the squared gradients of each row."""
     p = softmax(weights, rows)
     p[np.arange(len(target)), target] -= 1
-    width = weights.shape[1]
-    used, at = np.unique(rows, return_inverse=True)
-    at = at.reshape(rows.shape)
-    flat = (at[:, :, None] * width + np.arange(width)).reshape(-1)
-    gradient = np.bincount(flat, np.repeat(p[:, None, :], rows.shape[1], 1).reshape(-1), len(used) * width).reshape(len(used), width)
+    order = np.argsort(rows, axis=None, kind="stable")
+    flat = rows.reshape(-1)[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    used, gradient = flat[first], np.add.reduceat(p.astype(np.float64)[order // rows.shape[1]], first, 0)
     sums[used] += (gradient**2).mean(1)
     weights[used] -= (RATE * gradient / np.sqrt(sums[used])[:, None]).astype(np.float32)
 
 
-PARTS = ("classes", "words", "class_sums", "word_sums")
+PARTS = ("classes", "words", "tree", "class_sums", "word_sums", "tree_sums")
 
 
 def trained(docs: DataFrame, model: Model, text_col: str, share: Column) -> Model:
@@ -217,6 +270,10 @@ def trained(docs: DataFrame, model: Model, text_col: str, share: Column) -> Mode
                         inside = np.flatnonzero(tokens.rank[part] < HEAD) + a
                         if len(inside):
                             step(weights["words"], weights["word_sums"], tokens.word_rows(inside), tokens.rank[inside] % CLASS_WORDS)
+                        tail = np.flatnonzero(tokens.leaf[part] >= 0) + a
+                        if len(tail):
+                            for rows, branch in tokens.tree_rows(tail):
+                                step(weights["tree"], weights["tree_sums"], rows, branch)
                     seen += len(tokens.h)
             if seen:
                 for k in PARTS:
@@ -258,10 +315,14 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, id_col: str, text_c
                 if len(inside):
                     z = softmax(m.words, tokens.word_rows(inside))
                     p[inside] += np.log10(np.maximum(z[np.arange(len(z)), tokens.rank[inside] % CLASS_WORDS], 1e-30))
+                tail = np.flatnonzero(tokens.leaf[part] >= 0) + a
+                p[tail] += np.log10(1 - m.rare_total / m.tail_total)
+                for rows, branch in tokens.tree_rows(tail):
+                    p[tail] += np.log10(np.maximum(softmax(m.tree, rows)[np.arange(len(tail)), branch], 1e-30))
             text, known = tokens.text, tokens.count >= 0
             more = np.log10(np.maximum(tokens.count, 0) + 1.0)
-            tail = tokens.rank >= HEAD
-            p[tail] += more[tail] - np.log10(m.tail_total)
+            rare = (tokens.rank >= HEAD) & (tokens.leaf < 0)
+            p[rare] += more[rare] - np.log10(m.tail_total)
             rest = np.flatnonzero(~known)
             at = np.bincount(text[rest], minlength=n)
             return [np.bincount(text, minlength=n), np.bincount(text[tokens.count > 0], minlength=n), np.bincount(text, more, n), np.bincount(text, p, n), at, signed(tokens.h[rest])]

@@ -83,3 +83,30 @@ def test_nothing_to_learn_from_and_repeated_ids(spark):
     assert model.tokens == 7 and all(r["n_known"] == r["n_tokens"] for r in out.collect())
     empty = df.where("false")
     assert score_texts(empty, empty)[0].count() == 0
+
+
+def test_history_decides_among_tail_words(spark, monkeypatch):
+    monkeypatch.setattr(m, "BRANCHES", 8)
+    head = [f"h{k}" for k in range(HEAD)]
+    rng = random.Random(3)
+    rows = [(-1, " ".join(head * 60))]
+    for i in range(300):
+        at = rng.randrange(100)
+        rows.append((i, " ".join(f"t{(at + k) % 100}" for k in range(8))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, model = score_texts(df, df)
+    t = m.Tokens(model)
+    after = {}
+    for before in range(100):
+        t(pa.array([f"t{(before + 99) % 100} t{before} t{k}" for k in range(100)]))
+        at = np.flatnonzero(t.h == 0) - 1
+        assert (t.rank[at] >= HEAD).all() and (t.leaf[at] >= 0).all()
+        p = np.ones(100)
+        for tree, branch in t.tree_rows(at):
+            z = m.softmax(model.tree, tree)
+            assert np.allclose(z.sum(1), 1, atol=1e-4)
+            p *= z[np.arange(100), branch]
+        after[before] = p
+    assert model.depth > 1 and all(p.sum() <= 1.001 for p in after.values())
+    likely = sum(after[k][(k + 1) % 100] > 3 * after[(k + 50) % 100][(k + 1) % 100] for k in range(100))
+    assert likely > 80
