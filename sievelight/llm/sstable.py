@@ -17,14 +17,14 @@ Shards are ranges of identifiers, one task each, written under a temporary name
 whole file. Files are reached by ``pyarrow.fs``, so any store it knows will do.
 
 Defined cases: null and empty texts are a document of the end id alone. Rows with equal ids are all kept, next to each other in
-the order of their ids' content. A null id comes first. Other columns are neither read nor touched.
+the order of a hash of their text, and may span shards, so many rows of one id are no heavier than others. A null id comes first.
+Text that looks like a special token is one, as the library does by default. Other columns are neither read nor touched.
 """
 
 import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import chunks, table, work_dir, written
+from .tokens import encoder
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQQB8s")
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 12, 8
-END, CACHE = 0, 600_000
-#: Rows of a shard, about.
-SHARD_ROWS = 8_000
+END = 0
+#: Rows and bytes of text of a shard, about, whichever are reached first; shards whose ids are summed together.
+SHARD_ROWS, SHARD_BYTES, SHARDS_A_GROUP = 8_000, 32 << 20, 1_000
 
 
 def varint(n: int) -> bytes:
@@ -184,64 +185,18 @@ class Reader:
         return out
 
 
-class Encoder(dict):
-    """Ids of a text as bytes. Byte-level BPE with the usual pattern never joins what stands before a space that follows another
-    character with what stands after, so the runs between spaces are encoded apart and their ids are remembered. Texts where white space meets such a space are encoded whole."""
-
-    def __init__(self, vocabulary: str):
-        super().__init__()
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
-        self.width = 2 if self.model.get_vocab_size() <= 2**16 else 4
-        self.kind = f"<u{self.width}"
-        with open(vocabulary, "rb") as source:
-            self.apart = b'"ByteLevel"' in source.read(4096)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. What is new in the texts is encoded in one call; once CACHE runs are remembered, new ones are
-        forgotten after the call."""
-        split = [t.split(" ") for t in texts]
-        new = set().union(*(r[1:] for r in split)).difference(self) if self.apart else set()
-        plain = [r for r in new if r and not r[0].isspace() and not r[-1].isspace()]
-        self.update(dict.fromkeys(new))
-        # What begins a text has no space before it; a text that white space at a border makes special is encoded whole.
-        heads = [t if not self.apart or not r[0] or r[0][-1].isspace() else r[0] for t, r in zip(texts, split)]
-        ids = self.whole([" " + r for r in plain] + heads)
-        self.update(zip(plain, ids))
-        parts = [[] if h is t else [self[x] for x in r[1:]] for t, r, h in zip(texts, split, heads)]
-        out = [None if None in p else h + b"".join(p) for h, p in zip(ids[len(plain) :], parts)]
-        odd = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(odd, self.whole([texts[k] for k in odd]) if odd else []):
-            out[k] = x
-        if len(self) > CACHE:
-            for r in new:
-                del self[r]
-        return out
-
-
-@cache
-def encoder(vocabulary: str) -> Encoder:
-    """One a worker."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(vocabulary)
-
-
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the shards; returns (shard, path, docs, ids) of each, in order of shards."""
-    shards = max(1, -(-docs.count() // shard_rows))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    shards = max(1, -(-n // shard_rows), -(-size // shard_bytes))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    # The row's number deals out what is equal in both.
+    dealt = rows.repartitionByRange(shards, *order, F.col("row")).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -254,13 +209,15 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
         encode = encoder(vocabulary)
         stop = np.array([end], encode.kind).tobytes()
         for batch in batches:
-            for first, texts in chunks(batch["text"], 1 << 20):
+            for first, texts in chunks(batch["text"]):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(part)
                     writer = Writer(out, encode.width)
-                for id_, ids in zip(batch["id"].slice(first, len(texts)).to_pylist(), encode(texts.to_pylist())):
-                    writer.add(id_, ids + stop)
+                flat, bounds = encode(texts)
+                data, bounds = flat.tobytes(), (bounds * encode.width).tolist()
+                for k, id_ in enumerate(batch["id"].slice(first, len(texts)).to_pylist()):
+                    writer.add(id_, data[bounds[k] : bounds[k + 1]] + stop)
         if writer is not None:
             writer.close()
             out.close()
@@ -274,8 +231,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
 
 def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     """Every document of the shards: id, start (ids of all documents before it), n_tokens and ids_crc32."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    per = shards.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    # Sums within groups of shards, and over the groups: no task sees all shards.
+    group = F.floor(F.col("shard") / SHARDS_A_GROUP)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = shards.groupBy(group.alias("group")).agg(F.sum("ids").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(upto(Window.orderBy("group"))), F.lit(0)))
+    inside = F.coalesce(F.sum("ids").over(upto(Window.partitionBy("group").orderBy("shard"))), F.lit(0))
+    per = shards.withColumn("group", group).withColumn("inside", inside).join(groups.hint("merge"), "group").select("shard", "path", (F.col("base") + F.col("inside")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = place(folder)

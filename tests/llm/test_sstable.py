@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 
-import sievelight.llm.sstable as sstable
-from sievelight.llm.sstable import Encoder, Reader, Writer, lookup, probes, read, write
+from sievelight.llm import tokens
+from sievelight.llm.sstable import Reader, Writer, lookup, probes, read, write
 
 P = pytest.importorskip("public_tokenizers")
 VOCABULARY = P.path("byte_bpe_50k.json")
@@ -18,19 +19,34 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("kept", [20, 600_000])
+@pytest.mark.parametrize("kept", [20, 500_000])
 def test_encoder_equals_whole_texts(monkeypatch, kept):
-    monkeypatch.setattr(sstable, "CACHE", kept)
-    rng, encode, reference = random.Random(3), Encoder(VOCABULARY), plain()
-    parts = ["a", "B", "'s", "'", " ", "  ", "\n", "\t", "é", "日本", "1", "!", "?!", "don't", "<|endoftext|>", "\r\n", "ﬁ", "🙂", "　", "x y", " 's"]
+    monkeypatch.setattr(tokens, "REMEMBERED", kept)
+    rng, encode, reference = random.Random(3), tokens.Encoder(VOCABULARY), plain()
+    assert encode.apart
+    parts = ["a", "B", "'s", "'", " ", " ", "  ", "\n", "\t", "é", "à", "日本", "1", "!", "?!", "don't", "<|endoftext|>", "\r\n", "ﬁ", "🙂", "　", "\xa0", "\x85", "\x1c", "\u2009", "。", "x y", " 's", "long" * 20]
     for _ in range(3000):
         texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(rng.randrange(1, 4))]
-        for text, ids in zip(texts, encode(texts)):
-            assert np.frombuffer(ids, "<u2").tolist() == reference(text), repr(text)
+        flat, bounds = encode(pa.array(texts).slice(len(texts) // 3))
+        for k, text in enumerate(texts[len(texts) // 3 :]):
+            assert flat[bounds[k] : bounds[k + 1]].tolist() == reference(text), repr(text)
+
+
+def test_special_token_is_one_as_the_library_does():
+    flat, bounds = tokens.Encoder(VOCABULARY)(pa.array(["a <|endoftext|> b", "", "plain"]))
+    assert flat[: bounds[1]].tolist() == [64, 220, 50256, 275] == plain()("a <|endoftext|> b") and bounds[1] == bounds[2]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_vocabularies_are_encoded_whole(name):
+    from tokenizers import Tokenizer
+
+    encode, model, texts = tokens.Encoder(P.path(name)), Tokenizer.from_file(P.path(name)), ["Hello  World\n", "", "é x"]
+    flat, bounds = encode(pa.array(texts))
+    assert not encode.apart and [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("width", [2, 4])
@@ -72,7 +88,7 @@ def test_order_of_keys_is_enforced(tmp_path):
 def test_write_and_read(spark, tmp_path):
     rng = random.Random(6)
     texts = [(i * 7 - 50, rng.choice([None, "", "Hello world", "one two\nthree " * rng.randrange(1, 50)])) for i in range(60)]
-    texts += [(3000, "x " * 50_000), (None, "no id"), (13, "again")]
+    texts += [(3000, "x " * 50_000), (None, "no id"), (13, "again"), (None, "a <|endoftext|> b")] + [(77, "same")] * 50
     df = spark.createDataFrame([(t, i, 1) for i, t in texts], "text string, doc_id long, start int").repartition(5)
     shards = write(df, str(tmp_path / "s"), VOCABULARY, shard_rows=20).cache()
     got = read(spark, str(tmp_path / "s"), shards).collect()
