@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters that OCR takes for digits, and their digits.
+#: Letters that OCR takes for digits, their digits, and the shape of a card number by the newer and the older rule.
 LOOKALIKE, LOOKALIKE_DIGITS = "OoIilSsBbZz", "00111558822"
 SIGN = f"0-9{LOOKALIKE}"
 PAN = rf"(?<![{SIGN}])(?:[{SIGN}][ \-]*){{13,19}}(?![{SIGN}])"
-#: Look-alikes away from digits, and everything that is no part of a number.
-NOISE = rf"(?<![0-9])[{LOOKALIKE}](?![0-9])|[^0-9 \-{LOOKALIKE}]"
 STRICT_PAN = r"(?<![0-9])(?:[0-9][ -]?){13,19}(?![0-9])"
 STRICT_LOOKALIKE, STRICT_DIGITS = "OoIilSsBZz", "0011155822"
+#: Look-alikes away from digits, and everything that is no part of a number.
+NOISE = rf"(?<![0-9])[{LOOKALIKE}](?![0-9])|[^0-9 \-{LOOKALIKE}]"
+#: What a text with a candidate has at least. A look-alike stays only beside a digit, so thirteen signs have five digits.
+SOME_DIGITS = "(?:[0-9][^0-9]*+){5}"
+SOME_STRICT = f"(?:[0-9{STRICT_LOOKALIKE}][ -]?+){{13}}"
 OPEN, CLOSE = "\x01", "\x02"
 
 
@@ -24,14 +27,16 @@ def plain(text: Column) -> Column:
 def located(text: Column, pattern: str) -> Column:
     """All matches with their offsets, array of (start, found). Matches are put between marks, the text is split there, and the
     lengths of the parts before add up to the offsets."""
-    parts = F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN, -1)
-    begin = F.struct(F.length(parts[0]).alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("out"))
-    step = lambda a, p: F.struct(
-        (a["at"] + F.length(p) - 1).alias("at"),
-        F.array_append(a["out"], F.struct(a["at"].alias("start"), F.substring_index(p, CLOSE, 1).alias("found"))).alias("out"),
-    )
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.aggregate(rest, begin, step, lambda a: a["out"])
+    def parts_of(parts: Column) -> Column:
+        begin = F.struct(F.length(parts[0]).alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("out"))
+        step = lambda a, p: F.struct(
+            (a["at"] + F.length(p) - 1).alias("at"),
+            F.array_append(a["out"], F.struct(a["at"].alias("start"), F.substring_index(p, CLOSE, 1).alias("found"))).alias("out"),
+        )
+        return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), begin, step, lambda a: a["out"])
+
+    # An array of one binds the parts, which are named thrice, so that they are made once.
+    return F.transform(F.array(F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN, -1)), parts_of)[0]
 
 
 def sanitised(text: Column) -> Column:

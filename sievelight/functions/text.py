@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: What ends a line, beside CR LF.
 LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 BLANK = "\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Fixed value: an amount alone.
 CURRENCY = r"^[£]?\s*-?\d{1,3}(,\d{3})*(\.\d{2})?\s*$"
 #: Words that lift the quality score of a statement's text.
 QUALITY_WORDS = {

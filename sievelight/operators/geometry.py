@@ -70,14 +70,14 @@ def line_spans(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
 def stitch_windows(spans: DataFrame, config: PanConfig = PanConfig()) -> DataFrame:
     """All windows of neighbouring OCR spans of a line that read as a card number: doc_id, page, line_no, start, size, text, digits,
-    avg_conf, min_conf, passed, b6, severity (null: rejected), bbox."""
+    avg_conf, min_conf, passed, b6, severity (null: rejected), bbox, span_ids."""
     ocr = spans.where(F.lower("source") == "ocr")
     b = F.col("bbox")
     span = F.struct(b["x0"].alias("x0"), "yc", "span_id", "text", b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"), F.coalesce("ocr_conf", F.lit(0.0)).alias("conf"))
-    lines = ocr.join(running_lines(ocr, config.line_y_tol_px), ["doc_id", "page", "span_id"]).withColumn("yc", (b["y0"] + b["y1"]) / 2.0)
+    lines = ocr.join(running_lines(ocr, config.line_height), ["doc_id", "page", "span_id"]).withColumn("yc", (b["y0"] + b["y1"]) / 2.0)
     lines = lines.groupBy("doc_id", "page", "line_no").agg(F.array_sort(F.collect_list(span)).alias("s"))
-    low = max(2, config.stitch_window_min)
-    high = max(low, config.stitch_window_max)
+    low = max(2, config.words[0])
+    high = max(low, config.words[1])
     windows = lines.where(F.size("s") >= low).select("*", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.size("s")))).alias("size"))
     windows = windows.select("doc_id", "page", "line_no", "size", "s", F.explode(F.sequence(F.lit(0), F.size("s") - F.col("size"))).alias("start"))
     windows = windows.select("doc_id", "page", "line_no", "start", "size", F.slice("s", F.col("start") + 1, F.col("size")).alias("w"))
@@ -87,22 +87,22 @@ def stitch_windows(spans: DataFrame, config: PanConfig = PanConfig()) -> DataFra
     def fits(a: Column, z: Column) -> Column:
         height = (F.greatest(a["y1"] - a["y0"], F.lit(0.0)) + F.greatest(z["y1"] - z["y0"], F.lit(0.0))) / 2
         height = F.when(height == 0, F.lit(1.0)).otherwise(height)
-        return ~((gap(a, z) > 0) & (gap(a, z) > config.max_x_gap_px) & (gap(a, z) > config.max_x_gap_ratio * height))
+        return ~((gap(a, z) > 0) & (gap(a, z) > config.gap[0]) & (gap(a, z) > config.gap[1] * height))
 
     pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), fits)
-    windows = windows.where(F.forall(w, lambda s: pan.digitish(s["text"], config.digitish_ratio, config.allow_symbol_confusables)) & F.forall(pairs, lambda ok: ok))
+    windows = windows.where(F.forall(w, lambda s: pan.digitish(s["text"], config.digit_share, config.repair_signs)) & F.forall(pairs, lambda ok: ok))
     joined = F.array_join(F.transform(w, lambda s: F.coalesce(s["text"], F.lit(""))), " ")
-    windows = windows.withColumn("text", joined).withColumn("d1", pan.stitched_digits(F.col("text"), False, config.allow_symbol_confusables)).where(F.length("d1").between(13, 19))
-    d6 = pan.stitched_digits(F.col("text"), True, config.allow_symbol_confusables)
-    b6 = ~pan.luhn(F.col("d1")) & F.lit(config.allow_lowercase_b_to_6) & F.lower("text").contains("b") & F.length(d6).between(13, 19) & pan.luhn(d6)
+    windows = windows.withColumn("text", joined).withColumn("d1", pan.stitched_digits(F.col("text"), False, config.repair_signs)).where(F.length("d1").between(13, 19))
+    d6 = pan.stitched_digits(F.col("text"), True, config.repair_signs)
+    b6 = ~pan.luhn(F.col("d1")) & F.lit(config.b_as_6) & F.lower("text").contains("b") & F.length(d6).between(13, 19) & pan.luhn(d6)
     total = F.aggregate(w, F.lit(0.0), lambda a, s: a + s["conf"])
     windows = windows.withColumn("b6", b6).withColumn("avg_conf", total / F.size(w)).withColumn("min_conf", F.array_min(F.transform(w, lambda s: s["conf"])))
     windows = windows.withColumn("digits", F.when(F.col("b6"), d6).otherwise(F.col("d1"))).withColumn("passed", F.col("b6") | pan.luhn(F.col("d1")))
-    weak = (F.col("avg_conf") < config.threshold) | (F.col("min_conf") < config.min_token_conf_threshold)
+    weak = (F.col("avg_conf") < config.threshold) | (F.col("min_conf") < config.weak_word)
     windows = windows.withColumn("severity", F.when(F.col("passed"), "hit").when(weak, "suspicion"))
     edge = lambda f, n: f(F.transform(w, lambda s: s[n]))
     box = F.struct(edge(F.array_min, "x0").alias("x0"), edge(F.array_min, "y0").alias("y0"), edge(F.array_max, "x1").alias("x1"), edge(F.array_max, "y1").alias("y1"))
-    return windows.select("doc_id", "page", "line_no", "start", "size", "text", "digits", "avg_conf", "min_conf", "passed", "b6", "severity", box.alias("bbox"))
+    return windows.select("doc_id", "page", "line_no", "start", "size", "text", "digits", "avg_conf", "min_conf", "passed", "b6", "severity", box.alias("bbox"), F.transform(w, lambda s: s["span_id"]).alias("span_ids"))
 
 
 def stitch_best(windows: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def stitch_detections(spans: DataFrame, config: PanConfig = PanConfig()) -> Data
     """Detections of stitched card numbers."""
     best = stitch_best(stitch_windows(spans, config))
     v = F.filter(F.array(F.lit("regex"), F.lit("stitch"), F.when(F.col("passed"), "luhn"), F.when(F.col("b6"), "confusable:b->6"), F.when(~F.col("passed"), "near_pan")), lambda x: x.isNotNull())
-    return best.select("doc_id", "page", F.lit("card_pan").alias("field_id"), pan.mask(F.col("digits")).alias("text"), F.sha2("digits", 256).alias("raw"), "bbox", F.lit("ocr").alias("source"), "severity", v.alias("validators"), "avg_conf", F.col("size").alias("window_size"))
+    return best.select("doc_id", "page", F.lit("card_pan").alias("field_id"), pan.mask(F.col("digits")).alias("text"), F.sha2("digits", 256).alias("raw"), "bbox", F.lit("ocr").alias("source"), "severity", v.alias("validators"), "avg_conf", F.col("size").alias("window_size"), "span_ids")
 
 
 def stitch_trace(windows: DataFrame) -> DataFrame:

@@ -15,14 +15,20 @@ def blank_out(text: Column, found: Column, sign: str = "█") -> Column:
 
 
 def redact_text(spans: DataFrame, found: DataFrame, sign: str = "█") -> DataFrame:
-    """Spans with their detections blanked out, and the number of those."""
-    per = found.where("start is not null").groupBy("doc_id", "span_id").agg(F.collect_list(F.struct("start", "length")).alias("_r"))
+    """Spans with their detections blanked out, and the number of those. A detection with ``span_ids`` (a stitched number) blanks
+    those spans whole."""
+    ranges = found.where("start is not null").select("doc_id", "span_id", F.struct(F.col("start"), F.col("length")).alias("m")) if "start" in found.columns else None
+    if "span_ids" in found.columns:
+        whole = found.where("span_ids is not null").select("doc_id", F.explode("span_ids").alias("span_id"), F.lit(None).cast("struct<start:int,length:int>").alias("m"))
+        ranges = whole if ranges is None else ranges.unionByName(whole)
+    per = ranges.groupBy("doc_id", "span_id").agg(F.collect_list("m").alias("_r"), F.count("*").alias("_n"), F.count_if(F.col("m").isNull()).alias("_w"))
     out = spans.join(per, ["doc_id", "span_id"], "left")
-    return out.withColumn("redactions", F.when(F.col("_r").isNull(), 0).otherwise(F.size("_r"))).withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(blank_out(F.col("text"), F.col("_r"), sign))).drop("_r")
+    text = F.when(F.col("_w") > 0, F.repeat(F.lit(sign), F.length("text"))).when(F.col("_n") > 0, blank_out(F.col("text"), F.col("_r"), sign)).otherwise(F.col("text"))
+    return out.withColumn("redactions", F.coalesce(F.col("_n"), F.lit(0)).cast("int")).withColumn("text", text).drop("_r", "_n", "_w")
 
 
 def remaining(redacted: DataFrame, detector: str = "card_pan", **options) -> DataFrame:
-    """(doc_id, hits_remaining, remaining) of what the detector still finds."""
+    """(doc_id, hits_remaining, remaining) of what the detector still finds in single spans."""
     found = detectors.get(detector)(redacted, **options)
     return found.groupBy("doc_id").agg(F.count_if(F.col("severity") == "hit").alias("hits_remaining"), F.count("*").alias("remaining"))
 

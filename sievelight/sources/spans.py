@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def line_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "text") -> DataFrame:
-    """One span for each line that isn't blank. span_id is the line's number, page is 0."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(T.lines(F.col(text_col))).alias("no", "line"))
+def line_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One span for each line that isn't blank. span_id is the line's number, page is 0; ``keep`` names columns to carry along."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.posexplode(T.lines(F.col(text_col))).alias("no", "line"))
     rows = rows.withColumn("text", T.strip(F.col("line"))).where("text <> ''")
     y = F.col("no").cast("double")
     box = F.struct(F.lit(0.0).alias("x0"), y.alias("y0"), F.length("text").cast("double").alias("x1"), (y + 1).alias("y1"))
-    return rows.select("doc_id", F.col("no").cast("long").alias("span_id"), "text", box.alias("bbox"), F.lit(0).alias("page"), F.lit(source).alias("source"), F.lit(None).cast("double").alias("ocr_conf"), F.lit("line").alias("span_kind"))
+    return rows.select("doc_id", F.col("no").cast("long").alias("span_id"), "text", box.alias("bbox"), F.lit(0).alias("page"), F.lit(source).alias("source"), F.lit(None).cast("double").alias("ocr_conf"), F.lit("line").alias("span_kind"), *keep)
 
 
 def word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "text") -> DataFrame:
-    """One span for each word of each line; span_id orders them by line and place."""
+    """One span for each word of each line; span_id has the line in its upper 32 bits and the place below."""
     lines = line_spans(docs, id_col, text_col, source)
     words = lines.select("doc_id", "page", "source", "ocr_conf", F.col("bbox.y0").alias("y"), F.posexplode(F.split("text", r"\s+")).alias("k", "text"))
     x = F.col("k").cast("double")
     box = F.struct((x * 10).alias("x0"), F.col("y").alias("y0"), (x * 10 + F.length("text")).alias("x1"), (F.col("y") + 1).alias("y1"))
-    return words.select("doc_id", (F.col("y").cast("long") * 100_000 + F.col("k")).alias("span_id"), "text", box.alias("bbox"), "page", "source", "ocr_conf", F.lit("word").alias("span_kind"))
+    return words.select("doc_id", F.shiftleft(F.col("y").cast("long"), 32).bitwiseOR(F.col("k").cast("long")).alias("span_id"), "text", box.alias("bbox"), "page", "source", "ocr_conf", F.lit("word").alias("span_kind"))
 
 
 def page_spans(doc_text: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def page_spans(doc_text: DataFrame) -> DataFrame:
     rows = doc_text.select("doc_id", "source", "quality_score", F.posexplode("pages").alias("page", "p")).where("p is not null")
     rows = rows.select("doc_id", "source", "quality_score", "page", F.posexplode(T.lines(F.col("p"))).alias("no", "line")).withColumn("text", T.strip(F.col("line"))).where("text <> ''")
     conf = F.when(F.col("source") == "ocr", F.col("quality_score")).otherwise(F.lit(1.0))
-    return rows.select("doc_id", (F.col("page").cast("long") * 1_000_000 + F.col("no")).alias("span_id"), "text", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("bbox"), "page", "source", conf.alias("ocr_conf"), F.lit("line").alias("span_kind"))
+    return rows.select("doc_id", F.shiftleft(F.col("page").cast("long"), 32).bitwiseOR(F.col("no").cast("long")).alias("span_id"), "text", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("bbox"), "page", "source", conf.alias("ocr_conf"), F.lit("line").alias("span_kind"))
 
 
 def html_text(html_col: str = "html"):

@@ -46,7 +46,7 @@ def test_nothing(spark, text):
 
 
 def test_low_confidence_is_a_suspicion(spark):
-    (r,) = found(D.card_pan(spans(spark, ("4242 4242 4242 4243", "ocr", 0.60, BOX)), PanConfig(ocr_conf_suspicion_threshold=0.75)))
+    (r,) = found(D.card_pan(spans(spark, ("4242 4242 4242 4243", "ocr", 0.60, BOX)), PanConfig(suspicion_below=0.75)))
     assert r["severity"] == "suspicion" and "luhn" not in r["validators"]
     assert found(D.card_pan(spans(spark, ("4242 4242 4242 4243", "ocr", 0.90, BOX)))) == []
     assert len(found(D.card_pan(spans(spark, ("4242 4242 4242 4243", "ocr", None, BOX))))) == 1
@@ -68,7 +68,7 @@ def boxes(n=4):
 
 def test_stitching_with_b_as_6(spark):
     df = spans(spark, *zip(["4000", "123%", "Sb78", "9017"], ["ocr"] * 4, [0.95, 0.60, 0.65, 0.90], boxes()))
-    (r,) = found(G.stitch_detections(df, PanConfig(allow_lowercase_b_to_6=True)))
+    (r,) = found(G.stitch_detections(df, PanConfig(b_as_6=True)))
     assert r["severity"] == "hit" and {"stitch", "confusable:b->6"} <= set(r["validators"]) and tuple(r["bbox"]) == (0.0, 0.0, 175.0, 20.0)
 
 
