@@ -71,7 +71,7 @@ p AS (SELECT doc_id, span_id, source, ocr_conf, digits, {luhn('digits')} AS ok F
 
 @query("pan_candidates", f"WITH {PAN_CTE} SELECT doc_id, span_id, digits, ok FROM p")
 def pan_candidates(spark, d):
-    rows = X.all_spans(spark, d).where(F.col("text").rlike("[0-9]")).select("doc_id", "span_id", F.explode(pan.candidates(F.col("text"))).alias("m"))
+    rows = X.all_spans(spark, d).where(F.col("text").rlike(pan.SOME_DIGITS)).select("doc_id", "span_id", F.explode(pan.candidates(F.col("text"))).alias("m"))
     return rows.select("doc_id", "span_id", F.col("m.digits").alias("digits"), pan.luhn(F.col("m.digits")).alias("ok"))
 
 
@@ -85,22 +85,22 @@ def pan_hits(spark, d):
 
 @query("pan_by_lang", f"WITH {HITS} SELECT lang, severity, count(*) AS n FROM h JOIN documents USING (doc_id) GROUP BY ALL")
 def pan_by_lang(spark, d):
-    docs = X.table(spark, d, "documents")
-    found = D.card_pan(S.line_spans(docs.select("doc_id", "text", "lang")))
-    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "severity").agg(F.count("*").alias("n"))
+    spans = S.line_spans(X.table(spark, d, "documents").select("doc_id", "text", "lang"), keep=("lang",))
+    return spans.select("lang", F.explode(D.pan_found(F.col("text"))).alias("m")).groupBy("lang", F.col("m.severity").alias("severity")).agg(F.count("*").alias("n"))
 
 
 STRICT_SIGN = f"0-9{pan.STRICT_LOOKALIKE}"
+STRICT_RE2 = f"\\b[{STRICT_SIGN}](?:[ -]?[{STRICT_SIGN}]){{12,18}}\\b"
 STRICT_CTE = f"""
 s AS ({X.ALL_SPANS_SQL}),
-r AS (SELECT doc_id, span_id, unnest(regexp_extract_all(regexp_replace(text, '[^{STRICT_SIGN} -]', '|', 'g'), '\\b[{STRICT_SIGN}](?:[ -]?[{STRICT_SIGN}]){{12,18}}\\b')) AS m FROM s),
+r AS (SELECT doc_id, span_id, unnest(regexp_extract_all(regexp_replace(text, '[^{STRICT_SIGN} -]', '|', 'g'), '{STRICT_RE2}')) AS m FROM s),
 m AS (SELECT doc_id, span_id, regexp_replace(CASE WHEN length(regexp_replace(m, '[^A-Za-z]', '', 'g')) <= 0.25 * length(regexp_replace(m, '[^0-9A-Za-z]', '', 'g')) THEN translate(m, '{pan.STRICT_LOOKALIKE}', '{pan.STRICT_DIGITS}') ELSE m END, '[^0-9]', '', 'g') AS digits FROM r)"""
 
 
 @query("pan_strict", f"WITH {STRICT_CTE} SELECT doc_id, span_id, digits, {luhn('digits')} AS ok FROM m WHERE length(digits) BETWEEN 13 AND 19")
 def pan_strict(spark, d):
     """Candidates of the older rule."""
-    rows = X.all_spans(spark, d).select("doc_id", "span_id", F.explode(pan.strict_candidates(F.col("text"))).alias("m"))
+    rows = X.all_spans(spark, d).where(F.col("text").rlike(pan.SOME_STRICT)).select("doc_id", "span_id", F.explode(pan.strict_candidates(F.col("text"))).alias("m"))
     return rows.select("doc_id", "span_id", F.col("m.digits").alias("digits"), pan.luhn(F.col("m.digits")).alias("ok"))
 
 
@@ -218,12 +218,12 @@ def sequence_match(spark, d):
 
 
 # --- spans -------------------------------------------------------------------------------------------------------------------
-@query("span_lines", f"SELECT doc_id, span_id, text, CAST(length(text) AS DOUBLE) AS x1 FROM ({X.ALL_SPANS_SQL}) WHERE doc_id < 10000000")
+@query("span_lines", f"SELECT doc_id, span_id, text, CAST(length(text) AS DOUBLE) AS x1 FROM ({X.ALL_SPANS_SQL}) WHERE doc_id >= 0")
 def span_lines(spark, d):
     return S.line_spans(X.table(spark, d, "documents")).select("doc_id", "span_id", "text", "bbox.x1")
 
 
-@query("span_words", f"SELECT doc_id, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM ({X.ALL_SPANS_SQL}) WHERE doc_id < 10000000) GROUP BY doc_id")
+@query("span_words", f"SELECT doc_id, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM ({X.ALL_SPANS_SQL}) WHERE doc_id >= 0) GROUP BY doc_id")
 def span_words(spark, d):
     return S.word_spans(X.table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.length("text")).alias("n_chars"))
 
@@ -305,7 +305,7 @@ def address_line(spark, d):
 
 
 @query("name_header", f"""
-WITH l AS (SELECT c_custkey % 50 AS doc_id, c_custkey AS line_no, CASE WHEN c_custkey % 3 = 0 THEN text WHEN c_custkey % 3 = 1 THEN '1,234.00 5.00 x' ELSE c_name END AS text FROM customer JOIN ({X.STATEMENT_SQL}) s ON c_custkey = s.doc_id WHERE source = 'text' OR c_custkey % 2 = 0),
+WITH l AS (SELECT c_custkey % 50 AS doc_id, c_custkey AS line_no, CASE WHEN c_custkey % 3 = 0 THEN text WHEN c_custkey % 3 = 1 THEN '1,234.00 5.00 x' ELSE c_name END AS text FROM customer JOIN ({X.STATEMENT_SQL}) s ON c_custkey = s.doc_id),
 h AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: regexp_matches(t, '^[£]?\\s*-?\\d{{1,3}}(,\\d{{3}})*(\\.\\d{{2}})?\\s*$'))) AS amounts, regexp_replace(text, '\\s', '', 'g') AS solid FROM l)
 SELECT doc_id, arg_min(text, line_no) AS raw FROM h WHERE regexp_matches(text, '\\p{{L}}') AND amounts < 2 AND length(regexp_replace(solid, '[^0-9.,£$()-]', '', 'g')) <= 0.6 * length(solid) GROUP BY doc_id""")
 def name_header(spark, d):
@@ -326,17 +326,26 @@ def currency_lines(spark, d):
     return X.statement(spark, d).where(T.is_currency(F.col("text"))).select("doc_id")
 
 
+def _gate(words: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(lower(text), '{k}')" for k in words)
+
+
 def _profile_part(field: str, regex: str, words: tuple[str, ...]) -> str:
-    gate = " OR ".join(f"contains(lower(text), '{k}')" for k in words)
-    return f"SELECT doc_id, '{field}' AS field_id, 'bank_identifiers' AS category, unnest(regexp_extract_all(text, '{regex}')) AS raw FROM st WHERE {gate}"
+    return f"SELECT doc_id, '{field}' AS field_id, 'bank_identifiers' AS category, unnest(regexp_extract_all(text, '{regex}')) AS raw, 'hit' AS severity FROM st WHERE {_gate(words)}"
 
 
-PROFILE_CTE = f"st AS ({X.STATEMENT_SQL}), pr AS (" + " UNION ALL ".join(_profile_part(r.field_id, D.PATTERNS[r.primitive][0], r.keywords) for r in D.UK_BANK_STATEMENT[:3]) + ")"
+FIXED = f"regexp_replace(CASE WHEN length(regexp_replace(m, '[^A-Za-z]', '', 'g')) <= 0.25 * length(regexp_replace(m, '[^0-9A-Za-z]', '', 'g')) THEN translate(m, '{pan.STRICT_LOOKALIKE}', '{pan.STRICT_DIGITS}') ELSE m END, '[^0-9]', '', 'g')"
+PROFILE_CTE = f"""st AS ({X.STATEMENT_SQL}),
+sm AS (SELECT doc_id, source, ocr_conf, unnest(regexp_extract_all(regexp_replace(text, '[^{STRICT_SIGN} -]', '|', 'g'), '{STRICT_RE2}')) AS m FROM st WHERE {_gate(D.UK_BANK_STATEMENT[3].keywords)}),
+sd AS (SELECT doc_id, source, ocr_conf, {FIXED} AS digits FROM sm),
+pr AS ({' UNION ALL '.join(_profile_part(r.field_id, D.PATTERNS[r.primitive][0], r.keywords) for r in D.UK_BANK_STATEMENT[:3])}
+  UNION ALL SELECT doc_id, 'card_pan', 'card_numbers', digits, CASE WHEN {luhn('digits')} THEN 'hit' ELSE 'suspicion' END FROM sd
+  WHERE length(digits) BETWEEN 13 AND 19 AND ({luhn('digits')} OR (source = 'ocr' AND ocr_conf < 0.75)))"""
 
 
-@query("profile_run", f"WITH {PROFILE_CTE} SELECT doc_id, field_id, category, raw FROM pr")
+@query("profile_run", f"WITH {PROFILE_CTE} SELECT doc_id, field_id, category, raw, severity FROM pr")
 def profile_run(spark, d):
-    return D.profile(X.statement(spark, d), "uk.bank_statement.v1", raw=True).where("field_id <> 'card_pan'").select("doc_id", "field_id", "category", "raw")
+    return D.profile(X.statement(spark, d), "uk.bank_statement.v1", raw=True).select("doc_id", "field_id", "category", "raw", "severity")
 
 
 @query("precision_filter", f"WITH a AS (SELECT doc_id, CAST(doc_id * 37 % 2000 AS STRING) AS raw, CASE WHEN doc_id % 2 = 0 THEN 'bank_identifiers' ELSE 'card_numbers' END AS category FROM ({X.STATEMENT_SQL})) SELECT doc_id, raw FROM a WHERE NOT (category = 'bank_identifiers' AND regexp_matches(raw, '{T.CURRENCY}'))")
@@ -347,11 +356,11 @@ def precision_filter(spark, d):
 
 # --- other sources -----------------------------------------------------------------------------------------------------------
 @query("conversation_detections", f"""
-WITH s AS (SELECT conv_id, turn, text FROM conversations), c AS (SELECT conv_id, turn, unnest(regexp_extract_all({pan_clean("replace(text, chr(10), ' ')")}, '{PAN_RE2}')) AS m FROM s WHERE regexp_matches(text, '[0-9]')),
+WITH s AS ({X.TURNS_SQL}), c AS (SELECT conv_id, turn, unnest(regexp_extract_all({pan_clean("replace(text, chr(10), ' ')")}, '{PAN_RE2}')) AS m FROM s WHERE regexp_matches(text, '[0-9]')),
 d AS (SELECT *, regexp_replace(translate(m, '{BACK}{GREEK}', '{pan.LOOKALIKE_DIGITS * 2}'), '[^0-9]', '', 'g') AS digits FROM c WHERE NOT contains(m, '*'))
 SELECT conv_id, turn, digits FROM d WHERE length(digits) BETWEEN 13 AND 19""")
 def conversation_detections(spark, d):
-    rows = X.table(spark, d, "conversations").where(F.col("text").rlike("[0-9]"))
+    rows = X.turns(spark, d).where(F.col("text").rlike(pan.SOME_DIGITS))
     return rows.select("conv_id", "turn", F.explode(pan.candidates(F.col("text"))).alias("m")).select("conv_id", "turn", F.col("m.digits").alias("digits"))
 
 
@@ -372,7 +381,7 @@ def event_windows(spark, d):
 # --- photos ------------------------------------------------------------------------------------------------------------------
 @query("best_box_per_label", f"SELECT doc_id, page, label, conf, x1, y1, x2, y2 FROM ({X.BOXES_SQL}) WHERE label IN ('card', 'id_card') QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY conf DESC, x1, y1, x2, y2) = 1")
 def best_box_per_label(spark, d):
-    return V.best_box(X.boxes(spark, d), V.CARD_LABELS).drop("label").join(V.best_box(X.boxes(spark, d), V.CARD_LABELS).select("doc_id", "page", "label"), ["doc_id", "page"])
+    return V.best_box(X.boxes(spark, d), V.CARD_LABELS)
 
 
 def _roi_sql(labels: str, x0: str, y0: str, x1: str, y1: str) -> str:
@@ -452,11 +461,20 @@ def redact_text(spark, d):
     return R.redact_text(spans, D.get("uk_sort_code")(spans)).select("doc_id", "text", F.col("redactions").cast("long").alias("redactions"))
 
 
-@query("post_redaction_check", "SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS hits_remaining WHERE false")
+#: Judged numbers are blanked in the cleaned text, one after the other, which is then searched again.
+REDACTED = f"""{PAN_CTE},
+cl AS (SELECT doc_id, span_id, source, ocr_conf, {pan_clean('text')} AS t FROM s WHERE regexp_matches(text, '[0-9]')),
+cm AS (SELECT *, list_filter(regexp_extract_all(t, '{PAN_RE2}'), lambda m: NOT contains(m, '*')) AS ms FROM cl),
+cd AS (SELECT *, list_filter([{{'m': m, 'd': regexp_replace(translate(m, '{BACK}{GREEK}', '{pan.LOOKALIKE_DIGITS * 2}'), '[^0-9]', '', 'g')}} FOR m IN ms], lambda x: length(x.d) BETWEEN 13 AND 19 AND {luhn('x.d')}) AS hits FROM cm),
+ct AS (SELECT *, list_reduce(list_prepend(t, [x.m FOR x IN hits]), lambda a, m: replace(a, m, repeat('█', length(m)))) AS t2 FROM cd WHERE len(hits) > 0),
+ca AS (SELECT doc_id, span_id, len(hits) AS n, [regexp_replace(translate(m, '{BACK}{GREEK}', '{pan.LOOKALIKE_DIGITS * 2}'), '[^0-9]', '', 'g') FOR m IN regexp_extract_all(t2, '{PAN_RE2}') IF NOT contains(m, '*')] AS again FROM ct)"""
+
+
+@query("post_redaction_check", f"WITH {REDACTED} SELECT doc_id, CAST(sum(n) AS BIGINT) AS hits, CAST(sum(len(list_filter(again, lambda d: length(d) BETWEEN 13 AND 19 AND {luhn('d')}))) AS BIGINT) AS hits_remaining FROM ca GROUP BY doc_id")
 def post_redaction_check(spark, d):
-    """Documents where a card number is still found after redaction: none."""
-    spans = X.all_spans(spark, d)
-    return R.remaining(R.redact_text(spans, D.card_pan(spans))).where("hits_remaining > 0").select("doc_id", "hits_remaining")
+    """Documents with a valid card number: how many, and how many are found after redaction."""
+    rows = packs.pan_rows(X.all_spans(spark, d).select("doc_id").distinct(), X.all_spans(spark, d))
+    return rows.where("hits > 0").select("doc_id", F.col("hits").cast("long").alias("hits"), F.col("hits_remaining").cast("long").alias("hits_remaining"))
 
 
 @query("render_boxes", f"""
@@ -507,27 +525,24 @@ def decision_id(spark, d):
 
 
 PCI = f"""WITH {HITS}, n AS (SELECT doc_id, sum(length(text)) AS c FROM s GROUP BY doc_id), q AS (SELECT doc_id, count(*) FILTER (severity = 'hit') AS hits, count(*) FILTER (severity = 'suspicion') AS sus FROM h GROUP BY doc_id),
-docs AS (SELECT doc_id FROM documents UNION ALL SELECT c_custkey + 10000000 FROM customer)"""
+docs AS (SELECT doc_id FROM documents UNION ALL SELECT -1 - c_custkey FROM customer)"""
 
 
 @query("decision_pci", f"""{PCI} SELECT docs.doc_id, CASE WHEN coalesce(c, 0) < 30 THEN 'REJECTED' WHEN coalesce(sus, 0) > 0 THEN 'REVIEW' ELSE 'CONFIRMED' END AS decision,
   CASE WHEN coalesce(c, 0) < 30 THEN 'EXTRACTION_EMPTY' WHEN coalesce(sus, 0) > 0 THEN 'PAN_SUSPECT_OCR_LOW_CONF' ELSE '' END AS reasons FROM docs LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id)""")
 def decision_pci(spark, d):
-    spans = X.all_spans(spark, d)
-    docs = X.table(spark, d, "documents").select("doc_id").union(X.table(spark, d, "customer").select(F.col("c_custkey") + 10_000_000))
-    found = D.card_pan(spans, packs.PCI_CONFIG)
-    left = R.remaining(R.redact_text(spans, found)).select("doc_id", "remaining")
-    return _decided(policy.decide_pci(policy.flags(packs.char_counts(docs, spans), found).join(left, "doc_id", "left")))
+    docs = X.table(spark, d, "documents").select("doc_id").union(X.table(spark, d, "customer").select(-1 - F.col("c_custkey")))
+    return _decided(policy.decide_pci(packs.pan_rows(docs, X.all_spans(spark, d))))
 
 
-UK = f"""WITH {PROFILE_CTE}, k AS (SELECT doc_id, count(*) AS hits FROM pr GROUP BY doc_id), z AS (SELECT st.doc_id, length(text) AS c, CAST(st.doc_id % 10 AS DOUBLE) / 10 AS q, coalesce(hits, 0) AS hits FROM st LEFT JOIN k USING (doc_id))"""
+UK = f"""WITH {PROFILE_CTE}, k AS (SELECT doc_id, count(*) AS hits FROM pr WHERE severity = 'hit' GROUP BY doc_id), z AS (SELECT st.doc_id, length(text) AS c, CAST(st.doc_id % 10 AS DOUBLE) / 10 AS q, coalesce(hits, 0) AS hits FROM st LEFT JOIN k USING (doc_id))"""
 
 
 @query("decision_uk", f"""{UK} SELECT doc_id, CASE WHEN q < 0.5 OR c < 20 THEN 'REJECTED' WHEN hits = 0 THEN 'REVIEW' ELSE 'CONFIRMED' END AS decision,
   CASE WHEN q < 0.5 THEN 'EXTRACTION_QUALITY_LOW' WHEN c < 20 THEN 'EXTRACTION_EMPTY' WHEN hits = 0 THEN 'NO_PII_FOUND' ELSE '' END AS reasons FROM z""")
 def decision_uk(spark, d):
     spans = X.statement(spark, d)
-    found = D.strict(D.profile(spans, "uk.bank_statement.v1")).where("field_id <> 'card_pan'")
+    found = D.strict(D.profile(spans, "uk.bank_statement.v1"))
     rows = policy.flags(packs.char_counts(spans, spans), found).withColumn("quality_score", (F.col("doc_id") % 10).cast("double") / 10)
     return _decided(policy.decide_uk(rows, least_chars=20))
 

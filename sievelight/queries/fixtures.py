@@ -57,32 +57,42 @@ def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(*STATEMENT_COLUMNS, box, "0 AS page", "'line' AS span_kind")
 
 
-#: Lines of documents and statement lines together; doc_id of the latter follow after 10 million.
+#: Lines of documents and statement lines together; the latter have negative ids, so they never meet those of documents.
 ALL_SPANS_SQL = f"""
 SELECT doc_id, span_id, text, 'text' AS source, CAST(NULL AS DOUBLE) AS ocr_conf FROM (
   SELECT doc_id, CAST(unnest(range(len(s))) AS BIGINT) AS span_id, regexp_replace(unnest(s), '^\\s+|\\s+$', '', 'g') AS text
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)) WHERE text <> ''
-UNION ALL SELECT doc_id + 10000000, span_id, text, source, ocr_conf FROM ({STATEMENT_SQL})
+UNION ALL SELECT -1 - doc_id, span_id, text, source, ocr_conf FROM ({STATEMENT_SQL})
 """
 
 
 def all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = S.line_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return lines.unionByName(statement(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 10_000_000))
+    return lines.unionByName(statement(spark, sf_dir).withColumn("doc_id", -1 - F.col("doc_id")))
 
 
 #: OCR words from order lines: four-digit groups, some with look-alikes, on lines that wobble.
 GROUPS = ["4242", "4242", "4242", "4242", "4111", "1111", "123%", "Sb78", "9O17", "text", "l2", "55S5"]
 WORD = f"CASE WHEN l_orderkey % 5 = 0 THEN '4242' WHEN l_orderkey % 5 = 1 THEN CASE l_linenumber WHEN 1 THEN '4000' WHEN 2 THEN '123%' WHEN 3 THEN 'Sb78' ELSE '9017' END ELSE CASE (l_partkey + l_linenumber) % {len(GROUPS)} " + " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(GROUPS)) + " END END"
 X0, Y0 = "CAST(l_linenumber * 45 + l_partkey % 3 + (CASE WHEN l_suppkey % 17 = 0 THEN 60 ELSE 0 END) AS DOUBLE)", "CAST((l_partkey % 4) * 3 + (CASE WHEN l_suppkey % 11 = 0 THEN 30 ELSE 0 END) AS DOUBLE)"
-WORD_COLUMNS = ["l_orderkey AS doc_id", "CAST(l_linenumber AS BIGINT) AS span_id", f"{WORD} AS text", f"{X0} AS x0", f"{Y0} AS y0", f"{X0} + 40 AS x1", f"{Y0} + 20 AS y1", "0 AS page", "'ocr' AS source", "CAST(l_partkey % 11 AS DOUBLE) / 10 AS ocr_conf"]
-WORDS_SQL = f"SELECT {', '.join(WORD_COLUMNS)} FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate) = 1"
+#: A line's number is no key of an order's lines, so words are numbered in their order. All lines are words.
+WORD_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+WORD_COLUMNS = ["l_orderkey AS doc_id", f"CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(WORD_ORDER)}) AS BIGINT) AS span_id", f"{WORD} AS text", f"{X0} AS x0", f"{Y0} AS y0", f"{X0} + 40 AS x1", f"{Y0} + 20 AS y1", "0 AS page", "'ocr' AS source", "CAST(l_partkey % 11 AS DOUBLE) / 10 AS ocr_conf"]
+WORDS_SQL = f"SELECT {', '.join(WORD_COLUMNS)} FROM lineitem"
 
 
 def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*WORD_COLUMNS, "l_partkey", "l_suppkey", "l_shipdate")
-    first = rows.groupBy("doc_id", "span_id").agg(F.min_by(F.struct("text", "x0", "y0", "x1", "y1", "page", "source", "ocr_conf"), F.struct("l_partkey", "l_suppkey", "l_shipdate")).alias("r")).select("doc_id", "span_id", "r.*")
-    return first.select("doc_id", "span_id", "text", F.struct("x0", "y0", "x1", "y1").alias("bbox"), "page", "source", "ocr_conf", F.lit("word").alias("span_kind"))
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*WORD_COLUMNS)
+    return rows.select("doc_id", "span_id", "text", F.struct("x0", "y0", "x1", "y1").alias("bbox"), "page", "source", "ocr_conf", F.lit("word").alias("span_kind"))
+
+
+#: Turns of conversations with a card number planted in each.
+TURN = f"text || ' card ' || CASE (conv_id + turn) % {len(CARDS)} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CARDS)) + " END || ' thanks'"
+TURNS_SQL = f"SELECT conv_id, turn, {TURN} AS text FROM conversations"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{TURN} AS text")
 
 
 #: Photos, one per order: size, blur, occlusion, flags.
@@ -101,7 +111,7 @@ FOUND_COLUMNS = [
     "CASE WHEN l_suppkey % 3 = 0 THEN 'hit' ELSE 'suspicion' END AS severity",
     "CASE l_suppkey % 4 WHEN 0 THEN 'visual' WHEN 1 THEN 'roi_ocr' ELSE 'ocr' END AS source",
 ]
-FOUND_SQL = f"SELECT {', '.join(FOUND_COLUMNS)} FROM lineitem WHERE l_suppkey % 5 = 0"
+FOUND_SQL = f"SELECT {', '.join(FOUND_COLUMNS)} FROM lineitem"
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,16 +127,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*BOX_COLUMNS)
 
 
-#: OCR results of two regions by engine.
-RESULT_COLUMNS = ["l_orderkey AS doc_id", "0 AS page", "CASE WHEN l_suppkey % 2 = 0 THEN 'pan' ELSE 'expiry' END AS roi", "l_linenumber AS backend_order", "CASE l_linenumber % 4 WHEN 0 THEN 'apple' WHEN 1 THEN 'paddle' WHEN 2 THEN 'tesseract' ELSE '' END AS engine", "'Card ' || CAST(l_partkey * 7919 AS STRING) || CASE WHEN l_suppkey % 3 = 0 THEN ' 12/34' ELSE '' END AS text", "CAST(l_quantity AS DOUBLE) / 50 AS avg_conf", "l_partkey % 5 <> 0 AS success"]
-RESULTS_SQL = f"SELECT {', '.join(RESULT_COLUMNS)} FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1"
+#: OCR results of two regions by engine; all lines are results.
+RESULT_COLUMNS = ["l_orderkey AS doc_id", "0 AS page", "CASE WHEN l_suppkey % 2 = 0 THEN 'pan' ELSE 'expiry' END AS roi", f"CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(WORD_ORDER)}) AS INT) AS backend_order", "CASE l_linenumber % 4 WHEN 0 THEN 'apple' WHEN 1 THEN 'paddle' WHEN 2 THEN 'tesseract' ELSE '' END AS engine", "'Card ' || CAST(l_partkey * 7919 AS STRING) || CASE WHEN l_suppkey % 3 = 0 THEN ' 12/34' ELSE '' END AS text", "CAST(l_quantity AS DOUBLE) / 50 AS avg_conf", "l_partkey % 5 <> 0 AS success"]
+RESULTS_SQL = f"SELECT {', '.join(RESULT_COLUMNS)} FROM lineitem"
 
 
 def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*RESULT_COLUMNS, "l_partkey", "l_suppkey", "l_quantity")
-    names = ["page", "roi", "engine", "text", "avg_conf", "success"]
-    first = rows.groupBy("doc_id", "backend_order").agg(F.min_by(F.struct(*names), F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("r"))
-    return first.select("doc_id", "backend_order", "r.*")
+    return table(spark, sf_dir, "lineitem").selectExpr(*RESULT_COLUMNS)
 
 
 #: Contour boxes, fourteen to a card, from the keys of parts; some cards are ragged.
