@@ -4,68 +4,73 @@ Indicators of n-grams (words and word shapes) hash into a fixed number of bucket
 ratio of its bucket between the classes, and a linear hinge-loss model is fitted to the scaled indicators by dual coordinate
 descent. A logistic curve, fitted on rows that the descent did not see, turns margins into scores from 0 to 1.
 
-The fit uses at most ``sample_rows`` labelled rows, chosen by a hash of their id; scoring reads whole texts of all rows.
+The fit uses at most ``sample_rows`` labelled ids, chosen by a hash; scoring reads whole texts of all rows.
 
 Defined cases: null and empty texts have no n-gram and score as the bias alone. Labels that are null, and labelled ids without
-a document, are ignored. Rows with the same id are scored one by one. Without labels of both classes every score is 1 or 0, as
-the one class seen says, and 1 with no label at all. Other columns are neither read nor touched.
+a document, are ignored. Of several labels of an id the greatest counts, of several texts of an id the least (by bytes). Rows with
+the same id are scored one by one. Without labels of both classes every score is 1 or 0, as the one class seen says, and 1 with no
+label at all. A column of the score's name is an error. Other columns are neither read nor touched.
 """
 
-
-
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import HASH_CACHE, WordHashes, fold_of, map_batches, mix, table, unused
+from .shared import FlatTexts, FlatWords, chunks, fold_of, map_batches, mix, table, unused
 
 BUCKETS_LOG2 = 18
 SAMPLE_ROWS = 10_000
-CLASSES = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
-RUN = re.compile(rb"(.)\1+", re.S)
+#: Bytes taken at once, which bounds a worker's memory; a longer text is taken whole.
+CHUNK_BYTES = 1 << 20
+#: Kinds of bytes: upper-case, lower-case (and what isn't ASCII), digits; other signs are a kind each.
+KINDS = np.array([1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b >= 128 else 3 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
 U = np.uint64
 
 
-class Shapes(dict):
-    """Hash of a word's shape: upper-case, lower-case and digit runs become one sign each, other signs stay once a run."""
-
-    def __init__(self, hashes: WordHashes):
-        super().__init__()
-        self.hashes = hashes
-
-    def __missing__(self, word: bytes) -> int:
-        value = self.hashes[b"\x00" + RUN.sub(rb"\1", word.translate(CLASSES))[:12]]
-        if len(self) < HASH_CACHE:
-            self[word] = value
-        return value
-
-
 class Features:
-    """Buckets of the n-gram indicators of a text: word 1- and 2-grams; 1- to 3-grams of word shapes, where a word that repeats
-    the one before has a shape of its own; and each shape with the binary order of its share of the words."""
+    """Buckets of the n-gram indicators of texts: word 1- and 2-grams; 1- to 3-grams of word shapes (runs of a kind of byte are one
+    sign), where a word that repeats the one before has a shape of its own; and each shape with the binary order of its share of
+    the words."""
 
     def __init__(self, buckets_log2: int):
-        self.hashes, self.shift = WordHashes(), U(64 - buckets_log2)
-        self.shapes = Shapes(self.hashes)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        raw = (text or "").encode("utf-8", "surrogatepass").split()
-        if not raw:
-            return np.empty(0, np.uint32)
-        h = self.hashes.of([w.lower() for w in raw])
-        s = np.fromiter(map(self.shapes.__getitem__, raw), U, len(raw))
-        s[1:][h[1:] == h[:-1]] ^= U(0x5851F42D4C957F2D)
-        kinds, counts = np.unique(s, return_counts=True)
-        share = np.maximum(np.log2(counts / len(raw)), -9).astype(np.int64).view(U)
-        parts = [mix(h + U(1)), mix(h[:-1] * U(3) + h[1:] + U(2)), mix(kinds + U(4)), mix(kinds * U(5) + share)]
-        parts += [mix(s[:-1] * U(7) + s[1:] + U(6)), mix((s[:-2] * U(7) + s[1:-1]) * U(7) + s[2:] + U(8))]
-        return np.unique(np.concatenate(parts) >> self.shift).astype(np.uint32)
+        self.flat, self.log2 = FlatWords(), buckets_log2
+
+    def shapes(self, texts: FlatTexts) -> np.ndarray:
+        kinds = KINDS[texts.data]
+        size = texts.ends - texts.starts
+        inside = np.repeat(texts.starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        kinds = kinds[inside]
+        first = np.cumsum(size) - size
+        keep = np.r_[True, kinds[1:] != kinds[:-1]]
+        keep[first] = True
+        return self.flat.hashed(kinds[keep], np.add.reduceat(keep, first, dtype=np.int64))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Different buckets of each text, rising, flat, and the bounds of each text among them."""
+        texts = self.flat(column)
+        h, n = texts.hashes, len(texts)
+        if not len(h):
+            return np.empty(0, np.uint32), np.zeros(n + 1, np.int64)
+        text = np.repeat(np.arange(n), np.diff(texts.bounds)).astype(U)
+        two = text[1:] == text[:-1]
+        three = two[1:] & two[:-1]
+        s = self.shapes(texts)
+        s[1:][two & (h[1:] == h[:-1])] ^= U(0x5851F42D4C957F2D)
+        # Shapes of each text and how often they occur, by the leading bits of their hash.
+        key = np.sort(text << U(44) | s >> U(20))
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        own, kind = (key[new] >> U(44)), key[new] << U(20)
+        share = np.diff(np.r_[new, len(key)]) / np.diff(texts.bounds)[own.astype(np.int64)]
+        order = np.maximum(np.log2(share), -9).astype(np.int64).view(U)
+        found = [(text, h + U(1)), (text[1:][two], (h[:-1] * U(3) + h[1:] + U(2))[two]), (own, kind + U(4)), (own, kind * U(5) + order)]
+        found += [(text[1:][two], (s[:-1] * U(7) + s[1:] + U(6))[two]), (text[2:][three], ((s[:-2] * U(7) + s[1:-1]) * U(7) + s[2:] + U(8))[three])]
+        key = np.sort(np.concatenate([t << U(self.log2) | mix(v) >> U(64 - self.log2) for t, v in found]))
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        return (key & U((1 << self.log2) - 1)).astype(np.uint32), np.searchsorted(key >> U(self.log2), np.arange(n + 1, dtype=U))
 
 
 @dataclass
@@ -78,8 +83,11 @@ class Model:
     offset: float
     buckets_log2: int
 
-    def margin(self, found: np.ndarray) -> float:
-        return float(self.weights[found].sum()) / max(len(found), 1) ** 0.5 + self.bias
+    def margins(self, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of texts with the buckets ``found``, flat."""
+        size = np.diff(bounds)
+        sums = np.bincount(np.repeat(np.arange(len(size)), size), self.weights[found], len(size))
+        return sums / np.sqrt(np.maximum(size, 1)) + self.bias
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
@@ -122,25 +130,37 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(at[0]), 1e-3), float(at[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, buckets_log2: int = BUCKETS_LOG2, cost: float = 1.0, epochs: int = 12, seed: int = 7) -> Model:
-    """Fit to at most ``sample_rows`` labelled documents. The chosen ids are few, so they go to all tasks and the texts are
-    not shuffled; only the chosen rows' indicators reach the driver."""
+def sample(labels: DataFrame, id_col: str, label_col: str, sample_rows: int, seed: int) -> DataFrame:
+    """(k, y) of at most ``sample_rows`` labelled ids, those of the least hashes. A bound on the hash comes first, so that no more
+    than about as many ids meet in one place, whatever the number of partitions."""
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y is not null")
-    chosen = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k")
+    of = known.groupBy("k").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("k", F.lit(seed)))
+    share = 1.2 * sample_rows / max(known.count(), 1)
+    if share < 1:
+        of = of.where(F.col("h") < int(-(2**63) + 2**64 * share))
+    return of.orderBy("h", "k").limit(sample_rows).select("k", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, buckets_log2: int = BUCKETS_LOG2, cost: float = 1.0, epochs: int = 12, seed: int = 7) -> Model:
+    """Fit to at most ``sample_rows`` labelled documents. The chosen ids are at most that many, so they go to all tasks; one text
+    an id moves, and only its indicators reach the driver."""
+    chosen = sample(labels, id_col, label_col, sample_rows, seed)
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("text").alias("text"))
 
     def each():
         features = Features(buckets_log2)
 
         def one(batch: pa.RecordBatch) -> dict:
-            found = [features(t) for t in batch["text"].to_pylist()]
-            return {"k": batch["k"].cast(pa.string()), "y": batch["y"], "f": pa.array([f.tobytes() for f in found], pa.binary())}
+            out = []
+            for _, column in chunks(batch["text"], CHUNK_BYTES):
+                found, bounds = features(column)
+                out += [found[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+            return {"k": batch["k"].cast(pa.string()), "y": batch["y"], "f": pa.array(out, pa.binary())}
 
         return one
 
     got = map_batches(rows, each, "k string, y int, f binary").collect()
-    got.sort(key=lambda r: (xxh(r["k"]), r["f"]))
-    got = got[:sample_rows]
+    got.sort(key=lambda r: (xxh(r["k"]), r["k"]))
     y = np.array([1.0 if r["y"] == 1 else -1.0 for r in got])
     found = [np.frombuffer(r["f"], np.uint32) for r in got]
     width = 1 << buckets_log2
@@ -157,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     w, bias = descend(fit_rows, fit_y, ratio, cost, epochs, seed)
     model = Model(w * ratio, bias, 1.0, 0.0, buckets_log2)
     on = [i for i in range(len(got)) if held[i]] or list(range(len(got)))
-    model.slope, model.offset = logistic(np.array([model.margin(found[i]) for i in on]), y[on])
+    bounds = np.r_[0, np.cumsum([len(found[i]) for i in on])]
+    model.slope, model.offset = logistic(model.margins(np.concatenate([found[i] for i in on]), bounds), y[on])
     return model
 
 
@@ -169,14 +190,16 @@ def xxh(text: str) -> int:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The table with one more column, the score of each text (double, 0 to 1). The model has a fixed size."""
+    if score_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the table has a column {score_col}")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         features = Features(m.buckets_log2)
         for texts in batches:
-            yield pd.Series(m.score(np.array([m.margin(features(t)) for t in texts])), index=texts.index)
+            yield pa.array(np.concatenate([m.score(m.margins(*features(column))) for _, column in chunks(texts, CHUNK_BYTES)] or [np.empty(0)]))
 
     return docs.withColumn(score_col, scored(F.col(text_col)))
 

@@ -138,13 +138,28 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """The table with a column ``name``, a different integer for each row, rising in the order of ids, null ids last. Where ids are
+    whole, different numbers they are that column. Else the rows are numbered in the order of (id, md5 of the text) and written
+    once; rows equal in both are numbered as they come, which spreads them over partitions, too."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.groupBy("id").agg(F.count("*").alias("n")).where("id is null or n > 1").isEmpty():
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    place, text = unused(docs, "place"), unused(docs, "text_md5")
+    order = [F.col(id_col).cast("long").asc_nulls_last(), F.col(text).asc_nulls_last(), F.col(place)]
+    marked = docs.withColumn(place, F.monotonically_increasing_id()).withColumn(text, F.md5(F.col(text_col).cast("binary")))
+    parts = max(1, -(-docs.count() // 100_000))
+    dealt = marked.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(place, text)
+    return written(dealt.withColumn(name, F.monotonically_increasing_id()))
+
+
 def fold_of(column: str, parts: int) -> Column:
     """crc32 of an id as text, modulo parts; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-#: Bytes hashed at once, about; a longer run without white space is taken whole.
-BLOCK_BYTES = 1 << 21
+#: Bytes hashed at once, about, which stay in a core's cache; a longer run without white space is taken whole.
+BLOCK_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -193,13 +208,21 @@ class FlatWords:
         edge[offsets] = True
         starts = np.flatnonzero(word[1:] & (~word[:-1] | edge) & np.r_[word[1:-1], False])
         ends = np.flatnonzero(word[:-1] & (~word[1:] | edge))
+        return FlatTexts(data, offsets, starts, ends, self.blocks(data, starts, ends))
+
+    def blocks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         hashes = np.empty(len(starts), np.uint64)
         a = 0
         while a < len(starts):
             b = max(int(np.searchsorted(ends, starts[a] + BLOCK_BYTES, "right")), a + 1)
             hashes[a:b] = self.block(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a])
             a = b
-        return FlatTexts(data, offsets, starts, ends, hashes)
+        return hashes
+
+    def hashed(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Hashes of words that stand next to each other, of the given sizes."""
+        ends = np.cumsum(sizes)
+        return self.blocks(data, ends - sizes, ends)
 
 
 class FlatTexts:
