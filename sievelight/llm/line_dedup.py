@@ -1,45 +1,45 @@
 """Line dedup by an exact set-similarity self-join.
 
 A line is the set of its words. A line goes if an earlier line of the corpus, in the order of (doc_id, line number), has a
-Jaccard likeness to it of THRESHOLD per cent or more; whether that line goes itself does not matter. The query and the stage
-take every line that has a word; ``removals`` can leave out lines of fewer than ``least`` different words (LEAST_WORDS unless
-given).
+Jaccard likeness to it of THRESHOLD per cent or more; whether that line goes itself does not matter. Every line that has a word
+takes part, unless ``least`` asks for more different words.
 
 1. Word frequencies go into a counting sketch of a fixed size, which orders words by rarity (any total order is exact).
-2. The first line of each set settles the others with that set: they are later matches of it.
-3. Each line is posted under the rarest words of its set, its prefix: two sets above the threshold share one. Under very common
-   words, postings are dealt to pairs of blocks, so that no word's group is unbounded. A task posts a set once. A set so small
-   that no other set can be near it (n / (n + 1) below the threshold) needs no posting: step 2 finds all its matches.
-4. Inside a word's group, lines are compared by length, by position (the bound that holds where their first common word is) and
-   by a parity bitmap (a lower bound of the sets' difference); each later line puts forward its nearest earlier lines, not all
-   pairs.
+2. The first line of each set settles the others with that set: they are later matches of it. A task settles those of its own
+   lines before anything moves, so a line that repeats everywhere is one row a task. Only first lines go on.
+3. Each first line is posted under the rarest words of its set, its prefix: two sets above the threshold share one. Under very
+   common words, postings are dealt to pairs of blocks, so that no word's group is unbounded. A set so small that no other set can
+   be near it (n / (n + 1) below the threshold) needs no posting: step 2 finds all its matches.
+4. Inside a word's group, lines are sorted by length and compared by length, by position (the bound that holds where their first
+   common word is) and by a parity bitmap (a lower bound of the sets' difference); each later line puts forward its nearest earlier
+   lines, not all pairs.
 5. The nearest candidate of each line is verified on full sets; then, for lines not settled, all others; where a group held more
    candidates than were put forward, it is gone through again for the unsettled lines without that limit.
 
-Defined cases: null texts have no line, empty ones one, without words. Null ids come last in the order. Rows with equal ids are
-not earlier than each other, line by line. Other columns are neither read nor touched.
+Defined cases: null texts have no line, empty ones one, without words. Rows with equal ids are rows of their own, in the order of
+their texts' md5; null ids come last. Other columns are neither read nor touched.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import FlatWords, chunks, discard, lists, map_batches, mix, signed, table, unused, written
+from .shared import FlatWords, chunks, discard, keyed, lists, map_batches, mix, signed, table, unused, written
 
-THRESHOLD, LEAST_WORDS, SKETCH_LOG2, BLOCK_ROWS, PUT_FORWARD = 80, 5, 21, 40_000, 16
+THRESHOLD, LEAST_WORDS, SKETCH_LOG2, BLOCK_ROWS, PUT_FORWARD = 80, 1, 21, 40_000, 16
 #: Bytes that are taken at once, which bounds a worker's memory; a longer text is taken whole.
 CHUNK_BYTES = 4 << 20
-#: Keys up to which a table of them goes to all tasks.
-FEW_KEYS = 500_000
-#: Sets that a task remembers to have posted.
-POSTED = 500_000
-LAST = 2**63 - 1
+#: Sets that a task remembers at least, to settle their copies by itself.
+SEEN = 500_000
 U = np.uint64
-PARTS = 64
+#: Parts of the sketch that are summed apart, and tasks that do it.
+PARTS, SUMMING = 256, 16
+#: Rows of three integers up to which a table of leftover keys or lines goes to all tasks; past it, it is joined by shuffle.
+FEW = 200_000
 
 
 def need(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
@@ -55,7 +55,7 @@ def sketch(docs: DataFrame, text_col: str, log2: int) -> np.ndarray:
         flat, total = FlatWords(), np.zeros(1 << log2, np.int64)
         for batch in batches:
             for _, texts in chunks(batch.column(0), CHUNK_BYTES):
-                total += np.bincount((flat(texts).hashes >> U(64 - log2)).astype(np.int64), minlength=1 << log2)
+                np.add.at(total, (flat(texts).hashes >> U(64 - log2)).astype(np.int64), 1)
         rows = []
         for k in range(PARTS):
             at = np.flatnonzero(total[k * part : (k + 1) * part])
@@ -63,28 +63,53 @@ def sketch(docs: DataFrame, text_col: str, log2: int) -> np.ndarray:
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["k", "at", "n"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(part, np.int64)
-        for at, n in zip(pdf["at"], pdf["n"]):
-            total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "n": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, n in zip(batch["k"].to_pylist(), batch["at"].to_pylist(), batch["n"].to_pylist()):
+                total.setdefault(k, np.zeros(part, np.int64))[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["k", "n"])
 
-    got = docs.select(F.col(text_col)).mapInArrow(count, "k int, at binary, n binary").groupBy("k").applyInPandas(add, "k int, n binary").collect()
+    got = docs.select(F.col(text_col)).mapInArrow(count, "k int, at binary, n binary").repartition(SUMMING, "k").mapInArrow(add, "k int, n binary").collect()
     out = np.zeros(1 << log2, np.int32)
     for r in got:
         out[r["k"] * part : (r["k"] + 1) * part] = np.frombuffer(r["n"], np.int32)
     return out
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, threshold: int, least: int) -> DataFrame:
-    """Every line with enough words: doc, line, n (different words), h1 and h2 (hash of the set), b1 and b2 (parity bitmap), keys
-    (of its prefix; several for a very common word) and at (their positions in the order). Without keys, b1 and b2 are 0."""
+class Seen:
+    """Sets that a task has met, by hash, with the place of one of their lines; past ``SEEN`` it starts anew, which costs
+    postings and loses nothing."""
+
+    def __init__(self):
+        self.h, self.row, self.line = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def copies(self, h: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Which of these lines have an earlier one of the same set, here or before."""
+        all_h, all_row, all_line = np.concatenate([self.h, h]), np.concatenate([self.row, row]), np.concatenate([self.line, line])
+        order = np.lexsort((all_line, all_row, all_h))
+        all_h = all_h[order]
+        first = np.r_[True, all_h[1:] != all_h[:-1]][: len(all_h)]
+        out = np.empty(len(all_h), bool)
+        out[order] = ~first
+        if first.sum() <= SEEN:
+            keep = order[first]
+            self.h, self.row, self.line = all_h[first], all_row[keep], all_line[keep]
+        else:
+            self.__init__()
+        return out[len(out) - len(h) :]
+
+
+def prefixes(docs: DataFrame, row_col: str, text_col: str, counts: np.ndarray, threshold: int, least: int) -> DataFrame:
+    """Every line with enough words: row, line, n (different words), h1 and h2 (hash of the set), b1 and b2 (parity bitmap), keys
+    (of its prefix; several for a very common word) and at (their positions in the order). A line whose set this task has met in
+    an earlier line has n = 0, hashes of its own, and no keys."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     log2 = int(len(counts)).bit_length() - 1
 
     def each():
-        flat, counts = FlatWords(), sent.value
-        posted: dict[int, tuple[int, int]] = {}
+        flat, counts, seen = FlatWords(), sent.value, Seen()
 
         def some(ids: np.ndarray, column: pa.Array) -> list:
             texts = flat(column)
@@ -95,41 +120,53 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, th
             new = np.r_[True, (text[1:] != text[:-1]) | (line[1:] != line[:-1])]
             first, of = np.flatnonzero(new), np.cumsum(new) - 1
             text, line = text[first], line[first]
-            freq = counts[(h >> U(64 - log2)).astype(np.int64)]
+            freq = np.minimum(counts[(h >> U(64 - log2)).astype(np.int64)], 2**20 - 1)
             # Line, frequency and hash in one integer; the rare cases that it can't tell apart are sorted by all three.
             key = (of.astype(U) << U(44)) | (np.minimum(freq, 4095).astype(U) << U(32)) | (h >> U(32))
             order = np.argsort(key)
-            if len(first) >= 2**20 or ((key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
+            key, h, freq = key[order], h[order], freq[order]
+            if len(first) >= 2**20 or ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+                back = np.argsort(order)
+                h, freq = h[back], freq[back]
                 order = np.lexsort((h, np.minimum(freq, 4095), of))
-            h, of, freq = h[order], of[order], freq[order]
+                h, freq = h[order], freq[order]
+                of = of[order]
+            else:
+                of = (key >> U(44)).astype(np.int64)
             fresh = np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])]
-            n = np.bincount(of[fresh], minlength=len(first))
-            fresh &= n[of] >= least
-            h, of, freq, ok = h[fresh], of[fresh], freq[fresh], n >= least
-            if not len(h):
-                return []
-            text, line, n = text[ok], line[ok], n[ok]
+            h, of, freq = h[fresh], of[fresh], freq[fresh]
+            n = np.bincount(of, minlength=len(first))
+            if least > 1:
+                ok = n >= least
+                h, freq, text, line, n = h[ok[of]], freq[ok[of]], text[ok], line[ok], n[ok]
+                if not len(h):
+                    return []
             start = np.cumsum(n) - n
-            of = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(h)) - start[of]
             m = mix(h + U(5))
-            bit = U(1) << (m & U(63))
-            half = (m >> U(6)) & U(1) == 0
-            b1, b2 = np.bitwise_xor.reduceat(np.where(half, bit, U(0)), start), np.bitwise_xor.reduceat(np.where(half, U(0), bit), start)
-            h1, h2 = np.add.reduceat(m, start), np.add.reduceat(mix(h + U(2)), start)
-            # A word seen once in all can't be shared; a set that this task has posted for an earlier line needs no other posting.
-            # The nearest to a set of n words that is not the same has a likeness of n / (n + 1).
-            again = 100 * n < threshold * (n + 1)
-            near = np.flatnonzero(~again)
-            for i, x, place in zip(near.tolist(), h1[near].tolist(), zip(ids[text[near]].tolist(), line[near].tolist())):
-                if (before := posted.get(x)) is not None and before < place:
-                    again[i] = True
-                elif before is not None or len(posted) < POSTED:
-                    posted[x] = place
-            pick = (at < (n - -(-threshold * n // 100) + 1)[of]) & (freq > 1) & ~again[of]
-            own, at, h, freq = of[pick], at[pick], h[pick], freq[pick]
-            mute = np.bincount(own, minlength=len(n)) == 0
-            b1[mute], b2[mute] = 0, 0
+            h1 = np.add.reduceat(m, start)
+            row = ids[text]
+            # The later lines of a set are settled, and so is a set that no other can be near: the nearest to a set of n words that
+            # is not the same has a likeness of n / (n + 1).
+            copy = seen.copies(h1, row, line.astype(np.int64))
+            post = ~copy & (100 * n >= threshold * (n + 1))
+            live = np.repeat(~copy, n)
+            h2 = np.zeros(len(n), U)
+            b1, b2 = np.zeros(len(n), U), np.zeros(len(n), U)
+            keep = n[~copy]
+            if len(keep):
+                begin, mine, hash_ = np.cumsum(keep) - keep, m[live], h[live]
+                h2[~copy] = np.add.reduceat(mix(hash_ + U(2)), begin)
+                bit = U(1) << (mine & U(63))
+                half = (mine >> U(6)) & U(1) == 0
+                b1[~copy], b2[~copy] = np.bitwise_xor.reduceat(np.where(half, bit, U(0)), begin), np.bitwise_xor.reduceat(np.where(half, U(0), bit), begin)
+            # A word seen once in all can't be shared.
+            prefix = np.where(post, n - -(-threshold * n // 100) + 1, 0)
+            own = np.repeat(np.arange(len(n)), prefix)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            pick = start[own] + at
+            shared = freq[pick] > 1
+            own, at, pick = own[shared], at[shared], pick[shared]
+            h, freq = h[pick], freq[pick]
             blocks = np.maximum(freq // BLOCK_ROWS, 1).astype(np.int64)
             if (blocks > 1).any():
                 mine = (mix(h1[own] ^ U(3)) % blocks.astype(U)).astype(np.int64)
@@ -137,20 +174,28 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, th
                 own, at, h, mine, blocks = (np.repeat(v, blocks) for v in (own, at, h, mine, blocks))
                 low, high = np.minimum(mine, other), np.maximum(mine, other)
                 h = np.where(blocks > 1, mix(h + (low * blocks + high).astype(U)), h)
-            return [ids[text], line.astype(np.int32), n.astype(np.int32), signed(h1), signed(h2), signed(b1), signed(b2), np.bincount(own, minlength=len(n)), signed(h), at.astype(np.int32)]
+            h1[copy], h2[copy] = mix(row[copy].view(U) * U(31) + line[copy].astype(U)), 0
+            return [row, line.astype(np.int32), np.where(copy, 0, n).astype(np.int32), signed(h1), signed(h2), signed(b1), signed(b2), np.bincount(own, minlength=len(n)), signed(h), at.astype(np.int32)]
 
         def one(batch: pa.RecordBatch) -> dict | None:
             ids = batch["id"].to_numpy(zero_copy_only=False)
             got = [g for a, texts in chunks(batch["text"], CHUNK_BYTES) if (g := some(ids[a:], texts))]
             if not got:
                 return None
-            doc, line, n, h1, h2, b1, b2, count, keys, at = (np.concatenate(x) for x in zip(*got))
-            return {"doc": doc, "line": line, "n": n, "h1": h1, "h2": h2, "b1": b1, "b2": b2, "keys": lists(keys, count, pa.int64()), "at": lists(at, count, pa.int32())}
+            row, line, n, h1, h2, b1, b2, count, keys, at = (np.concatenate(x) for x in zip(*got))
+            return {"row": row, "line": line, "n": n, "h1": h1, "h2": h2, "b1": b1, "b2": b2, "keys": lists(keys, count, pa.int64()), "at": lists(at, count, pa.int32())}
 
         return one
 
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(texts, each, "doc long, line int, n int, h1 long, h2 long, b1 long, b2 long, keys array<long>, at array<int>")
+    texts = docs.select(F.col(row_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(texts, each, "row long, line int, n int, h1 long, h2 long, b1 long, b2 long, keys array<long>, at array<int>")
+
+
+def settled(lines: DataFrame) -> DataFrame:
+    """The lines with ``copy``: whether an earlier line has the same set. Rows of a set are at most one a task and SEEN sets."""
+    first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("row", "line")) == 1
+    copy = (F.col("n") == 0) | ~first
+    return lines.withColumn("copy", copy).select("row", "line", "n", "h1", "b1", "b2", *(F.when(F.col("copy"), None).otherwise(F.col(c)).alias(c) for c in ("keys", "at")), "copy")
 
 
 def popcount(v: np.ndarray) -> np.ndarray:
@@ -158,7 +203,7 @@ def popcount(v: np.ndarray) -> np.ndarray:
 
 
 class Groups:
-    """Candidates inside the groups of one key; rows come sorted by key."""
+    """Candidates inside the groups of one key; rows come sorted by key and number of words."""
 
     #: Group size from which each row is compared with all before it at once.
     LARGE = 300
@@ -175,7 +220,7 @@ class Groups:
         apart = popcount(r["b1"][i] ^ r["b1"][j]) + popcount(r["b2"][i] ^ r["b2"][j])
         ok = (apart <= n + m - 2 * least) & ((r["h"][i] != r["h"][j]) | (n != m) | (apart > 0))
         i, j, apart = i[ok], j[ok], apart[ok]
-        di, dj, li, lj = r["doc"][i], r["doc"][j], r["line"][i], r["line"][j]
+        di, dj, li, lj = r["row"][i], r["row"][j], r["line"][i], r["line"][j]
         later, same = (di > dj) | ((di == dj) & (li > lj)), (di == dj) & (li == lj)
         i, j = np.where(later, i, j), np.where(later, j, i)
         ok = r["open"][i] & ~same
@@ -192,12 +237,14 @@ class Groups:
         at = np.flatnonzero(np.repeat(length < self.LARGE, length))
         d = 1
         while len(at := at[rank[at] >= d]):
+            at = at[100 * r["n"][at - d] >= self.threshold * r["n"][at]]  # those before are shorter still
             found.append(self.near(r, at, at - d))
             d += 1
         for s, n in zip(start[length >= self.LARGE], length[length >= self.LARGE]):
             waiting = []
+            from_ = s + np.searchsorted(r["n"][s : s + n] * 100, self.threshold * r["n"][s : s + n])
             for i in range(s + 1, s + n):
-                waiting.append(self.near(r, np.full(i - s, i), np.arange(s, i)))
+                waiting.append(self.near(r, np.full(i - from_[i - s], i), np.arange(from_[i - s], i)))
                 if sum(len(x[0]) for x in waiting) > 1_000_000:  # nothing but the nearest is needed of each
                     waiting = [self.nearest(*(np.concatenate(x) for x in zip(*waiting)), self.limit + 1 if self.limit else 0)]
             found += waiting
@@ -222,27 +269,33 @@ class Groups:
         return i, j, apart
 
 
-def candidates(lines: DataFrame, threshold: int, limit: int, keys: DataFrame | None = None) -> DataFrame:
-    """(xd, xl, yd, yl, apart, more): later line x, earlier line y; for each x of a group the ``limit`` nearest, or all if 0. If
-    ``lines`` has a column ``open``, only for those x where it holds, and if there are ``keys``, only under those. A posting is six
-    integers."""
+def few(df: DataFrame) -> DataFrame:
+    """The table for a join: sent to all tasks if it is small, else by shuffle."""
+    return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
+
+
+def candidates(lines: DataFrame, threshold: int, limit: int, only: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """(xd, xl, yd, yl, apart, more): later line x, earlier line y; for each x of a group the ``limit`` nearest, or all if 0. With
+    ``only`` and ``keys``, just for those x and under those keys. A posting is six integers."""
     half = F.lit(2**32 - 1)
-    shut = F.when(F.col("open"), F.lit(0)).otherwise(F.lit(2**31)) if "open" in lines.columns else F.lit(0)
-    posts = lines.select(F.explode(F.arrays_zip("keys", "at")).alias("p"), "doc", "b1", "b2", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("h1").bitwiseAND(half)).alias("line_h"), F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(shut).alias("n_"))
-    posts = posts.select(F.col("p.keys").alias("key"), "doc", "line_h", F.col("n_").bitwiseOR(F.col("p.at").cast("long")).alias("n_at"), "b1", "b2")
+    posts = lines.where(F.size("keys") > 0).select(F.explode(F.arrays_zip("keys", "at")).alias("p"), "row", "b1", "b2", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("h1").bitwiseAND(half)).alias("line_h"), F.shiftleft(F.col("n").cast("long"), 32).alias("n_"))
+    posts = posts.select(F.col("p.keys").alias("key"), "row", "line_h", F.col("n_").bitwiseOR(F.col("p.at").cast("long")).alias("n_at"), "b1", "b2")
     if keys is not None:
-        posts = posts.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys.hint("merge"), "key", "left_semi")
-    names = ["key", "doc", "line_h", "n_at", "b1", "b2"]
+        place = posts.join(few(keys), "key", "left_semi").withColumn("line", F.shiftright("line_h", 32).cast("int"))
+        posts = place.join(few(only.withColumn("open", F.lit(True))), ["row", "line"], "left").withColumn("n_at", F.when(F.col("open"), F.col("n_at")).otherwise(F.col("n_at").bitwiseOR(F.lit(2**31)))).select(*posts.columns)
+    names = ["key", "row", "line_h", "n_at", "b1", "b2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, held = Groups(threshold, limit), None
 
         def out(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((r["n_at"] >> 32, r["key"]))
+            r = {k: v[order] for k, v in r.items()}
             low = r["n_at"] & (2**32 - 1)
-            r = {"key": r["key"], "doc": r["doc"], "line": r["line_h"] >> 32, "h": r["line_h"] & (2**32 - 1), "n": r["n_at"] >> 32, "at": low & (2**31 - 1), "open": low < 2**31, "b1": r["b1"], "b2": r["b2"]}
+            r = {"key": r["key"], "row": r["row"], "line": r["line_h"] >> 32, "h": r["line_h"] & (2**32 - 1), "n": r["n_at"] >> 32, "at": low & (2**31 - 1), "open": low < 2**31, "b1": r["b1"], "b2": r["b2"]}
             i, j, apart, more = groups(r)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc"][i]), pa.array(r["line"][i].astype(np.int32)), pa.array(r["doc"][j]), pa.array(r["line"][j].astype(np.int32)), pa.array(apart.astype(np.int32)), pa.array(more)], ["xd", "xl", "yd", "yl", "apart", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["row"][i]), pa.array(r["line"][i].astype(np.int32)), pa.array(r["row"][j]), pa.array(r["line"][j].astype(np.int32)), pa.array(apart.astype(np.int32)), pa.array(more)], ["xd", "xl", "yd", "yl", "apart", "more"])
 
         for batch in batches:
             r = {k: batch[k].to_numpy(zero_copy_only=False) for k in names}
@@ -259,14 +312,14 @@ def candidates(lines: DataFrame, threshold: int, limit: int, keys: DataFrame | N
     return posts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "xd long, xl int, yd long, yl int, apart int, more boolean")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, set) of the wanted lines: sorted word hashes as bytes."""
+def sets_of(docs: DataFrame, wanted: DataFrame, row_col: str, text_col: str, side: Callable[[DataFrame], DataFrame] = lambda df: df.hint("merge")) -> DataFrame:
+    """(row, line, set) of the wanted lines: sorted word hashes as bytes."""
 
     def each():
         flat = FlatWords()
 
         def one(batch: pa.RecordBatch) -> dict:
-            doc, line, found = [], [], []
+            row, line, found = [], [], []
             ids, wanted = batch["id"].to_pylist(), batch["lines"].to_pylist()
             for a, column in chunks(batch["text"], CHUNK_BYTES):
                 texts = flat(column)
@@ -275,16 +328,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
                     h, lines = texts[k], of[texts.bounds[k] : texts.bounds[k + 1]]
                     for x in wanted[a + k]:
                         i, j = np.searchsorted(lines, [x, x + 1])
-                        doc.append(ids[a + k])
+                        row.append(ids[a + k])
                         line.append(x)
                         found.append(np.unique(h[i:j]).tobytes())
-            return {"doc": doc, "line": line, "set": pa.array(found, pa.binary())}
+            return {"row": row, "line": line, "set": pa.array(found, pa.binary())}
 
         return one
 
-    per = wanted.groupBy(F.col("doc").alias("id")).agg(F.collect_set("line").alias("lines"))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(texts.join(per.hint("merge"), "id").select("id", "text", "lines"), each, "doc long, line int, set binary").dropDuplicates(["doc", "line", "set"])
+    per = wanted.groupBy(F.col("row").alias("id")).agg(F.collect_set("line").alias("lines"))
+    texts = docs.select(F.col(row_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(texts.join(side(per), "id").select("id", "text", "lines"), each, "row long, line int, set binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -303,46 +356,58 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
         return one
 
-    x = sets.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("set").alias("x")).hint("merge")
-    y = sets.select(F.col("doc").alias("yd"), F.col("line").alias("yl"), F.col("set").alias("y")).hint("merge")
+    x = sets.select(F.col("row").alias("xd"), F.col("line").alias("xl"), F.col("set").alias("x")).hint("merge")
+    y = sets.select(F.col("row").alias("yd"), F.col("line").alias("yl"), F.col("set").alias("y")).hint("merge")
     both = pairs.select("xd", "xl", "yd", "yl").join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
     return map_batches(both.select("xd", "xl", "x", "y"), each, "xd long, xl int").distinct()
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc, line) of the lines that go; lines count from 0, a null id is LAST."""
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(row, line) of both ends."""
+    return pairs.select(F.col("xd").alias("row"), F.col("xl").alias("line")).union(pairs.select(F.col("yd").alias("row"), F.col("yl").alias("line"))).distinct()
+
+
+def removals(docs: DataFrame, row_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
+    """(row, line) of the lines that go; lines count from 0. ``row_col`` tells rows apart and gives their order (see ``keyed``)."""
     counts = sketch(docs, text_col, SKETCH_LOG2)
-    lines = written(prefixes(docs, id_col, text_col, counts, threshold, least))
-    slim = lines.select("h1", "h2", "doc", "line")
-    first = slim.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = written(slim.join(first.hint("merge"), ["h1", "h2"]).where("doc <> first.doc or line <> first.line").select("doc", "line"))
-    found = written(candidates(lines.where(F.size("keys") > 0), threshold, PUT_FORWARD).groupBy("xd", "xl", "yd", "yl").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
-    found = written(found.join(copies.withColumnsRenamed({"doc": "xd", "line": "xl"}).hint("merge"), ["xd", "xl"], "left_anti"))
-    wanted = found.select(F.col("xd").alias("doc"), F.col("xl").alias("line")).union(found.select(F.col("yd").alias("doc"), F.col("yl").alias("line"))).distinct()
-    sets = written(sets_of(docs, wanted, id_col, text_col))
+    lines = written(settled(prefixes(docs, row_col, text_col, counts, threshold, least)))
+    copies = lines.where("copy").select("row", "line")
+    found = written(candidates(lines, threshold, PUT_FORWARD).groupBy("xd", "xl", "yd", "yl").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
+    sets = written(sets_of(docs, ends_of(found), row_col, text_col))
     nearest = found.groupBy("xd", "xl").agg(F.min(F.struct("apart", "yd", "yl")).alias("b")).select("xd", "xl", "b.yd", "b.yl")
     gone = written(verified(nearest, sets, threshold))
     unsettled = found.join(gone, ["xd", "xl"], "left_anti")
-    gone = written(gone.union(verified(unsettled.join(nearest, ["xd", "xl", "yd", "yl"], "left_anti"), sets, threshold)).distinct())
-    again = found.where("more").select("xd", "xl").distinct().join(gone, ["xd", "xl"], "left_anti")
-    again = written(again.select(F.col("xd").alias("doc"), F.col("xl").alias("line"), F.lit(True).alias("open")))
+    gone2 = written(verified(unsettled.join(nearest, ["xd", "xl", "yd", "yl"], "left_anti"), sets, threshold))
+    all_gone, made = gone.union(gone2), [lines, found, sets, gone, gone2]
+    again = found.where("more").select("xd", "xl").distinct().join(all_gone, ["xd", "xl"], "left_anti")
+    again = written(again.select(F.col("xd").alias("row"), F.col("xl").alias("line")))
+    made.append(again)
     if not again.isEmpty():
-        keys = written(lines.join(again.hint("merge"), ["doc", "line"]).select(F.explode("keys").alias("key")).distinct())
-        marked = lines.where(F.size("keys") > 0).join(again.hint("merge"), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        rest = written(candidates(marked, threshold, 0, keys).select("xd", "xl", "yd", "yl").distinct().join(found, ["xd", "xl", "yd", "yl"], "left_anti"))
-        wanted = rest.select(F.col("xd").alias("doc"), F.col("xl").alias("line")).union(rest.select(F.col("yd").alias("doc"), F.col("yl").alias("line"))).distinct()
-        gone = gone.union(verified(rest, written(sets_of(docs, wanted, id_col, text_col)), threshold))
-    out = written(copies.union(gone).distinct())
-    discard(lines)
+        keys = written(lines.join(few(again), ["row", "line"]).select(F.explode("keys").alias("key")).distinct())
+        rest = written(candidates(lines, threshold, 0, again, keys).select("xd", "xl", "yd", "yl").distinct().join(found, ["xd", "xl", "yd", "yl"], "left_anti"))
+        more = written(sets_of(docs, ends_of(rest), row_col, text_col, few))
+        all_gone = all_gone.union(verified(rest, more, threshold))
+        made += [keys, rest, more]
+    out = written(copies.union(all_gone.withColumnsRenamed({"xd": "row", "xl": "line"})))
+    for one in made:
+        discard(one)
     return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_lines", **options: int) -> DataFrame:
-    """The table with one more column, the sorted numbers of the lines of each text that go; null where none goes."""
-    gone = removals(docs, id_col, text_col, **options)
-    of = unused(docs, "of_doc")
-    per = gone.groupBy(F.col("doc").alias(of)).agg(F.sort_array(F.collect_set("line")).alias(removed_col))
-    return docs.join(per.hint("merge"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)) == per[of], "left").drop(of)
+    """The table with one more column, the sorted numbers of the lines of each text that go; null where none goes. A column of that
+    name is an error."""
+    if removed_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the table has a column {removed_col}")
+    name = unused(docs, "row_key")
+    rows = keyed(docs, id_col, text_col, name)
+    return with_removals(rows, removals(rows, name, text_col, **options), name, removed_col).drop(name)
+
+
+def with_removals(rows: DataFrame, gone: DataFrame, row_col: str, removed_col: str) -> DataFrame:
+    of = unused(rows, "of_row")
+    per = gone.groupBy(F.col("row").alias(of)).agg(F.sort_array(F.collect_list("line")).alias(removed_col))
+    return rows.join(per.hint("merge"), rows[row_col] == per[of], "left").drop(of)
 
 
 def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -357,18 +422,19 @@ def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs.select("doc_id", "text"), least=1)
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
-    removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return out.select("doc_id", n.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
+    rows = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", "row_key")
+    gone = removals(rows, "row_key")
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    out = with_removals(rows.select("doc_id", "row_key", n.alias("n_lines")), gone, "row_key", "removed")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that go, with n_chars of the new text; those that lose all their words go too."""
     name, text = unused(docs, "removed_lines"), unused(docs, "text_left")
     left = F.when(F.col(name).isNull(), F.col("text")).otherwise(F.pandas_udf(without, "string")("text", name))
-    out = dedup_lines(docs, removed_col=name, least=1).withColumn(text, left).where(F.col(name).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    out = dedup_lines(docs, removed_col=name).withColumn(text, left).where(F.col(name).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     kinds = dict(docs.dtypes)
     new = {"text": F.col(text), "n_chars": F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kinds["n_chars"])) if "n_chars" in kinds else None}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
@@ -376,21 +442,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 #: The same in SQL. Any total order of words gives an exact prefix join; here it is the exact frequency.
 OP10_SQL = r"""
-WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, md5(text) NULLS LAST) AS r, string_split(text, chr(10)) AS s FROM documents),
 l AS (
-  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS ws
-  FROM (SELECT doc_id, unnest(range(len(s))) AS line, unnest(s) AS t FROM s)),
-k AS (SELECT *, len(ws) AS n, row_number() OVER (PARTITION BY ws ORDER BY doc_id, line) AS rn FROM l WHERE len(ws) >= 5),
-r AS (SELECT *, row_number() OVER () AS id FROM k WHERE rn = 1),
-w AS (SELECT id, n, unnest(ws) AS w FROM r),
-f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
-p AS (SELECT id, n, w FROM (SELECT id, n, w.w, row_number() OVER (PARTITION BY id ORDER BY df, w.w) AS pos FROM w JOIN f USING (w)) WHERE pos <= n - ceil(n * 80 / 100.0) + 1),
+  SELECT r, line, list_sort(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS ws
+  FROM (SELECT r, unnest(range(len(s))) AS line, unnest(s) AS t FROM s)),
+k AS (SELECT *, len(ws) AS n, row_number() OVER (PARTITION BY ws ORDER BY r, line) AS rn FROM l WHERE len(ws) > 0),
+f AS (SELECT *, row_number() OVER () AS id FROM k WHERE rn = 1),
+w AS (SELECT id, n, unnest(ws) AS w FROM f),
+q AS (SELECT w, count(*) AS df FROM w GROUP BY w),
+p AS (SELECT id, n, w FROM (SELECT id, n, w.w, row_number() OVER (PARTITION BY id ORDER BY df, w.w) AS pos FROM w JOIN q USING (w)) WHERE pos <= n - ceil(n * 80 / 100.0) + 1),
 c AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b ON a.w = b.w AND a.id <> b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
 g AS (
-  SELECT DISTINCT x.doc_id, x.line FROM c JOIN r x ON c.x = x.id JOIN r y ON c.y = y.id
-  WHERE (y.doc_id, y.line) < (x.doc_id, x.line) AND 100 * len(list_intersect(x.ws, y.ws)) >= 80 * (x.n + y.n - len(list_intersect(x.ws, y.ws)))
-  UNION ALL SELECT doc_id, line FROM k WHERE rn > 1),
-o AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS gone FROM g GROUP BY doc_id)
+  SELECT DISTINCT x.r, x.line FROM c JOIN f x ON c.x = x.id JOIN f y ON c.y = y.id
+  WHERE (y.r, y.line) < (x.r, x.line) AND 100 * len(list_intersect(x.ws, y.ws)) >= 80 * (x.n + y.n - len(list_intersect(x.ws, y.ws)))
+  UNION ALL SELECT r, line FROM k WHERE rn > 1),
+o AS (SELECT r, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS gone FROM g GROUP BY r)
 SELECT s.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_lines, coalesce(o.n, 0)::BIGINT AS n_removed, coalesce(o.gone, '') AS removed_lines
-FROM s LEFT JOIN o USING (doc_id)
+FROM s LEFT JOIN o USING (r)
 """

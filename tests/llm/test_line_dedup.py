@@ -1,5 +1,6 @@
 """Line dedup against comparing all pairs of lines."""
 
+import hashlib
 import random
 
 import pytest
@@ -23,9 +24,15 @@ def line_set(line):
 
 
 def brute(rows):
-    lines = [(2**63 - 1 if i is None else i, k, line_set(x)) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= 5]
-    return {(i, k) for i, k, s in lines if any((j, q) < (i, k) and 100 * len(s & z) >= 80 * len(s | z) for j, q, z in lines)}
+    """(id, text, removed lines) of each row, in the order of ids (null last) and texts' md5."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    lines = [(d, k, s) for d, (_, t) in enumerate(order) if t is not None for k, x in enumerate(t.split("\n")) if (s := line_set(x))]
+    gone = {(i, k) for i, k, s in lines if any((j, q) < (i, k) and 100 * len(s & z) >= 80 * len(s | z) for j, q, z in lines)}
+    return sorted(((i, t, sorted(k for x, k in gone if x == d)) for d, (i, t) in enumerate(order)), key=repr)
+
+
+def result(df):
+    return sorted(((r["doc_id"], r["text"], r["removed_lines"] or []) for r in dedup_lines(df).collect()), key=repr)
 
 
 def corpus(seed):
@@ -50,16 +57,45 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_same_as_brute_force(spark, seed):
     rows = corpus(seed)
-    df = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, doc string, line int").repartition(3)
-    assert {tuple(r) for r in removals(df).collect()} == brute(rows)
+    df = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, row string, line int").repartition(3)
+    assert result(df) == brute(rows)
+
+
+def test_unique_ids(spark):
+    rows = [(i, t) for i, t in dict(corpus(5)).items() if i is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(df) == brute(rows)
+    assert {tuple(r) for r in removals(df).collect()} == {(i, k) for i, _, gone in brute(rows) for k in gone}
 
 
 def test_blocks_limits_and_large_groups(spark, monkeypatch):
-    for name, value in (("BLOCK_ROWS", 7), ("PUT_FORWARD", 1), ("POSTED", 3), ("CHUNK_BYTES", 300)):
+    for name, value in (("BLOCK_ROWS", 7), ("PUT_FORWARD", 1), ("SEEN", 3), ("CHUNK_BYTES", 300)):
         monkeypatch.setattr(m, name, value)
     monkeypatch.setattr(m.Groups, "LARGE", 4)
     rows = corpus(3)
-    assert {tuple(r) for r in removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()} == brute(rows)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)) == brute(rows)
+
+
+def test_rows_without_an_id_of_their_own_lose_only_their_lines(spark):
+    a, b = "alpha beta gamma delta epsilon", "another line of quite different words"
+    for i in (None, 5):
+        rows = [(1, a), (i, a), (i, b), (i, b), (7, b)]
+        out = line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in out.collect()) == ([(False, 1, a), (False, 7, b)] if i is None else [(False, 1, a), (False, 5, b)])
+    rows = [(None, a)] * 3 + [(None, None), (None, ""), (2, "\n".join([a, b]))]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_very_long_text(spark):
+    word = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, word), (2, word.upper()), (3, "\n".join(["short line of a few words"] * 20_000))]
+    got = {i: gone for i, _, gone in result(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got[1] == [] and got[2] == [0] and got[3] == list(range(1, 20_000))
+
+
+def test_column_of_the_same_name(spark):
+    with pytest.raises(ValueError):
+        dedup_lines(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, Removed_Lines int"))
 
 
 def test_stage(spark):
@@ -81,11 +117,6 @@ def short_corpus(seed):
     return [(d, "\n".join(" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 9]))) for _ in range(rng.randrange(1, 6)))) for d in range(80)]
 
 
-def every_line(rows):
-    lines = [(i, k, s) for i, t in rows for k, x in enumerate(t.split("\n")) if (s := line_set(x))]
-    return {(i, k) for i, k, s in lines if any((j, q) < (i, k) and 100 * len(s & z) >= 80 * len(s | z) for j, q, z in lines)}
-
-
 def numbers(rows):
     return {(r["doc_id"], int(k)) for r in rows for k in r["removed_lines"].split(",") if k}
 
@@ -94,7 +125,7 @@ def test_query_takes_short_lines(spark, tmp_path):
     rows = short_corpus(4) + [(90, "buy now buy now buy now"), (91, "les.\nall rights reserved"), (92, "Les.\nbuy NOW\nreserved all rights")]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = numbers(op10_line_dedup(spark, str(tmp_path)).collect())
-    assert got == every_line(rows)
+    assert got == {(i, k) for i, _, gone in brute(rows) for k in gone}
     assert {(92, 0), (92, 1), (92, 2)} <= got
 
 
