@@ -5,27 +5,30 @@ them. Where none does, a sequence is opened, of the permitted length with the le
 (attention makes long ones dearer) over the tokens that the next pieces would put into it. Finally each sequence shrinks to the
 least permitted length that holds its content.
 
-Documents are dealt out by hash to groups of about GROUP_ROWS, each packed alone: a group of thousands wastes as little as the
-whole would, tasks stay bounded and none waits for another. A document longer than the longest sequence is cut into full
+Texts become ids of a public vocabulary, with an end id each. Documents are dealt out by a hash of their id and ids to groups of
+about GROUP_ROWS rows or GROUP_BYTES, each packed alone with its ids at hand: they move once, tasks stay bounded and none waits for
+another, and a group of thousands wastes as little as the whole would. A document longer than the longest sequence is cut into full
 sequences and a rest, so every token is placed.
 
-Defined cases: null and empty texts hold the end token alone. Rows with equal ids are packed one by one, told apart by ``copy``
-(0, 1, ...; equal rows are interchangeable). Null ids are packed as well, told apart by larger numbers. Other columns are neither read nor touched.
+Defined cases: null and empty texts hold the end id alone. Rows with equal ids, null ids included, are packed one by one; equal rows
+of one task are dealt to different groups, so many copies are no heavier than others. Other columns are neither read nor touched.
 """
 
-from __future__ import annotations
-
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .mixing import size_of
-from .shared import table
+from .shared import chunks, lists, map_batches, mix, signed, table
+from .tokens import encoder, gathered
 
-LENGTHS, ATTENTION, GROUP_ROWS, LOOK_AHEAD = (512, 1024, 2048, 4096), 0.25, 8_000, 6
+LENGTHS, ATTENTION, GROUP_ROWS, GROUP_BYTES, LOOK_AHEAD, END = (512, 1024, 2048, 4096), 0.25, 8_000, 32 << 20, 6, 0
+U = np.uint64
 
 
 def costs(lengths: tuple[int, ...], attention: float) -> list[float]:
@@ -67,40 +70,100 @@ def best_fit(pieces: list[int], lengths: tuple[int, ...] = LENGTHS, attention: f
     return where, offset, [lengths[bisect_left(lengths, u)] for u in used]
 
 
-def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, attention: float = ATTENTION, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per placed piece: doc_id, copy, piece, start and n_tokens (words of the document, and its end token), sequence
-    (unique), offset in it, and capacity and filled of the sequence."""
-    longest = max(lengths)
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), (size_of(F.col(text_col)) + 1).alias("size"), F.xxhash64(text_col).alias("h"))
-    groups = max(1, -(-docs.count() // group_rows))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.col("h").cast("string"))), F.lit(groups)))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "h"], kind="stable").reset_index(drop=True)
-        copy = pdf.groupby(["doc_id"], dropna=False).cumcount().to_numpy()
-        copy = copy + np.where(pdf["doc_id"].isna(), key[0] * 2**31, 0)
-        size = pdf["size"].to_numpy(np.int64)
-        count = -(-size // longest)
-        of = np.repeat(np.arange(len(pdf)), count)
-        piece = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        start = piece * longest
-        length = np.minimum(size[of] - start, longest)
-        order = np.lexsort((piece, of, -length))
-        where, offset, capacity = best_fit(length[order].tolist(), lengths, attention)
-        where = np.array(where, np.int64)
-        capacity = np.array(capacity, np.int64)[where]
-        filled = np.bincount(where, weights=length[order]).astype(np.int64)[where]
-        out = pdf["doc_id"].iloc[of[order]].reset_index(drop=True).to_frame("doc_id")
-        return out.assign(copy=copy[of[order]], piece=piece[order], start=start[order], n_tokens=length[order], sequence=key[0] * 2**31 + where, offset=offset, capacity=capacity, filled=filled)
-
-    kind = "doc_id string, copy long, piece long, start long, n_tokens long, sequence long, offset long, capacity long, filled long"
-    return rows.groupBy("group").applyInPandas(one, kind).withColumn("doc_id", F.col("doc_id").cast("long"))
+def encoded(docs: DataFrame, vocabulary: str, groups: int, id_col: str, text_col: str, end: int) -> DataFrame:
+    """(group, doc_id, h, ids): ids of each text and the end id, as bytes, with a hash of them."""
+
+    def each():
+        encode, seen = encoder(vocabulary), Counter()
+        stop = np.array([end], encode.kind).tobytes()
+
+        def one(batch: pa.RecordBatch) -> dict:
+            found, h, salt = [], [], []
+            of = batch["id"].to_pylist()
+            for a, texts in chunks(batch["text"]):
+                flat, bounds = encode(texts)
+                data, bounds = flat.tobytes(), (bounds * encode.width).tolist()
+                for k in range(len(texts)):
+                    ids = data[bounds[k] : bounds[k + 1]] + stop
+                    key = xxhash.xxh3_64_intdigest(ids, seed=0 if of[a + k] is None else 1 + of[a + k] % (2**64 - 1))
+                    found.append(ids)
+                    h.append(key)
+                    salt.append(seen[key])
+                    seen[key] += 1
+            h = np.array(h, U)
+            return {"group": (mix(h + mix(np.array(salt, U))) % U(groups)).astype(np.int64), "doc_id": batch["id"], "h": signed(h), "ids": pa.array(found, pa.binary())}
+
+        return one
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return map_batches(texts, each, "group long, doc_id long, h long, ids binary")
+
+
+SEQUENCES = "sequence long, capacity int, filled int, doc_ids array<long>, starts array<int>, counts array<int>, input_ids array<int>"
+
+
+def packed(group: int, doc_ids: pa.Array, h: np.ndarray, ids: list[bytes], kind: str, lengths: tuple[int, ...], attention: float) -> pa.RecordBatch:
+    """Sequences of one group."""
+    longest, width = max(lengths), np.dtype(kind).itemsize
+    flat = np.frombuffer(b"".join(ids), kind)
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+    first = np.cumsum(size) - size
+    count = -(-size // longest)
+    of = np.repeat(np.arange(len(ids)), count)
+    start = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * longest
+    length = np.minimum(size[of] - start, longest)
+    order = np.lexsort((start, h[of], -length))
+    where, offset, capacity = best_fit(length[order].tolist(), lengths, attention)
+    place = np.lexsort((offset, where))
+    piece = order[place]
+    parts = np.bincount(where, minlength=len(capacity))
+    filled = np.bincount(np.array(where, np.int64), length[order], len(capacity)).astype(np.int64)
+    tokens = flat[gathered((first[of] + start)[piece], length[piece])].astype(np.int32)
+    columns = [pa.array(group * 2**31 + np.arange(len(capacity))), pa.array(capacity, pa.int32()), pa.array(filled.astype(np.int32))]
+    bounds = pa.array(np.r_[0, np.cumsum(parts)].astype(np.int32))
+    columns += [pa.ListArray.from_arrays(bounds, doc_ids.take(pa.array(of[piece]))), lists(start[piece].astype(np.int32), parts, pa.int32()), lists(length[piece].astype(np.int32), parts, pa.int32()), lists(tokens, filled, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SEQUENCES.split(", ")])
+
+
+def pack(docs: DataFrame, vocabulary: str, lengths: tuple[int, ...] = LENGTHS, attention: float = ATTENTION, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+    """SEQUENCES: capacity and filled length of each, its pieces in order (document, first token of it, number of tokens), and the
+    ids of all, one after the other."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    groups = max(1, -(-n // group_rows), -(-size // group_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, held, group = encoder(vocabulary).kind, [], None
+
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            return packed(group, rows["doc_id"].combine_chunks(), rows["h"].to_numpy(), rows["ids"].to_pylist(), kind, lengths, attention)
+
+        for batch in batches:
+            own = batch["group"].to_numpy()
+            edges = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if len(own) else []
+            for a, b in zip(edges, edges[1:]):
+                if group is not None and own[a] != group:
+                    yield out()
+                    held = []
+                group = int(own[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield out()
+
+    rows = encoded(docs, vocabulary, groups, id_col, text_col, end)
+    return rows.repartition(F.col("group")).sortWithinPartitions("group").mapInArrow(run, SEQUENCES)
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The placed pieces of all documents."""
-    return pack(docs)
+    """Training sequences of all documents."""
+    return pack(docs, vocabulary())
