@@ -8,13 +8,18 @@ No bucket is expanded into pairs. Documents with equal sets form a class first,
 Each bucket links its members to its smallest one; the distinct links are verified on full sets, and components follow. Only
 buckets that still hold several components are looked at again, once for each different membership: inside such a bucket,
 members of different components whose signatures agree well enough are verified, nearest first, and united at once, so that
-members of one component are never compared. Only links that unite come out. Very full buckets are first divided by a second band.
+members of one component are never compared. Only links that unite come out.
 
-With 48 bands of 5, a pair at exactly 0.75 shares no bucket with probability 2e-6, and far less above.
+Buckets of more than FULL_BUCKET members are first divided by further bands, made of all SKETCH coordinates; parts that hold one
+component are done, and parts that are still as large are dealt to pairs of blocks, which is complete. So a task holds at most
+about FULL_BUCKET sets at a time.
 
-Defined cases: null, empty and blank texts have no shingle and are linked with nothing. Ids that repeat count as one node: rows
-with equal ids get the component of all their texts. Null ids are a node each and stay. Order of rows never matters. Other
-columns are neither read nor touched.
+What can be missed, for a pair at exactly 0.75: with 48 bands of 5, no common bucket at all with probability 2e-6; in open buckets
+a sketch that agrees too little, 1e-10; in divided buckets no further common band, 4e-9. All are far less above 0.75.
+
+Defined cases: null, empty and blank texts have no shingle and are linked with nothing. Rows with equal ids, null ids included, are
+nodes of their own, in the order of their texts' md5 and null ids last: ``kept`` is the first row of each component, whose id is
+``component_id``. Order of rows never matters. Other columns are neither read nor touched.
 """
 
 from collections.abc import Iterator
@@ -26,15 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import FlatWords, chunks, lists, map_batches, mix, shingles, signed, table, unused, written
+from .shared import FlatWords, chunks, discard, keyed, lists, map_batches, mix, shingles, signed, table, unused, written
 
 SHINGLE, THRESHOLD = 5, 75  # words, per cent
 CIRCLE_LOG2, BANDS, ROWS, SEED = 20, 48, 5, 11
-#: Members of an open bucket past which those to be compared must share a second band.
+#: Members of an open bucket past which it is divided.
 FULL_BUCKET = 2_000
 #: Bytes of a signature that are kept, one a coordinate, and those that must agree for members of an open bucket to be verified:
-#: at 0.75, 276 are expected to, and 239 is 4.4 standard deviations below.
-SKETCH, SKETCH_LEAST = 368, 239
+#: at 0.75, 276 are expected to, and 222 is 6.5 standard deviations below.
+SKETCH, SKETCH_LEAST = 368, 222
 
 
 class Circulant:
@@ -182,16 +187,50 @@ def united(ids: list[int], component: list[int], sketches: np.ndarray, sets: lis
     return out
 
 
-def across(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def several(members: DataFrame) -> DataFrame:
+    """(key, size) of the groups (key, id, c) that hold several components, once for each membership."""
+    of = members.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).where("least < most")
+    return of.groupBy("who", "size", "least", "most").agg(F.min("key").alias("key")).select("key", "size")
+
+
+def divided(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, id, c) of parts of full buckets that hold several components: members that agree in a further band, and of such parts
+    that are full again, all pairs of blocks."""
+    rows = SKETCH // ROWS
+    factor = np.random.default_rng(SEED + 1).integers(1, 2**62, ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def each():
+        band = mix(np.arange(1, rows + 1, dtype=np.uint64))
+
+        def one(batch: pa.RecordBatch) -> dict:
+            n = batch.num_rows
+            sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(n, SKETCH)[:, : rows * ROWS].astype(np.uint64).reshape(n, rows, ROWS)
+            of = mix((mix(sketch + np.uint64(1)) * factor).sum(2, dtype=np.uint64) + band)
+            key = mix(of + batch["key"].to_numpy().view(np.uint64)[:, None] * np.uint64(3))
+            return {"key": signed(key.ravel()), "id": np.repeat(batch["id"].to_numpy(), rows), "c": np.repeat(batch["c"].to_numpy(), rows)}
+
+        return one
+
+    parts = map_batches(full.join(reps.select("id", "sketch").hint("merge"), "id").select("key", "id", "c", "sketch"), each, "key long, id long, c long")
+    parts = written(parts)
+    left = parts.join(several(parts).hint("merge"), "key")
+    blocks = F.ceil(F.col("size") / F.lit(FULL_BUCKET // 2))
+    mine = F.pmod(F.xxhash64("id"), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    dealt = left.where(F.col("size") > FULL_BUCKET).select("key", "id", "c", mine.alias("mine"), other.alias("other"))
+    dealt = written(dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "id", "c"))
+    return left.where(F.col("size") <= FULL_BUCKET).select("key", "id", "c").union(dealt.join(several(dealt).hint("merge"), "key").select("key", "id", "c"))
+
+
+def across(buckets: DataFrame, joined: DataFrame, reps: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components so far."""
     inside = buckets.join(joined.hint("merge"), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_ = inside.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).where("least < most")
-    open_ = open_.groupBy("who", "size", "least", "most").agg(F.min("key").alias("key")).select("key", "size")
+    open_ = written(several(inside))
     left = inside.join(open_.hint("merge"), "key")
-    small = left.where(F.col("size") <= FULL_BUCKET).select("key", "id", "c")
-    full = left.where(F.col("size") > FULL_BUCKET).join(sketches.select("id", "keys").hint("merge"), "id")
-    full = full.withColumn("key", F.explode(F.transform(F.array_except("keys", F.array("key")), lambda k: F.xxhash64("key", k)))).select("key", "id", "c")
-    rows = small.union(full).join(sketches.select("id", "sketch").hint("merge"), "id").join(sets.hint("merge"), "id")
+    rows = left.where(F.col("size") <= FULL_BUCKET).select("key", "id", "c")
+    if not open_.where(F.col("size") > FULL_BUCKET).isEmpty():
+        rows = rows.union(divided(left.where(F.col("size") > FULL_BUCKET).select("key", "id", "c"), reps))
+    rows = rows.join(reps.select("id", "sketch").hint("merge"), "id").join(sets.hint("merge"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -214,38 +253,54 @@ def across(buckets: DataFrame, joined: DataFrame, sketches: DataFrame, sets: Dat
     return rows.repartition(F.col("key")).sortWithinPartitions("key", "id").select("key", "id", "c", "sketch", "set").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each row of ``docs``."""
-    made = written(signatures(docs, id_col, text_col, shingle, bands, rows))
-    some = made.where("n > 0 and id is not null")
+def joined_rows(docs: DataFrame, row_col: str, text_col: str, shingle: int, threshold: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n) of each row, and (node, component) of rows that are linked; ids are those of ``row_col``."""
+    made = written(signatures(docs, row_col, text_col, shingle, bands, rows))
+    some = made.where("n > 0")
     classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    # A representative's own row: the one of its class with the least id.
-    reps = written(some.join(classes.hint("merge"), ["h1", "h2", "n"]).where("id = rep").select("id", "h1", "h2", "n", "keys", "sketch").dropDuplicates(["id", "h1", "h2", "n"]))
+    reps = written(some.join(classes.hint("merge"), ["h1", "h2", "n"]).where("id = rep").select("id", "keys", "sketch"))
     bands_of = reps.select("id", F.explode("keys").alias("key"))
     hubs = bands_of.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
-    buckets = written(bands_of.join(hubs.hint("merge"), "key").select("key", "id", "hub"))
+    buckets = written(bands_of.join(hubs.hint("merge"), "key").select("key", "id", "hub").distinct())
     first = written(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    members = buckets.select("id").distinct()
-    sets = written(full_sets(docs, members, id_col, text_col, shingle))
-    # Rows of a class are linked with its representative. A row whose id repeats with another text ties both classes together.
+    sets = written(full_sets(docs, buckets.select("id").distinct(), row_col, text_col, shingle))
+    # Rows of a class are linked with its representative.
     copies = some.join(classes.hint("merge"), ["h1", "h2", "n"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     joined = written(components(verified(first, sets, threshold).union(copies)))
-    more = written(across(buckets.select("key", "id").distinct(), joined, reps, sets, threshold))
+    more = written(across(buckets.select("key", "id"), joined, reps, sets, threshold))
     if not more.isEmpty():
-        joined = components(more.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    out = made.select("id", F.col("n").alias("n_shingles")).join(joined.hint("merge"), F.col("id") == F.col("node"), "left")
-    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
+        joined = written(components(more.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    for one in (reps, buckets, first, sets, more):
+        discard(one)
+    return made, joined
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each row of ``docs``."""
+    name = unused(docs, "row_key")
+    given = keyed(docs.select(id_col, text_col), id_col, text_col, name)
+    made, joined = joined_rows(given, name, text_col, shingle, threshold, bands, rows)
+    out = made.select("id", F.col("n").alias("n_shingles")).join(joined.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("c"))
+    if hasattr(given, "_stored_at"):  # rows have numbers of their own
+        of = given.select(F.col(name).alias("r"), F.col(id_col).cast("long").alias("doc"))
+        least = of.select(F.col("r").alias("c"), F.col("doc").alias("component_id"))
+        out = out.join(of.hint("merge"), F.col("id") == F.col("r")).join(least.hint("merge"), "c")
+        return out.select(F.col("doc").alias("id"), "n_shingles", "component_id", (F.col("r") == F.col("c")).alias("kept"))
+    return out.select("id", "n_shingles", F.col("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("kept"))).withColumnRenamed("id", "doc_id")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id. Of rows with equal ids, all stay or go."""
-    name = unused(docs, "gone")
-    gone = near_duplicates(docs).where("not kept").select(F.col("id").alias(name)).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone[name], "left_anti")
+    """One row of each group of near-duplicates, the one with the least id (of equal ids, that with the least md5 of its text)."""
+    name = unused(docs, "row_key")
+    rows = keyed(docs, "doc_id", "text", name)
+    _, joined = joined_rows(rows, name, "text", SHINGLE, THRESHOLD, BANDS, ROWS)
+    gone = joined.where("node <> component").select(F.col("node").alias(unused(docs, "gone")))
+    return rows.join(gone.hint("merge"), rows[name] == gone[gone.columns[0]], "left_anti").drop(name)
 
 
 #: The same in SQL: shared shingles are counted for all pairs, and the smallest id spreads along the links.

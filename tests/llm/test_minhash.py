@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sievelight.llm.minhash import near_duplicates
+from sievelight.llm.minhash import minhash_stage, near_duplicates
 
 SPACE = " \t\n\v\f\r"
 
@@ -68,24 +68,56 @@ def test_same_as_brute_force(spark, seed):
     assert sorted(map(tuple, near_duplicates(df).collect())) == brute(rows)
 
 
-def test_full_buckets_are_divided(spark, monkeypatch):
+@pytest.mark.parametrize("full", [2, 6])
+def test_full_buckets_are_divided(spark, monkeypatch, full):
     import sievelight.llm.minhash as m
 
-    monkeypatch.setattr(m, "FULL_BUCKET", 3)
+    monkeypatch.setattr(m, "FULL_BUCKET", full)
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(df).collect())) == brute(rows)
 
 
+def chains(seed, n):
+    """A chain of texts, each near the next and the far ones not, and others that share its bands by a common passage."""
+    rng = random.Random(seed)
+    words, rows = [f"w{k}" for k in range(3000)], []
+    text = [rng.choice(words) for _ in range(120)]
+    for k in range(n):
+        at = rng.randrange(len(text) - 4)
+        text = [*text[:at], *(rng.choice(words) for _ in range(3)), *text[at + 3 :]]
+        rows.append((k, " ".join(text)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("full", [3, 2_000])
+def test_recall_on_a_large_group_of_near_copies(spark, monkeypatch, full):
+    import sievelight.llm.minhash as m
+
+    monkeypatch.setattr(m, "FULL_BUCKET", full)
+    rows = chains(4, 150)
+    assert sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_repeated_and_null_ids_and_long_text(spark):
     long = " ".join(f"w{i % 977}-{i}" for i in range(60_000))
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l m"), (2, "g h i j k l m"), (None, "a b c d e f"), (3, long), (4, long + " x")]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l m"), (2, "g h i j k l m"), (None, "a b c d e f"), (3, long), (4, long + " x"), (None, "only null ids here"), (None, "only null ids here"), (None, None)]
     got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert [r for r in got if r[0] == 2] == [(2, 3, 1, False)]
-    assert [r for r in got if r[0] == 1] == [(1, 2, 1, True)] * 2 + [(1, 3, 1, True)]
-    assert [r for r in got if r[0] is None] == [(None, 2, None, True)]
+    assert [r for r in got if r[0] == 1] == [(1, 2, 1, False), (1, 2, 1, True), (1, 3, 1, True)]
+    assert [r for r in got if r[0] is None] == [(None, 0, None, True), (None, 1, None, False), (None, 1, None, True), (None, 2, 1, False)]
     assert [r[2] for r in got if r[0] in (3, 4)] == [3, 3]
 
 
+def test_stage_keeps_one_row_of_each_group(spark):
+    rows = [(1, "a b c d e f", 0), (1, "a b c d e f", 1), (1, "g h i j k l m", 2), (None, "A b c d e f", 3), (None, "x y z", 4), (7, None, 5), (7, None, 6), (None, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    out = minhash_stage(spark, df, "")
+    assert out.columns == df.columns
+    texts = sorted(((r["text"] or "").lower() for r in out.collect()))
+    assert texts == ["", "", "", "a b c d e f", "g h i j k l m", "x y z"]
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
