@@ -1,16 +1,18 @@
 """Quality rules from tokeniser fertility.
 
-Public vocabularies show whether a text looks like language: characters per token, the share of tokens that fall back to single
-bytes, and the entropy of the tokens, each held against a rejection band for the text's script (most frequent among its
-letters), or its language where a band names it. Texts of few words are not judged by these bands.
+Public vocabularies show whether a text looks like language. Two are asked, one of pieces with byte fallback and one of bytes: each
+gives characters per token, the share of tokens that fall back to single bytes (of the byte vocabulary: tokens that are one byte of
+a longer character), and the entropy of the tokens. All are held against rejection bands of that vocabulary for the text's language
+where a band names it, or else for its script (most frequent among its letters). Texts of few words are not judged by these bands.
 
 Words are segmented one by one with the piece vocabulary (its pieces never cross a space), and a worker remembers the segments
 of frequent words; that changes nothing in the result.
 
 Beside the method, plain rules count words, symbols, repeated lines and words in repeated 8-word windows of whole texts.
 
-Defined cases: null texts count as without words, so they fail the base rules and are not kept. Rows with equal ids are judged one by one;
-null ids and other columns don't matter.
+Defined cases: null texts count as without words, so they fail the base rules and are not kept. A table without the language column,
+and null or unknown languages, are judged by script. Rows with equal ids are judged one by one; null ids and other columns don't
+matter.
 """
 
 import numpy as np
@@ -18,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_batches, mix, table
+from .shared import chunks, map_batches, mix, table
+from .tokens import encoder
 
 #: Fixed values of the base rules.
 LEAST_WORDS, WINDOW, MOST_REPEATED, SYMBOLS = 20, 8, 30, "[#*$%&|<>]"
@@ -27,7 +30,7 @@ SYMBOL_SET = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 #: Words below which the bands don't apply.
-LEAST_JUDGED, CACHE = 20, 600_000
+LEAST_JUDGED, CACHE = 20, 250_000
 #: Scripts by the code points of their letters, first and last.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)],
@@ -40,19 +43,24 @@ SCRIPTS = {
     "kana": [(0x3040, 0x30FF)],
     "hangul": [(0xAC00, 0xD7AF)],
 }
-#: Bands by language or script: least and most characters per token, most byte-fallback share, least entropy in bits relative to
-#: the entropy of as many equally frequent tokens.
+#: Bands by language or script, for the piece and the byte vocabulary: least and most characters per token, most byte-fallback share,
+#: least entropy in bits relative to the entropy of as many equally frequent tokens. Those of languages leave a margin around all
+#: texts of sf0.1 that are labelled good (per language, characters per token 1.65 to 2.5, evenness from 0.68, single bytes to 0.09).
 BANDS = {
-    "latin": (1.35, 6.0, 0.10, 0.65),
-    "greek": (0.7, 5.0, 0.35, 0.5),
-    "cyrillic": (0.9, 6.0, 0.25, 0.5),
-    "hebrew": (0.5, 4.0, 0.6, 0.45),
-    "arabic": (0.5, 4.0, 0.6, 0.45),
-    "devanagari": (0.3, 3.0, 0.8, 0.4),
-    "han": (0.3, 2.5, 0.8, 0.4),
-    "kana": (0.3, 2.5, 0.8, 0.4),
-    "hangul": (0.3, 2.5, 0.8, 0.4),
-    "other": (0.25, 8.0, 0.9, 0.4),
+    "en": ((1.6, 6.0, 0.05, 0.67), (1.7, 6.0, 0.12, 0.67)),
+    "de": ((1.7, 6.0, 0.05, 0.67), (1.65, 6.0, 0.12, 0.67)),
+    "fr": ((1.5, 6.0, 0.05, 0.66), (1.5, 6.0, 0.13, 0.66)),
+    "es": ((1.55, 6.0, 0.05, 0.66), (1.4, 6.0, 0.14, 0.65)),
+    "latin": ((1.35, 6.0, 0.10, 0.65), (1.2, 6.0, 0.30, 0.63)),
+    "greek": ((0.7, 5.0, 0.35, 0.5), (0.4, 3.0, 0.95, 0.4)),
+    "cyrillic": ((0.9, 6.0, 0.25, 0.5), (0.4, 3.0, 0.95, 0.4)),
+    "hebrew": ((0.5, 4.0, 0.6, 0.45), (0.3, 3.0, 1.0, 0.35)),
+    "arabic": ((0.5, 4.0, 0.6, 0.45), (0.3, 3.0, 1.0, 0.35)),
+    "devanagari": ((0.3, 3.0, 0.8, 0.4), (0.2, 3.0, 1.0, 0.3)),
+    "han": ((0.3, 2.5, 0.8, 0.4), (0.2, 2.5, 1.0, 0.3)),
+    "kana": ((0.3, 2.5, 0.8, 0.4), (0.2, 2.5, 1.0, 0.3)),
+    "hangul": ((0.3, 2.5, 0.8, 0.4), (0.2, 2.5, 1.0, 0.3)),
+    "other": ((0.25, 8.0, 0.9, 0.4), (0.15, 8.0, 1.0, 0.3)),
 }
 
 
@@ -123,51 +131,75 @@ def duplicate_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double, script string"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double, script string, b_tokens long, b_single long, b_entropy double"
 
 
-def measures(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts and fertility of every text: id, lang and FIELDS."""
+def token_counts(texts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text by the byte vocabulary: tokens, those that are one byte of a longer character, and their entropy."""
+    n = len(texts)
+    flat, bounds = encode(texts)
+    tokens = np.diff(bounds)
+    text = np.repeat(np.arange(n), tokens)
+    key = np.sort(text << 32 | flat.astype(np.int64))
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    of = key[first] >> 32
+    share = np.diff(np.r_[first, len(key)]) / tokens[of]
+    return tokens, np.bincount(text[encode.parts[flat]], minlength=n), np.bincount(of, -share * np.log2(share), n) + 0.0
+
+
+def measures(docs: DataFrame, pieces: str, byte_level: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Counts and fertility of every text by both vocabularies: id, lang and FIELDS."""
 
     def each():
-        segments = Segments(vocabulary)
+        segments, encode = Segments(pieces), encoder(byte_level)
 
         def one(batch: pa.RecordBatch) -> dict:
-            rows = []
-            for text in batch["text"].to_pylist():
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                words = raw.split()
-                joined = b"".join(words)
-                ids = segments.of(words)
-                edges = np.flatnonzero(np.diff(np.sort(ids).astype(np.int32), prepend=-1, append=-1))
-                share = np.diff(edges) / max(len(ids), 1)
-                entropy = float(-(share * np.log2(share)).sum()) + 0.0
-                rows.append((len(words), len(joined.translate(None, CONTINUATION)), len(raw) - len(raw.translate(None, SYMBOL_SET)), duplicate_lines(raw), repeated_words(words), len(ids), int(segments.bytes[ids].sum()), entropy, script_of(joined)))
-            return dict(id=batch["id"], lang=batch["lang"], **{str(k): list(v) for k, v in enumerate(zip(*rows))})
+            rows, more = [], [[], [], []]
+            for _, texts in chunks(batch["text"]):
+                for x, y in zip(more, token_counts(texts, encode)):
+                    x.append(y)
+                for text in texts.to_pylist():
+                    raw = text.encode("utf-8", "surrogatepass")
+                    words = raw.split()
+                    joined = b"".join(words)
+                    ids = segments.of(words)
+                    edges = np.flatnonzero(np.diff(np.sort(ids).astype(np.int32), prepend=-1, append=-1))
+                    share = np.diff(edges) / max(len(ids), 1)
+                    entropy = float(-(share * np.log2(share)).sum()) + 0.0
+                    rows.append((len(words), len(joined.translate(None, CONTINUATION)), len(raw) - len(raw.translate(None, SYMBOL_SET)), duplicate_lines(raw), repeated_words(words), len(ids), int(segments.bytes[ids].sum()), entropy, script_of(joined)))
+            columns = [list(v) for v in zip(*rows)] + [np.concatenate(x) for x in more]
+            return dict(id=batch["id"], lang=batch["lang"], **{str(k): v for k, v in enumerate(columns)})
 
         return one
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return map_batches(rows, each, f"id long, lang string, {FIELDS}")
 
 
-def judged(rows: DataFrame, bands: dict[str, tuple[float, float, float, float]] = BANDS) -> DataFrame:
-    """The measures with chars_per_token, byte_share, evenness (entropy relative to the most that as many tokens, or all pieces
-    seen, could have), base_failed and kept."""
-    n = F.col("n_tokens")
-    out = rows.withColumn("chars_per_token", F.when(n > 0, F.col("word_chars") / n)).withColumn("byte_share", F.when(n > 0, F.col("n_byte_tokens") / n)).withColumn("evenness", F.when(n > 1, F.col("entropy") / F.least(F.log2(n.cast("double")), F.lit(9.0))))
+def judged(rows: DataFrame, bands: dict[str, tuple[tuple[float, float, float, float], ...]] = BANDS) -> DataFrame:
+    """The measures with chars_per_token, byte_share and evenness (entropy relative to the most that as many tokens, or all pieces
+    seen, could have), the same of the byte vocabulary (b_...), base_failed and kept."""
+    out = rows
+    names = (("n_tokens", "n_byte_tokens", "entropy", ""), ("b_tokens", "b_single", "b_entropy", "b_"))
+    for tokens, single, entropy, p in names:
+        n = F.col(tokens)
+        out = out.withColumn(f"{p}chars_per_token", F.when(n > 0, F.col("word_chars") / n)).withColumn(f"{p}byte_share", F.when(n > 0, F.col(single) / n)).withColumn(f"{p}evenness", F.when(n > 1, F.col(entropy) / F.least(F.log2(n.cast("double")), F.lit(9.0))))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    languages = [b for b in bands if b not in SCRIPTS and b != "other"]
+    band = F.when(F.col("lang").isin(*languages), F.col("lang")).otherwise(F.col("script"))
     inside = F.lit(None).cast("boolean")
-    for name, (low, high, most_bytes, least_even) in bands.items():
-        ok = F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= most_bytes) & (F.col("evenness") >= least_even)
-        of = (F.col("script") == name) & ~F.coalesce(F.col("lang").isin(*[b for b in bands if b not in SCRIPTS and b != "other"]), F.lit(False)) if name in SCRIPTS or name == "other" else F.col("lang") == name
-        inside = F.when(of, ok).otherwise(inside)
+    for name, limits in bands.items():
+        ok = F.lit(True)
+        for (*_, p), (low, high, most_bytes, least_even) in zip(names, limits):
+            ok = ok & F.col(f"{p}chars_per_token").between(low, high) & (F.col(f"{p}byte_share") <= most_bytes) & (F.col(f"{p}evenness") >= least_even)
+        inside = F.when(F.col("band") == name, ok).otherwise(inside)
     fine = F.when(F.col("n_words") < LEAST_JUDGED, F.lit(True)).otherwise(F.coalesce(inside, F.lit(True)))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
+    return out.withColumn("band", band).withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
 
 
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = judged(measures(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "script")
+    out = judged(measures(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "b_tokens", "b_chars_per_token", "b_byte_share", "b_entropy", "script", "band")

@@ -65,6 +65,9 @@ class Encoder:
         if self.apart:  # bytes of each id: every sign of a byte-level token stands for one
             self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
             self.bytes[list(vocab.values())] = [len(t) for t in vocab]
+            #: Ids of a single byte that is part of a longer character: their sign is not that of an ASCII byte.
+            self.parts = np.zeros(len(self.bytes), bool)
+            self.parts[[i for t, i in vocab.items() if len(t) == 1 and not ("!" <= t <= "~" or "\u0100" <= t <= "\u0121")]] = True
             self.newline = self.model.encode("\n", add_special_tokens=False).ids
             self.apart = len(self.newline) == 1
         #: Remembered segments, and where their ids are in the pool.
