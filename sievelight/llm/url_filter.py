@@ -5,11 +5,12 @@ path, path depth, host labels, digit ratio and character entropy of url and path
 smoothed share of blocked urls among labelled ones with the same last one or two host labels). Each tree is grown on histograms of
 binned features by second-order gains of the logistic loss.
 
-The fit uses at most ``sample_rows`` labelled urls, chosen by a hash of the url; the model, its suffix table included, has a fixed
+The fit uses at most ``sample_rows`` different labelled urls, chosen by a hash of the url; the model, its suffix table included, has a fixed
 size, and all urls are judged.
 
 Defined cases: null urls and urls without "://" have an empty host and path and fit no rule; the trees judge them by their other
-features. Labels that are null are ignored; with labels of one class, or none, every url gets that class, or allow. Repeated rows
+features. Labels that are null are ignored, and of several of a url the greatest
+counts; with labels of one class, or none, every url gets that class, or allow. Repeated rows
 are judged alike. Other columns are neither read nor touched.
 """
 
@@ -167,10 +168,21 @@ def train(urls: list[str | None], block: np.ndarray) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit to at most ``sample_rows`` labelled urls (label 1: block)."""
+def sample(labelled: DataFrame, url_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    """(u, y) of at most ``sample_rows`` different urls, those of the least hashes. A bound on the hash, from the number of labelled
+    rows, comes before rows meet, so that no more than about as many do; where copies are many, that leaves fewer."""
     some = labelled.select(F.col(url_col).alias("u"), F.col(label_col).cast("int").alias("y")).where("u is not null and y is not null")
-    got = some.orderBy(F.xxhash64("u"), "u", "y").limit(sample_rows).collect()
+    n = some.agg(F.approx_count_distinct("u", 0.02)).first()[0]
+    some = some.withColumn("h", F.xxhash64("u"))
+    if (share := 1.2 * sample_rows / max(n, 1)) < 1:
+        some = some.where(F.col("h") < int(-(2**63) + 2**64 * share))
+    return some.groupBy("h", "u").agg(F.max("y").alias("y")).orderBy("h", "u").limit(sample_rows).select("u", "y")
+
+
+def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fit to at most ``sample_rows`` different labelled urls (label 1: block)."""
+    got = sample(labelled, url_col, label_col, sample_rows).collect()
+    got.sort(key=lambda r: r["u"])
     return train([r["u"] for r in got], np.array([float(r["y"]) for r in got]))
 
 

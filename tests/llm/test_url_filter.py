@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from sievelight.llm.url_filter import RULES, fit, judge, labelled_by, train
+from sievelight.llm.url_filter import RULES, fit, grow, judge, labelled_by, sample, train
 
 
 def plain(url):
@@ -60,3 +60,43 @@ def test_one_class_and_empty(spark):
     assert (train(["http://a"], np.ones(1)).margin(["x", None]) > 0).all() and (train([], np.empty(0)).margin([None]) < 0).all()
     df = spark.createDataFrame([], "page_id long, url string")
     assert judge(df, fit(labelled_by(df))).count() == 0
+
+
+def test_copies_of_a_url_count_once(spark):
+    rows = [("http://a.com/copied", 1)] * 300 + [(f"http://b{k}.org/x", k % 2) for k in range(40)] + [("http://b1.org/x", 0), (None, 1), ("http://n", None)]
+    df = spark.createDataFrame(rows, "url string, label int")
+    got = sample(df, "url", "label", 100).collect()
+    assert len(got) == 41 and {(r["u"], r["y"]) for r in got} == {("http://a.com/copied", 1)} | {(f"http://b{k}.org/x", k % 2) for k in range(40)}
+    many = spark.range(5000).selectExpr("concat('http://h', id, '.com/') as url", "cast(id % 2 as int) as label")
+    assert 250 <= sample(many, "url", "label", 300).count() <= 300
+
+
+def test_margin_is_the_sum_of_the_trees():
+    """A plain walk down each tree, and training again gives the same trees."""
+    rng = random.Random(4)
+    urls = [f"http://{rng.choice(['a', 'b9', 'c-x'])}{rng.randrange(99)}.{rng.choice(['com', 'info', 'biz'])}/{'p/' * rng.randrange(4)}{rng.randrange(10**rng.randrange(1, 9))}?{'a=1&' * rng.randrange(3)}" for _ in range(400)] + ["x" * 200_000, "http://" + "a." * 50_000 + "com/"]
+    y = np.array([float(("biz" in u) != (len(u) % 3 == 0)) for u in urls])
+    model = train(urls, y)
+    binned, want = model.binned(model.rows(urls)), []
+    for b in binned:
+        margin = model.base
+        for feature, cut, value in model.trees:
+            k = 0
+            while feature[k] >= 0:
+                k = 2 * k + 1 + int(b[feature[k]] > cut[k])
+            margin += value[k]
+        want.append(margin)
+    assert np.allclose(model.margin(urls), want) and len(model.trees) == 60
+    assert np.array_equal(train(urls, y).margin(urls), model.margin(urls))
+
+
+def test_first_split_is_the_best_by_trying_all():
+    rng = np.random.default_rng(6)
+    b, y = rng.integers(0, 32, (300, 3)), rng.integers(0, 2, 300).astype(float)
+    y[b[:, 1] > 20] = 1
+    gradient, hessian = 0.5 - y, np.full(300, 0.25)
+    feature, cut, value, _ = grow(b, gradient, hessian)
+    gain = lambda rows: gradient[rows].sum() ** 2 / (hessian[rows].sum() + 1.0)
+    best = max(((gain(b[:, f] <= c) + gain(b[:, f] > c), f, c) for f in range(3) for c in range(31) if min((b[:, f] <= c).sum(), (b[:, f] > c).sum()) >= 8))
+    assert (feature[0], cut[0]) == best[1:]
+    assert abs(value[0] - -0.15 * gradient.sum() / (hessian.sum() + 1.0)) < 1e-12
