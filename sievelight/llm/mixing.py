@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .shared import WORD, table, unused, written
 
 WEIGHTS, MOST_EPOCHS, SEED, ROWS_A_RANGE = (1, 2, 3), 3, 17, 10_000
+#: Key ranges that are summed together.
+SLOTS = 1_000
 #: Sources up to which the table of cuts goes to all tasks; past it, it is joined by shuffle.
 FEW_SOURCES = 20_000
 
@@ -66,9 +68,15 @@ def cuts(rows: DataFrame, ranges: int) -> DataFrame:
     slot = F.least(F.floor((1 - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("int")
     some = rows.where("size > 0").withColumn("slot", slot)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    up_to = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    hist = some.groupBy("source", "slot").agg(F.sum("size").alias("in_slot")).withColumn("through", F.sum("in_slot").over(up_to))
-    crossing = hist.join(per, same(hist, per)).where("through > rest and through - in_slot <= rest").select(hist["source"].alias("src"), F.col("slot").alias("at"), (F.col("through") - F.col("in_slot")).alias("before"), "rest")
+    hist = written(some.groupBy("source", "slot").agg(F.sum("size").alias("in_slot")))
+    # First the stretch of SLOTS slots that crosses the target, then the slot in it: no task sums all slots of a source.
+    stretch = F.floor(F.col("slot") / SLOTS).alias("stretch")
+    up_to = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    wide = hist.groupBy("source", stretch).agg(F.sum("in_slot").alias("in_it")).withColumn("through", F.sum("in_it").over(up_to("source", "stretch")))
+    wide = wide.join(per, same(wide, per)).where("through > rest and through - in_it <= rest").select(wide["source"].alias("src"), F.col("stretch").alias("at_stretch"), (F.col("through") - F.col("in_it")).alias("base"), "rest")
+    fine = hist.join(wide, hist["source"].eqNullSafe(F.col("src")) & (F.floor(F.col("slot") / SLOTS) == F.col("at_stretch")))
+    fine = fine.withColumn("through", F.col("base") + F.sum("in_slot").over(up_to("source", "slot")))
+    crossing = fine.where("through > rest and through - in_slot <= rest").select("src", F.col("slot").alias("at"), (F.col("through") - F.col("in_slot")).alias("before"), "rest")
     inside = some.join(crossing, some["source"].eqNullSafe(F.col("src")) & (F.col("slot") == F.col("at")))
     peers = inside.withColumn("sum", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", F.col("id").asc_nulls_first())))
     cut = peers.groupBy("source").agg(F.first("rest").alias("rest"), F.first("at").alias("at"), F.first("before").alias("before"), F.max(F.when(F.col("sum") <= F.col("rest"), F.struct("sum", "key", "id"))).alias("cut"))

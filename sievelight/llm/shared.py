@@ -20,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: An odd factor of 64 bits.
 BASE = 0x9E3779B97F4A7C15
 #: Words whose hash a Python worker remembers; past it, hashes are computed anew.
-HASH_CACHE = 1_000_000
+HASH_CACHE = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import WordHashes, lists, map_batches, mix, table, written
 
 U = np.uint64
-CHAIN, ROWS_A_RANGE = 3, 8_000
+CHAIN, ROWS_A_RANGE = 3, 4_000
 #: The commonest words of English, French, German and Spanish.
 ANCHORS = """
 a an the of to in and is are was were be been it its that this these those with for on at by from as or not have has had he she they we you i
@@ -106,7 +106,8 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, range_rows: int) -> Da
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("in", F.pandas_udf(place, "array<int>")(F.coalesce("id", F.lit(-(2**63)))))
     rows = rows.select("id", "text", F.posexplode("in").alias("guest", "range"))
-    return rows.repartition(ranges, F.col("range")).sortWithinPartitions(F.col("range"), F.col("guest"), F.col("id").desc_nulls_last(), F.xxhash64("text"))
+    # Twice as many parts as ranges, so that few parts have several.
+    return rows.repartition(2 * ranges, F.col("range")).sortWithinPartitions(F.col("range"), F.col("guest"), F.col("id").desc_nulls_last(), F.xxhash64("text"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, chain: int = CHAIN) -> DataFrame:

@@ -92,3 +92,18 @@ def test_repeated_and_null_ids_and_empty(spark):
     got = taken(*mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
     assert len(got) == 5 and len({r["times"] for r in got if r["id"] == 1}) == 1
     assert taken(*mix(spark.createDataFrame([], "doc_id long, text string, source string"))).count() == 0
+
+
+def test_few_slots_at_a_time(spark, monkeypatch):
+    for name, value in (("SLOTS", 3), ("ROWS_A_RANGE", 2)):
+        monkeypatch.setattr(m, name, value)
+    rows = corpus(5)
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert {r["id"]: r["times"] for r in taken(*mix(df)).collect()} == {i: c for i, (_, _, c) in want.items()}
+
+
+def test_very_long_text(spark):
+    rows = [(1, "w " * 500_000, "a"), (2, "x" * 2_000_000, "a"), (3, "w w", "b")]
+    got = {r["id"]: r["size"] for r in taken(*mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert got == {1: 500_000, 2: 1, 3: 2}
