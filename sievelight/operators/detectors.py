@@ -242,6 +242,14 @@ def name_header(lines: DataFrame, field_id: str = "account_name", raw: bool = Fa
     return detections(some, F.array(_entry(F.regexp_replace(line, r"[\p{L}\p{N}]", "*"), line, F.lit("hit"), F.array(F.lit("header")), F.lit(0), F.length("text"))), field_id, "customer_identity", "name_header", raw)
 
 
+def header_names(words: DataFrame, region: dict, sizes: tuple[float, float] = (1.0, 1.0), field_id: str = "account_name", raw: bool = False) -> DataFrame:
+    """Names in the header: the region's words, grouped to lines whose tops differ by two units at most."""
+    from .geometry import line_spans
+
+    lines = line_spans(in_region(words, region, sizes), 2.0).withColumn("source", F.lit("text"))
+    return name_header(lines, field_id, raw)
+
+
 #: Fields of the UK bank statement profile.
 UK_BANK_STATEMENT = (
     Rule("sort_code", "uk_sort_code", "bank_identifiers", ("sort code", "sort-code", "sc")),

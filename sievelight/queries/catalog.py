@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date
 
@@ -14,7 +15,7 @@ from ..operators import detectors as D
 from ..operators import geometry as G
 from ..operators import redact as R
 from ..operators import vision as V
-from ..plans import packs, policy
+from ..plans import packs, photo, policy
 from ..sources import sinks
 from ..sources import spans as S
 from ..streaming import detect as ST
@@ -553,18 +554,232 @@ def decision_totals(spark, d):
     return rows.select(F.explode("reasons").alias("r")).groupBy(F.col("r.code").alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("report_json")
-def report_json(spark, d):
-    """Reports of the card policy over statement lines, as JSON."""
-    spans = X.statement(spark, d)
-    return packs.report_json(packs.pci_lite(spans.select("doc_id"), spans))
+REPORTED = f"""st AS ({X.STATEMENT_SQL}), s AS (SELECT * FROM st),
+c AS (SELECT doc_id, source, ocr_conf, text, unnest(regexp_extract_all({pan_clean('text')}, '{PAN_RE2}')) AS m FROM s WHERE regexp_matches(text, '[0-9]')),
+d AS (SELECT *, regexp_replace(translate(m, '{BACK}{GREEK}', '{pan.LOOKALIKE_DIGITS * 2}'), '[^0-9]', '', 'g') AS digits FROM c WHERE NOT contains(m, '*')),
+h AS (SELECT doc_id, CASE WHEN {luhn('digits')} THEN 'hit' ELSE 'suspicion' END AS severity FROM d WHERE length(digits) BETWEEN 13 AND 19 AND ({luhn('digits')} OR (source = 'ocr' AND coalesce(ocr_conf, 0) < 0.75))),
+k AS (SELECT doc_id, count(*) FILTER (severity = 'hit') AS hits, count(*) FILTER (severity = 'suspicion') AS sus FROM h GROUP BY doc_id)"""
 
 
-@query("pack_pci_words")
+@query("report_json", f"""WITH {REPORTED} SELECT st.doc_id, 'global.pci_lite.v1' AS pack_id, CASE WHEN length(text) < 30 THEN 'REJECTED' WHEN coalesce(sus, 0) > 0 THEN 'REVIEW' ELSE 'CONFIRMED' END AS decision,
+  CASE WHEN length(text) < 30 THEN 'EXTRACTION_EMPTY' WHEN coalesce(sus, 0) > 0 THEN 'PAN_SUSPECT_OCR_LOW_CONF' ELSE '' END AS reason, coalesce(hits, 0) + coalesce(sus, 0) AS n_detections, CAST(coalesce(hits, 0) AS VARCHAR) AS hits, CAST(source = 'ocr' AS VARCHAR) AS used_ocr
+FROM st LEFT JOIN k USING (doc_id)""")
+def report_json(spark, d):
+    """Reports of the card pack over statement lines, as JSON, and what can be read from them."""
+    spans = X.statement(spark, d)
+    rows = packs.report_json(packs.pci_lite(spans.select("doc_id"), spans))
+    at = lambda path: F.get_json_object("report", path)
+    return rows.select("doc_id", "pack_id", at("$.decision").alias("decision"), F.coalesce(at("$.reasons[0].code"), F.lit("")).alias("reason"), F.coalesce(F.json_array_length(at("$.detections")), F.lit(0)).cast("long").alias("n_detections"), at("$.trace.card_pan.hits").alias("hits"), at("$.trace.extraction.used_ocr").alias("used_ocr"))
+
+
+def _windows(words: str, p: str) -> str:
+    """The windows CTE over other words, under names of its own."""
+    names = ("w", "o", "f", "l", "g", "z", "d1", "d2", "v")
+    out = WINDOWS_CTE.replace(X.WORDS_SQL, "@WORDS@")
+    for n in names:
+        out = re.sub(rf"(?<![\w.'])({n})( AS \()", rf"{p}\1\2", out)
+        out = re.sub(rf"\b(FROM|JOIN) {n}\b(?! AS \()", rf"\1 {p}{n} {n}" if n in ("w", "o", "f") else rf"\1 {p}{n}", out)
+    return out.replace(f"{p}g a,", f"{p}g a,").replace("@WORDS@", words)
+
+
+BEST = "SELECT doc_id, page, line_no, start, size, severity FROM {v} WHERE severity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, page, digits ORDER BY (severity = 'hit') DESC, avg_conf DESC, size DESC, x0, line_no, size, start) = 1"
+#: Stitched numbers, the words without those of the hits, and what is stitched from these.
+STITCHED = f"""{WINDOWS_CTE}, bw AS ({BEST.format(v='v')}),
+gone AS (SELECT DISTINCT l.doc_id, l.span_id FROM bw JOIN l ON bw.doc_id = l.doc_id AND bw.page = l.page AND bw.line_no = l.line_no AND l.i BETWEEN bw.start AND bw.start + bw.size - 1 WHERE bw.severity = 'hit'),
+w2 AS (SELECT w.* REPLACE (CASE WHEN gone.span_id IS NULL THEN w.text ELSE repeat('█', length(w.text)) END AS text) FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.span_id = gone.span_id),
+{_windows('SELECT * FROM w2', 'r')}, rb AS ({BEST.format(v='rv')})"""
+
+
+@query("pack_pci_words", f"""WITH RECURSIVE {STITCHED},
+a AS (SELECT doc_id, sum(length(text)) AS chars FROM w GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (severity = 'hit') AS hits, count(*) FILTER (severity = 'suspicion') AS sus FROM bw GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS again FROM rb GROUP BY doc_id), q AS (SELECT a.*, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, coalesce(sus, 0) AS sus, coalesce(again, 0) AS again FROM a LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id))
+SELECT doc_id, CASE WHEN chars < 30 THEN 'REJECTED' WHEN sus > 0 OR (hits > 0 AND again > 0) THEN 'REVIEW' ELSE 'CONFIRMED' END AS decision,
+  CASE WHEN chars < 30 THEN 'EXTRACTION_EMPTY' WHEN sus > 0 THEN 'PAN_SUSPECT_OCR_LOW_CONF' WHEN hits > 0 AND again > 0 THEN 'PAN_REMAINS_AFTER_REDACTION' ELSE '' END AS reasons, n FROM q""")
 def pack_pci_words(spark, d):
     """The whole card pack over OCR words: single spans, stitched numbers, redaction and its check."""
     words = X.ocr_words(spark, d)
-    return packs.pci_lite(words.select("doc_id").distinct(), words).select("doc_id", "decision", F.transform("reasons", lambda r: r["code"]).alias("reasons"), F.size("detections").alias("n"))
+    return packs.pci_lite(words.select("doc_id").distinct(), words).select("doc_id", "decision", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("reasons"), F.size("detections").cast("long").alias("n"))
+
+
+# --- photo runs --------------------------------------------------------------------------------------------------------------
+READ_CTE = f"""o AS ({X.REGIONS_SQL}),
+b AS (SELECT * FROM o WHERE success QUALIFY row_number() OVER (PARTITION BY doc_id, roi ORDER BY CASE WHEN roi = 'pan' THEN length(regexp_replace(text, '[^0-9]', '', 'g')) ELSE 0 END DESC, avg_conf DESC, length(text) DESC, backend_order) = 1),
+pe AS (SELECT doc_id, avg_conf, regexp_extract(translate(regexp_replace(text, '[^0-9 \\-{BACK}]', '|', 'g'), '|', '!'), '{f"(?:^|[^0-9{BACK}])([0-9{BACK}](?:[ -]*[0-9{BACK}]){{12,18}})(?:$|[^0-9{BACK}])"}', 1) AS f, regexp_replace(text, '[^0-9]', '', 'g') AS a FROM b WHERE roi = 'pan'),
+pg AS (SELECT doc_id, avg_conf, CASE WHEN f <> '' THEN regexp_replace(translate(f, '{BACK}', '{pan.LOOKALIKE_DIGITS}'), '[^0-9]', '', 'g') WHEN length(a) BETWEEN 13 AND 19 THEN a END AS digits FROM pe),
+pn AS (SELECT doc_id, CASE WHEN {luhn('digits')} AND round(avg_conf, 4) >= 0.5 THEN 'hit' ELSE 'suspicion' END AS severity FROM pg WHERE length(digits) BETWEEN 13 AND 19),
+ex AS (SELECT doc_id FROM b WHERE roi = 'expiry' AND regexp_matches(text, '(0[1-9]|1[0-2])[\\-/](\\d{{2,4}})')),
+mz AS (SELECT doc_id FROM b WHERE roi = 'mrz' AND len(list_filter([upper(replace(trim(x), ' ', '')) FOR x IN string_split(text, chr(10))], lambda x: regexp_matches(x, '^[A-Z0-9<]{{30,44}}$'))) >= 2),
+dn AS (SELECT doc_id FROM b WHERE roi = 'id_number' AND regexp_matches(replace(text, ' ', ''), '[A-Z0-9]{{6,}}'))"""
+VISUAL_SQL = SQL["visual_pan"].replace("WITH c AS", "c AS", 1).rsplit("SELECT doc_id, page, digit_like_count", 1)[0].strip().replace("k AS (", "vk AS (").replace("FROM k)", "FROM vk)").replace("g AS (", "vg AS (", 1).replace("FROM vg", "FROM vg").replace("a AS (SELECT doc_id, page, count", "va AS (SELECT doc_id, page, count").replace("FROM g GROUP", "FROM vg GROUP")
+VISUAL_SQL += ", vp AS (SELECT doc_id FROM va WHERE digit_like_count BETWEEN 10 AND 32 AND dev <= 0.25 * height AND s / m < 0.6)"
+ENGINES = "SELECT doc_id, array_to_string(list_sort(list(DISTINCT engine)), ',') AS engines FROM b WHERE roi IN ({}) GROUP BY doc_id"
+HAS = "p.doc_id IN (SELECT doc_id FROM {})"
+
+
+@query("card_run", f"""WITH {READ_CTE}, {VISUAL_SQL}, en AS ({ENGINES.format("'pan', 'expiry'")}),
+r AS (SELECT p.*, pn.severity AS pan, {HAS.format('ex')} AS expiry, {HAS.format('vp')} AS looks, coalesce(engines, '') AS engines FROM ({X.PHOTOS_SQL}) p LEFT JOIN pn USING (doc_id) LEFT JOIN en USING (doc_id)),
+dc AS (SELECT *, coalesce(pan = 'hit', false) AS ok, looks AND pan IS NULL AS only_looks, {_join(("looks AND pan IS NULL", "PAN_SUSPECT_VISUAL"), ("pan = 'suspicion'", "PAN_SUSPECT"), ("expiry", "EXPIRY_ONLY"), ("occlusion_suspected", "OCCLUSION"), ("blur_score < 20", "QUALITY_LOW"))} AS listed FROM r)
+SELECT doc_id, CASE WHEN ok AND doc_id % 8 <> 0 THEN 'CONFIRMED' ELSE 'REVIEW' END AS decision, CASE WHEN ok AND doc_id % 8 = 0 THEN 'PAN_REMAINS' WHEN ok THEN 'PAN_CONFIRMED' WHEN listed = '' THEN 'QUALITY_LOW' ELSE listed END AS reasons,
+  CAST((pan IS NOT NULL)::INT + expiry::INT + looks::INT AS BIGINT) AS n_detections, CAST((NOT ok AND only_looks)::INT AS BIGINT) AS n_suggested, CASE WHEN NOT ok AND only_looks AND force_band_redact THEN 'FORCED_REDACT_REVIEW' END AS action, engines FROM dc""")
+def card_run(spark, d):
+    """Card photos end to end over provider rows; after redaction a number is read again in one document of eight."""
+    return _run(photo.card_run(X.photos(spark, d), X.boxes(spark, d), X.region_ocr(spark, d), AS_OF, X.contours(spark, d), _after(spark, d, "4242 4242 4242 4242")), "action")
+
+
+def _after(spark, d, text):
+    return X.photos(spark, d).where("doc_id % 8 = 0").select("doc_id", "page", F.lit(text).alias("text"), F.lit(0.9).alias("ocr_conf"), F.lit("roi_ocr").alias("source"))
+
+
+def _run(reports, *more):
+    return reports.select("doc_id", "decision", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("reasons"), F.coalesce(F.size("detections"), F.lit(0)).cast("long").alias("n_detections"), photo.suggested().cast("long").alias("n_suggested"), *more, F.array_join("trace.ocr_backends_used", ",").alias("engines"))
+
+
+@query("id_run", f"""WITH {READ_CTE}, en AS ({ENGINES.format("'mrz', 'id_number'")}),
+r AS (SELECT p.*, {HAS.format('mz')} AS zone, {HAS.format('dn')} AS number, coalesce(engines, '') AS engines FROM ({X.PHOTOS_SQL}) p LEFT JOIN en USING (doc_id)),
+c AS (SELECT *, {_join(("number", "ID_SUSPECT"), ("occlusion_suspected OR blur_score < 18", "QUALITY_LOW"), ("occlusion_suspected", "OCCLUSION"))} AS listed FROM r)
+SELECT doc_id, CASE WHEN zone AND doc_id % 8 <> 0 THEN 'CONFIRMED' WHEN zone OR listed <> '' THEN 'REVIEW' ELSE 'REJECTED' END AS decision, CASE WHEN zone AND doc_id % 8 = 0 THEN 'MRZ_REMAINS' WHEN zone THEN 'MRZ_CONFIRMED' WHEN listed <> '' THEN listed ELSE 'QUALITY_LOW' END AS reasons,
+  CAST(zone::INT + number::INT AS BIGINT) AS n_detections, CAST(0 AS BIGINT) AS n_suggested, engines FROM c""")
+def id_run(spark, d):
+    zone = "P<GBRA" + "<" * 32 + "\n" + "123456789" + "GBR" + "<" * 26 + "0"
+    return _run(photo.id_run(X.photos(spark, d), X.boxes(spark, d), X.region_ocr(spark, d), _after(spark, d, zone)))
+
+
+@query("photo_paint", f"""WITH {READ_CTE}, bx AS ({X.BOXES_SQL}), z AS (SELECT p.doc_id, width, height FROM ({X.PHOTOS_SQL}) p WHERE {HAS.format('mz')}),
+best AS (SELECT doc_id, label, x1, y1, x2, y2 FROM bx QUALIFY row_number() OVER (PARTITION BY doc_id, CASE WHEN label IN ('id_number', 'id') THEN 'id_number' ELSE label END ORDER BY conf DESC, x1, y1, x2, y2) = 1),
+f AS (SELECT z.doc_id, 'mrz' AS label, width, height, coalesce(x1, floor(width * 0.05::DOUBLE)) AS x0, coalesce(y1, floor(height * 0.75::DOUBLE)) AS y0, coalesce(x2, floor(width * 0.95::DOUBLE)) AS x1, coalesce(y2, height) AS y1 FROM z LEFT JOIN best ON z.doc_id = best.doc_id AND best.label = 'mrz'
+  UNION ALL SELECT z.doc_id, 'id_number', width, height, coalesce(x1, floor(width * 0.2::DOUBLE)), coalesce(y1, floor(height * 0.2::DOUBLE)), coalesce(x2, floor(width * 0.8::DOUBLE)), coalesce(y2, floor(height * 0.55::DOUBLE)) FROM z JOIN dn USING (doc_id) LEFT JOIN best ON z.doc_id = best.doc_id AND best.label = 'id_number'
+  UNION ALL SELECT z.doc_id, 'face', width, height, x1, y1, x2, y2 FROM z JOIN best ON z.doc_id = best.doc_id AND best.label = 'face')
+SELECT doc_id, label, least(greatest(x0 / 2.0::DOUBLE, 0), width / 2.0::DOUBLE) AS x0, least(greatest(y0 / 2.0::DOUBLE, 0), height / 2.0::DOUBLE) AS y0, least(greatest(x1 / 2.0::DOUBLE, 0), width / 2.0::DOUBLE) AS x1, least(greatest(y1 / 2.0::DOUBLE, 0), height / 2.0::DOUBLE) AS y1 FROM f""")
+def photo_paint(spark, d):
+    """What is painted over on confirmed IDs."""
+    pages, boxes = X.photos(spark, d).withColumn("scale", F.lit(2.0)), X.boxes(spark, d)
+    return photo.paint(photo.id_run(pages, boxes, X.region_ocr(spark, d)), pages, boxes).select("doc_id", "label", "x0", "y0", "x1", "y1")
+
+
+@query("ocr_readings", f"WITH {READ_CTE} SELECT p.doc_id, coalesce(b.engine, 'none') AS engine, coalesce(b.text, '') AS text, round(coalesce(avg_conf, 0), 4) AS conf FROM ({X.PHOTOS_SQL}) p LEFT JOIN b ON p.doc_id = b.doc_id AND b.roi = 'pan'")
+def ocr_readings(spark, d):
+    """What the best engine read in the number's region, or nothing by engine "none"."""
+    return photo.readings(X.photos(spark, d), X.boxes(spark, d), X.region_ocr(spark, d), "pan").select("doc_id", "engine", "text", F.col("ocr_conf").alias("conf"))
+
+
+@query("attempts_preview", f"SELECT doc_id, roi, backend_order, engine, success, array_to_string([CASE WHEN NOT regexp_matches(p, '^[0-9]+$') OR length(p) < 2 THEN p WHEN length(p) <= 4 THEN repeat('#', length(p)::INT) ELSE repeat('#', (length(p) - 4)::INT) || right(p, 4) END FOR p IN regexp_extract_all(substr(text, 1, 40), '[0-9]+|[^0-9]+')], '') AS preview FROM ({X.REGIONS_SQL})")
+def attempts_preview(spark, d):
+    return V.attempts_preview(X.region_ocr(spark, d)).drop("page")
+
+
+@query("roi_expiry", _roi_sql("'expiry'", "floor(width * 0.55::DOUBLE)", "floor(height * 0.6::DOUBLE)", "floor(width * 0.95::DOUBLE)", "floor(height * 0.92::DOUBLE)"))
+def roi_expiry(spark, d):
+    return V.rois(X.photos(spark, d), X.boxes(spark, d), "expiry", ("expiry",)).select("doc_id", "detected", "roi.*")
+
+
+@query("padded_boxes", f"SELECT b.doc_id, label, round(greatest(x1 - (x2 - x1) * 0.08::DOUBLE, 0), 6) AS x0, round(greatest(y1 - (y2 - y1) * 0.08::DOUBLE, 0), 6) AS y0, round(least(x2 + (x2 - x1) * 0.08::DOUBLE, width), 6) AS x1, round(least(y2 + (y2 - y1) * 0.08::DOUBLE, height), 6) AS y1 FROM ({X.BOXES_SQL}) b JOIN ({X.PHOTOS_SQL}) p ON b.doc_id = p.doc_id")
+def padded_boxes(spark, d):
+    box = F.struct(F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    rows = X.boxes(spark, d).select("doc_id", "label", box.alias("b")).join(X.photos(spark, d).select("doc_id", F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h")), "doc_id")
+    out = rows.select("doc_id", "label", V.padded(F.col("b"), F.col("w"), F.col("h")).alias("p"))
+    return out.select("doc_id", "label", *[F.round(f"p.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("occluded", "SELECT o_orderkey, greatest(o_custkey % 20 / 100.0::DOUBLE, o_orderkey % 15 / 100.0::DOUBLE) > 0.12::DOUBLE AS hidden FROM orders")
+def occluded(spark, d):
+    share = lambda c, n: (F.col(c) % n).cast("double") / 100.0
+    return X.table(spark, d, "orders").select("o_orderkey", V.occluded(share("o_custkey", 20), share("o_orderkey", 15)).alias("hidden"))
+
+
+@query("homography_back", """
+WITH b AS (SELECT s_suppkey, CAST(s_suppkey % 50 AS DOUBLE) AS x0, CAST(s_suppkey % 30 AS DOUBLE) AS y0 FROM supplier)
+SELECT s_suppkey, round(0.5::DOUBLE * x0 - 1 + 5, 6) AS x0, round(0.25::DOUBLE * y0 + 2 + 7, 6) AS y0, round(0.5::DOUBLE * (x0 + 90) - 1 + 5, 6) AS x1, round(0.25::DOUBLE * (y0 + 40) + 2 + 7, 6) AS y1 FROM b""")
+def homography_back(spark, d):
+    x, y = (F.col("s_suppkey") % 50).cast("double"), (F.col("s_suppkey") % 30).cast("double")
+    box = F.struct(x.alias("x0"), y.alias("y0"), (x + 90).alias("x1"), (y + 40).alias("y1"))
+    m = F.array(*map(F.lit, (0.5, 0.0, -1.0, 0.0, 0.25, 2.0, 0.0, 0.0, 1.0)))
+    out = X.table(spark, d, "supplier").select("s_suppkey", box.alias("b")).select("s_suppkey", V.map_box(F.col("b"), m, F.lit(5.0), F.lit(7.0), back=True).alias("b"))
+    return out.select("s_suppkey", *[F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+# --- extracted texts ---------------------------------------------------------------------------------------------------------
+#: A text layer and an OCR layer of each statement line, two pages each, with their qualities.
+LAYER = "SELECT doc_id, [text, {second}] AS pages, '{source}' AS source, CAST(doc_id * {k} % 10 AS DOUBLE) / 10 AS quality_score FROM ({st})"
+TEXT_LAYER = LAYER.format(second="'page two' || chr(10) || ' of text '", source="text", k=3, st=X.STATEMENT_SQL)
+OCR_LAYER = LAYER.format(second="CAST(NULL AS VARCHAR)", source="ocr", k=7, st=X.STATEMENT_SQL)
+
+
+def _layer(spark, d, second, source, k):
+    quality = (F.col("doc_id") * k % 10).cast("double") / 10
+    return X.statement(spark, d).select("doc_id", F.array("text", second).alias("pages"), F.lit(source).alias("source"), quality.alias("quality_score"))
+
+
+def _layers(spark, d):
+    return _layer(spark, d, F.lit("page two\n of text "), "text", 3), _layer(spark, d, F.lit(None).cast("string"), "ocr", 7)
+
+
+CHOSEN = f"(SELECT t.doc_id, CASE WHEN t.quality_score >= 0.5 THEN t.source ELSE o.source END AS source, CASE WHEN t.quality_score >= 0.5 THEN t.quality_score ELSE o.quality_score END AS quality_score, CASE WHEN t.quality_score >= 0.5 THEN t.pages ELSE o.pages END AS pages FROM ({TEXT_LAYER}) t JOIN ({OCR_LAYER}) o ON t.doc_id = o.doc_id)"
+
+
+@query("chosen_text", f"SELECT doc_id, source, quality_score, CASE WHEN quality_score < 0.5 THEN 'ocr_quality_too_low' END AS reason FROM {CHOSEN}")
+def chosen_text(spark, d):
+    return S.chosen_text(*_layers(spark, d)).select("doc_id", "source", "quality_score", "reason")
+
+
+PAGE_LINES = f"(SELECT doc_id, source, quality_score, page, CAST(unnest(range(len(ls))) AS BIGINT) AS no, trim(unnest(ls)) AS text FROM (SELECT doc_id, source, quality_score, unnest(range(len(pages))) AS page, string_split(unnest(pages), chr(10)) AS ls FROM {CHOSEN}) WHERE ls IS NOT NULL)"
+
+
+@query("page_spans", f"SELECT doc_id, page * 4294967296 + no AS span_id, text, CAST(page AS INT) AS page, source, CASE WHEN source = 'ocr' THEN quality_score ELSE 1 END AS ocr_conf FROM {PAGE_LINES} WHERE text <> ''")
+def page_spans(spark, d):
+    return S.page_spans(S.chosen_text(*_layers(spark, d))).select("doc_id", "span_id", "text", "page", "source", "ocr_conf")
+
+
+@query("with_ocr", f"WITH t AS (SELECT doc_id, count(*) AS n, sum(length(text)) AS c FROM ({X.ALL_SPANS_SQL}) WHERE doc_id >= 0 GROUP BY doc_id) SELECT d.doc_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_text, CAST(CASE WHEN coalesce(c, 0) < 200 THEN 1 ELSE 0 END AS BIGINT) AS n_ocr FROM documents d LEFT JOIN t USING (doc_id) WHERE coalesce(t.n, 0) > 0 OR coalesce(c, 0) < 200")
+def with_ocr(spark, d):
+    """The text layer, with OCR where it is too thin."""
+    docs = X.table(spark, d, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.lit(-1).cast("long").alias("span_id"), F.lit(" read ").alias("text"), F.lit(0).alias("page"), *[F.lit(v).alias(c) for c, v in (("x", 1.0), ("y", 2.0), ("w", 3.0), ("h", 4.0), ("conf", 90.0))])
+    spans = S.with_ocr(S.line_spans(docs), S.normalised_ocr(words, 2.0), docs, 200)
+    return spans.groupBy("doc_id").agg(F.count_if(F.col("source") == "text").alias("n_text"), F.count_if((F.col("source") == "ocr") & (F.col("text") == "read") & (F.col("bbox.x1") == 8.0) & (F.col("ocr_conf") == 0.9)).alias("n_ocr"))
+
+
+@query("spans_json", f"SELECT doc_id, count(*) AS n, arg_min(text, (page, span_id)) AS first_text, min(span_id) AS first_id FROM ({X.WORDS_SQL}) GROUP BY doc_id")
+def spans_json(spark, d):
+    rows = sinks.spans_json(X.ocr_words(spark, d))
+    at = lambda path: F.get_json_object("spans", path)
+    return rows.select("doc_id", F.json_array_length("spans").cast("long").alias("n"), at("$[0].text").alias("first_text"), at("$[0].span_id").cast("long").alias("first_id"))
+
+
+@query("header_names", f"""
+WITH RECURSIVE w AS (SELECT * FROM ({X.WORDS_SQL}) WHERE page = 0 AND x0 >= 0 AND x1 <= 400 AND y0 >= 0 AND y1 <= 29),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, span_id) AS k FROM w),
+f AS (SELECT doc_id, page, k, 0 AS line_no, y0 AS top FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.page, o.k, CASE WHEN abs(o.y0 - f.top) <= 2 THEN f.line_no ELSE f.line_no + 1 END, CASE WHEN abs(o.y0 - f.top) <= 2 THEN f.top ELSE o.y0 END FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.k = f.k + 1),
+t AS (SELECT doc_id, page, line_no, string_agg(text, ' ' ORDER BY y0, x0, span_id) AS text FROM f JOIN o USING (doc_id, page, k) GROUP BY doc_id, page, line_no),
+h AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: regexp_matches(t, '^[£]?\\s*-?\\d{{1,3}}(,\\d{{3}})*(\\.\\d{{2}})?\\s*$'))) AS amounts, regexp_replace(text, '\\s', '', 'g') AS solid FROM t)
+SELECT doc_id, arg_min(text, line_no) AS raw FROM h WHERE regexp_matches(text, '\\p{{L}}') AND amounts < 2 AND length(regexp_replace(solid, '[^0-9.,£$()-]', '', 'g')) <= 0.6 * length(solid) GROUP BY doc_id""")
+def header_names(spark, d):
+    return D.header_names(X.ocr_words(spark, d), {"page": 0, "x_range": (0.0, 1.0), "y_range": (0.0, 0.25)}, (400.0, 116.0), raw=True).select("doc_id", "raw")
+
+
+@query("decision_legacy", f"""WITH {PROFILE_CTE}, sa AS (SELECT doc_id, source, ocr_conf, unnest(regexp_extract_all(regexp_replace(text, '[^{STRICT_SIGN} -]', '|', 'g'), '{STRICT_RE2}')) AS m FROM st), sb AS (SELECT doc_id, source, ocr_conf, {FIXED} AS digits FROM sa),
+sc AS (SELECT doc_id, count(*) FILTER ({luhn('digits')}) AS hits, count(*) FILTER (NOT {luhn('digits')} AND source = 'ocr' AND ocr_conf < 0.75) AS sus FROM sb WHERE length(digits) BETWEEN 13 AND 19 GROUP BY doc_id),
+z AS (SELECT st.doc_id, length(text) AS c, CAST(st.doc_id % 10 AS DOUBLE) / 10 AS q, coalesce(hits, 0) AS hits, coalesce(sus, 0) AS sus FROM st LEFT JOIN sc USING (doc_id))
+SELECT doc_id, CASE WHEN q < 0.5 OR c < 30 THEN 'REJECTED' WHEN sus > 0 THEN 'REVIEW' ELSE 'CONFIRMED' END AS decision, CASE WHEN q < 0.5 THEN 'EXTRACTION_QUALITY_LOW' WHEN c < 30 THEN 'EXTRACTION_EMPTY' WHEN sus > 0 THEN 'PAN_SUSPECT_OCR_LOW_CONF' ELSE '' END AS reasons, hits + sus AS n FROM z""")
+def decision_legacy(spark, d):
+    spans = X.statement(spark, d)
+    quality = spans.select("doc_id", ((F.col("doc_id") % 10).cast("double") / 10).alias("quality_score"))
+    out = packs.run_pack("pci.lite.legacy", spans.select("doc_id"), spans, quality)
+    return out.select("doc_id", "decision", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("reasons"), F.coalesce(F.size("detections"), F.lit(0)).cast("long").alias("n"))
+
+
+@query("pack_uk", f"""{UK.replace("length(text) AS c", "length(text) AS c")}, n AS (SELECT doc_id, count(*) AS n FROM pr WHERE severity = 'hit' GROUP BY doc_id)
+SELECT z.doc_id, CASE WHEN q < 0.5 OR c < 30 THEN 'REJECTED' WHEN z.hits = 0 THEN 'REVIEW' ELSE 'CONFIRMED' END AS decision, coalesce(n, 0) AS n FROM z LEFT JOIN n USING (doc_id)""")
+def pack_uk(spark, d):
+    spans = X.statement(spark, d)
+    quality = spans.select("doc_id", ((F.col("doc_id") % 10).cast("double") / 10).alias("quality_score"))
+    out = packs.run_pack("uk.bank_statement.v1", spans.select("doc_id"), spans, quality)
+    return out.select("doc_id", "decision", F.coalesce(F.size("detections"), F.lit(0)).cast("long").alias("n"))
+
+
+@query("registries", "SELECT unnest(['pack', 'pack', 'pack', 'pack', 'pack', 'profile']) AS kind, unnest(['global.card_photo.v1', 'global.id_photo.v1', 'global.pci_lite.v1', 'pci.lite.legacy', 'uk.bank_statement.v1', 'uk.bank_statement.v1']) AS name")
+def registries(spark, d):
+    return spark.createDataFrame([("pack", n) for n in packs.list_packs()] + [("profile", n) for n in D.profile_names()], "kind string, name string")
 
 
 @query("ocr_text", f"SELECT doc_id, string_agg(text, chr(10) ORDER BY page, span_id) AS text FROM ({X.WORDS_SQL}) GROUP BY doc_id")

@@ -136,6 +136,19 @@ def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*RESULT_COLUMNS)
 
 
+#: What OCR reads in the regions of a photo, by order line: a card number, an expiry date, a machine-readable zone, a document number.
+REGION_TEXT = (
+    f"CASE l_linenumber % 4 WHEN 0 THEN 'No ' || CASE l_partkey % {len(CARDS)} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CARDS)) + f" END WHEN 1 THEN 'valid thru ' || {pad('l_partkey % 14', 2)} || '/' || {pad('l_suppkey * 7 % 100', 2)} "
+    f"WHEN 2 THEN CASE WHEN l_partkey % 3 = 0 THEN 'no zone' ELSE 'P<GBR' || {letter('l_partkey')} || '<<<<<<<<<<<<<<<<<<<<<<<<<<<<<<<<' || chr(10) || {pad('l_partkey * 7919 % 1000000000', 9)} || 'gbr<<<<<<<<<<<<<<<<<<<<<<<<<<0' END ELSE CASE WHEN l_suppkey % 2 = 0 THEN 'No ' || {letter('l_partkey')} || ' ' || {pad('l_partkey * 7919 % 1000000', 6)} ELSE 'no 12' END END"
+)
+REGION_COLUMNS = ["l_orderkey AS doc_id", "0 AS page", "CASE l_linenumber % 4 WHEN 0 THEN 'pan' WHEN 1 THEN 'expiry' WHEN 2 THEN 'mrz' ELSE 'id_number' END AS roi", f"CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(WORD_ORDER)}) AS INT) AS backend_order", "CASE l_suppkey % 3 WHEN 0 THEN 'apple' WHEN 1 THEN 'paddle' ELSE 'tesseract' END AS engine", f"{REGION_TEXT} AS text", "CAST(l_quantity AS DOUBLE) / 50 AS avg_conf", "l_partkey % 5 <> 0 AS success"]
+REGIONS_SQL = f"SELECT {', '.join(REGION_COLUMNS)} FROM lineitem"
+
+
+def region_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*REGION_COLUMNS)
+
+
 #: Contour boxes, fourteen to a card, from the keys of parts; some cards are ragged.
 CONTOUR_SQL = """
 SELECT p_partkey AS doc_id, 0 AS page, CAST(65 + 25 * i + CASE WHEN p_partkey % 5 = 0 THEN p_partkey * i % 23 ELSE p_partkey * i % 3 END AS INT) AS px,

@@ -9,6 +9,7 @@ BOXES = "doc_id long, page int, label string, conf double, x1 double, y1 double,
 PAGES = "doc_id long, page int, width int, height int, scale double, render_dpi int, source string"
 OCR_WORDS = f"array<struct<text:string,bbox:{BOX},confidence:double>>"
 OCR_RESULTS = "doc_id long, page int, roi string, backend_order int, engine string, text string, avg_conf double, success boolean"
+ATTEMPTS = f"{OCR_RESULTS}, error string, elapsed_ms double"
 CONTOURS = "doc_id long, page int, px int, py int, pw int, ph int, contour_area double, card_w int, card_h int, card_area double"
 DOC_TEXT = "doc_id long, pages array<string>, source string, quality_score double"
 

@@ -6,14 +6,18 @@ its provider once. Nothing here imports a PDF, OCR or vision library: those belo
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..schema import OCR_RESULTS, SPANS
+from ..schema import ATTEMPTS, SPANS
 
 
 class Provider(Protocol):
@@ -47,25 +51,50 @@ def engines(mode: str, available: set[str]) -> list[str]:
 def scan(spark: SparkSession, path: str, provider: Callable[[], Provider], schema: str = SPANS, glob: str = "*") -> DataFrame:
     """Rows of all files of a folder; doc_id is a hash of the path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.xxhash64("path").alias("doc_id"), "path", "content")
-    from pyspark.sql import types as T
-
     kind = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = provider()
         for batch in batches:
-            rows = [{"doc_id": d, **r} for d, p, c in zip(batch["doc_id"], batch["path"], batch["content"]) for r in reader.rows(p, bytes(c))]
-            yield pd.DataFrame(rows, columns=kind.fieldNames())
+            for d, p, c in zip(*(batch[k].to_pylist() for k in ("doc_id", "path", "content"))):
+                if rows := [{"doc_id": d, **r} for r in reader.rows(p, c)]:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return files.mapInArrow(run, kind)
+
 
-    return files.mapInPandas(run, kind)
+class Guarded:
+    """A provider whose errors become rows: an engine that fails on a file is an attempt without success."""
+
+    def __init__(self, inner: Callable[[], Provider]):
+        try:
+            self.inner, self.error = inner(), None
+        except Exception as e:  # the engine itself is not to be had
+            self.inner, self.error = None, str(e)
+
+    def rows(self, path: str, content: bytes) -> Iterator[dict]:
+        began = time.perf_counter()
+        try:
+            if self.inner is None:
+                raise RuntimeError(self.error)
+            made = [{"success": True, "error": None, **r} for r in self.inner.rows(path, content)]
+        except Exception as e:
+            made = [{"page": 0, "roi": None, "text": "", "avg_conf": 0.0, "success": False, "error": str(e)}]
+        took = round((time.perf_counter() - began) * 1000, 2)
+        yield from ({"elapsed_ms": took, **r} for r in made)
 
 
 def ocr_attempts(spark: SparkSession, path: str, backends: dict[str, Callable[[], Provider]], mode: str = "auto") -> DataFrame:
-    """OCR results of all engines of the mode, in order, as rows of OCR_RESULTS."""
+    """Attempts of all engines of the mode, in order, as rows of ATTEMPTS; a failure is a row with its error, and a file that no engine
+    read gets an empty result of engine "none"."""
     out = None
     for k, name in enumerate(e for e in engines(mode, set(backends)) if e in backends):
-        rows = scan(spark, path, backends[name], OCR_RESULTS).withColumn("engine", F.lit(name)).withColumn("backend_order", F.lit(k))
+        rows = scan(spark, path, partial(Guarded, backends[name]), ATTEMPTS).withColumn("engine", F.lit(name)).withColumn("backend_order", F.lit(k))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        return spark.createDataFrame([], OCR_RESULTS)
-    return out
+        out = spark.createDataFrame([], ATTEMPTS)
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id")).distinct()
+    none = files.join(out.where("success"), "doc_id", "left_anti")
+    empty = {"page": F.lit(0), "roi": F.lit(None).cast("string"), "backend_order": F.lit(len(backends)), "engine": F.lit("none"), "text": F.lit(""), "avg_conf": F.lit(0.0), "success": F.lit(True), "error": F.lit(None).cast("string"), "elapsed_ms": F.lit(0.0)}
+    return out.unionByName(none.withColumns(empty))

@@ -59,3 +59,18 @@ def normalised_ocr(words: DataFrame, scale: float = 1.0) -> DataFrame:
     rows = words.withColumn("text", T.strip(F.col("text"))).where("text <> ''")
     box = F.struct((F.col("x") * scale).alias("x0"), (F.col("y") * scale).alias("y0"), ((F.col("x") + F.col("w")) * scale).alias("x1"), ((F.col("y") + F.col("h")) * scale).alias("y1"))
     return rows.select("doc_id", "span_id", "text", box.alias("bbox"), "page", F.lit("ocr").alias("source"), (F.col("conf") / 100).alias("ocr_conf"), F.lit("word").alias("span_kind"))
+
+
+def chosen_text(text: DataFrame, ocr: DataFrame, mode: str = "auto", threshold: float = 0.5) -> DataFrame:
+    """Extracted texts (doc_id, pages, source, quality_score) by mode: text, ocr, or auto, which takes OCR where the text layer is below
+    the threshold. ``reason`` is null where the quality suffices."""
+    if mode not in ("text", "ocr", "auto"):
+        mode = "auto"
+    names = ["pages", "source", "quality_score"]
+    a = text.select("doc_id", F.struct(*names).alias("a")) if mode != "ocr" else None
+    b = ocr.select("doc_id", F.struct(*names).alias("b")) if mode != "text" else None
+    rows = a.join(b, "doc_id", "full") if mode == "auto" else a.withColumn("b", F.lit(None).cast(a.schema["a"].dataType)) if b is None else b.withColumn("a", F.lit(None).cast(b.schema["b"].dataType))
+    good = F.coalesce(F.col("a.quality_score") >= threshold, F.lit(False))
+    picked = rows.withColumn("p", F.when(good | F.col("b").isNull(), F.col("a")).otherwise(F.col("b")))
+    fine = F.coalesce(F.col("p.quality_score") >= threshold, F.lit(False))
+    return picked.select("doc_id", "p.pages", "p.source", "p.quality_score", F.when(~fine, "quality_too_low" if mode == "text" else "ocr_quality_too_low").alias("reason"))

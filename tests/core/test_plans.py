@@ -1,12 +1,16 @@
 """Decisions, packs, redaction, vision relations, sources and streams."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
+from sievelight.operators import detectors as D
 from sievelight.operators import redact as R
 from sievelight.operators import vision as V
 from sievelight.operators.detectors import card_pan
 from sievelight.plans import packs, policy
+from sievelight.plans import photo as photos
 from sievelight.schema import BOXES, CONTOURS, OCR_RESULTS, SPANS
 from sievelight.sources import providers, sinks
 from sievelight.sources import spans as S
@@ -159,6 +163,92 @@ def test_word_ids_differ(spark):
     assert [(r["page"], r["text"], r["ocr_conf"]) for r in S.page_spans(pages).orderBy("span_id").collect()] == [(0, "a", 0.4), (0, "b", 0.4), (2, "c", 0.4)]
 
 
+class Reads:
+    def rows(self, path, content):
+        yield {"page": 0, "roi": "pan", "text": content.decode(), "avg_conf": 0.9}
+
+
+class Fails:
+    def rows(self, path, content):
+        if b"bad" in content:
+            raise ValueError("cannot read this")
+        yield from Reads().rows(path, content)
+
+
+class Absent:
+    def __init__(self):
+        raise ImportError("no such engine")
+
+
+def test_ocr_attempts_keep_errors(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("good 1")
+    (tmp_path / "b.txt").write_text("bad 2")
+    out = providers.ocr_attempts(spark, str(tmp_path), {"apple": Absent, "paddle": Fails}, "auto").collect()
+    got = sorted((r["engine"], r["success"], r["text"], r["error"]) for r in out if r["engine"] != "none")
+    assert got == [("apple", False, "", "no such engine"), ("apple", False, "", "no such engine"), ("paddle", False, "", "cannot read this"), ("paddle", True, "good 1", None)]
+    none = [r for r in out if r["engine"] == "none"]
+    assert len(none) == 1 and none[0]["text"] == "" and none[0]["doc_id"] == next(r["doc_id"] for r in out if r["error"] == "cannot read this")
+    assert all(r["elapsed_ms"] >= 0 for r in out)
+
+
+PHOTO = "doc_id long, page int, width int, height int, scale double, blur_score double, occlusion_suspected boolean, force_band_redact boolean"
+
+
+def photo_rows(spark, texts, blur=80.0, hidden=False, force=False):
+    pages = spark.createDataFrame([(1, 0, 1000, 600, 2.0, blur, hidden, force)], PHOTO)
+    ocr = spark.createDataFrame([(1, 0, roi, k, "tesseract", t, 0.95, True) for k, (roi, t) in enumerate(texts)] + [(1, 0, "pan", 9, "apple", "", 0.0, False)], OCR_RESULTS)
+    return pages, spark.createDataFrame([(1, 0, "card", 0.9, 100.0, 80.0, 900.0, 560.0), (1, 0, "face", 0.8, 10.0, 10.0, 60.0, 80.0)], BOXES), ocr
+
+
+def seen(report):
+    r = report.first()
+    return r["decision"], [x["code"] for x in r["reasons"]], r["action"], len(r["suggested_redactions"] or [])
+
+
+def test_card_run(spark):
+    as_of = date(2026, 1, 1)
+    good = photo_rows(spark, [("pan", "4111 1111 1111 1111"), ("expiry", "12/34")])
+    out = photos.card_run(*good, as_of)
+    assert seen(out) == ("CONFIRMED", ["PAN_CONFIRMED"], None, 0)
+    assert [r["label"] for r in photos.paint(out, good[0], good[1]).collect()] == ["card_pan"]
+    assert seen(photos.card_run(*photo_rows(spark, [("pan", "4111 1111 1111 1112")]), as_of)) == ("REVIEW", ["PAN_SUSPECT"], None, 0)
+    after = spark.createDataFrame([(1, 0, "5555 5555 5555 4444", 0.9, "roi_ocr")], "doc_id long, page int, text string, ocr_conf double, source string")
+    assert seen(photos.card_run(*photo_rows(spark, [("pan", "5555 5555 5555 4444")]), as_of, after=after)) == ("REVIEW", ["PAN_REMAINS"], None, 0)
+    looks = spark.createDataFrame([(1, 0, 65 + 25 * i, 60, 12, 13, 150.0, 420, 225, 94500.0) for i in range(14)], CONTOURS)
+    assert seen(photos.card_run(*photo_rows(spark, []), as_of, looks)) == ("REVIEW", ["PAN_SUSPECT_VISUAL"], None, 1)
+    forced = photo_rows(spark, [], force=True)
+    out = photos.card_run(*forced, as_of, looks)
+    assert seen(out) == ("REVIEW", ["PAN_SUSPECT_VISUAL"], "FORCED_REDACT_REVIEW", 1)
+    # Moved by the card's corner and scaled to page units.
+    assert [(r["x0"], r["y0"]) for r in photos.paint(out, forced[0], forced[1]).collect()] == [((65 + 100) / 2, (60 + 80) / 2)]
+
+
+def test_id_run(spark):
+    zone = "P<GBRA" + "<" * 32 + "\n" + "123456789" + "GBR" + "<" * 26 + "0"
+    rows = photo_rows(spark, [("mrz", zone), ("id_number", "ID123456")])
+    out = photos.id_run(*rows)
+    assert seen(out) == ("CONFIRMED", ["MRZ_CONFIRMED"], None, 0)
+    assert sorted(r["label"] for r in photos.paint(out, rows[0], rows[1]).collect()) == ["face", "id_number", "mrz"]
+    assert seen(photos.id_run(*photo_rows(spark, [("id_number", "ABC12345")], blur=5.0, hidden=True))) == ("REVIEW", ["ID_SUSPECT", "QUALITY_LOW", "OCCLUSION"], None, 0)
+    assert photos.id_run(*rows).first()["trace"]["ocr_backends_used"] == ["tesseract"]
+
+
+def test_profiles_from_data(spark):
+    D.register_profile("own", D.rules_from({"fields": {"sort": {"primitive": "uk_sort_code", "category": "bank_identifiers", "context_keywords": ["sort"]}, "any": {"primitive": "id_number"}}}))
+    spans = text_spans(spark, (1, "Sort code 20-18-11 or ABC123456", "text", 1.0), (2, "no 20-18-11 here", "text", 1.0))
+    got = sorted((r["doc_id"], r["field_id"], r["raw"]) for r in D.profile(spans, "own", raw=True).collect())
+    assert got == [(1, "any", "ABC123456"), (1, "sort", "20-18-11")] and "own" in D.profile_names()
+    del D.PROFILES["own"]
+
+
+def test_chosen_text(spark):
+    kind = "doc_id long, pages array<string>, source string, quality_score double"
+    text, ocr = spark.createDataFrame([(1, ["a"], "text", 0.9), (2, ["b"], "text", 0.1), (3, ["c"], "text", 0.1)], kind), spark.createDataFrame([(1, ["x"], "ocr", 0.9), (2, ["y"], "ocr", 0.8), (3, ["z"], "ocr", 0.2)], kind)
+    read = lambda mode: {r["doc_id"]: (r["source"], r["reason"]) for r in S.chosen_text(text, ocr, mode).collect()}
+    assert read("auto") == {1: ("text", None), 2: ("ocr", None), 3: ("ocr", "ocr_quality_too_low")}
+    assert read("text")[2] == ("text", "quality_too_low") and read("ocr")[3] == ("ocr", "ocr_quality_too_low")
+
+
 def test_stream_gives_the_batch_result(spark, tmp_path):
     spans = text_spans(spark, *[(k, f"card 4242 4242 4242 4242 paid by customer {chr(97 + k)}", "text", None) for k in range(20)])
     spans.repartition(3).write.parquet(str(tmp_path / "in"))
