@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BASE, FlatWords, chunks, fold_of, lists, map_batches, mix, signed, table, written
+from .shared import BASE, FlatWords, chunks, cleaning, fold_of, lists, map_batches, mix, release, signed, table, written
 
 U = np.uint64
 BRANCHES, KNOWN, ROUNDS, RATE, CALM, STEPS = 8, 1 << 19, 3, 0.3, 4.0, 20
@@ -355,10 +355,14 @@ def trained(docs: DataFrame, model: Model, text_col: str, share: Column) -> Mode
                     tokens(column)
                     gradient.add(tokens)
             yield from gradient.slices()
+            del tokens, gradient
+            release()
 
         parts = docs.where(F.pmod(share, F.lit(ROUNDS)) == r).select(text_col).coalesce(tasks).mapInArrow(run, kind)
         slices = -(-len(model.weights) // SLICE_ROWS)
-        for row in parts.repartition(min(slices, 4 * tasks), "slice").mapInArrow(summed, "slice int, move binary").collect():
+        with cleaning(spark):
+            sums = parts.repartition(min(slices, 4 * tasks), "slice").mapInArrow(summed, "slice int, move binary").collect()
+        for row in sums:
             exact[row["slice"] * width : (row["slice"] + 1) * width] += np.frombuffer(row["move"], np.float32)
         model.weights = steps_of(exact).reshape(model.weights.shape)
         sent.destroy()

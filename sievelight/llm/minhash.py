@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import FlatWords, chunks, discard, keyed, lists, map_batches, mix, shingles, signed, table, unused, written
+from .shared import FlatWords, chunks, discard, keyed, lists, map_batches, mix, release, shingles, signed, table, unused, written
 
 SHINGLE, THRESHOLD = 5, 75  # words, per cent
 CIRCLE_LOG2, BANDS, ROWS, SEED = 20, 48, 5, 11
@@ -249,6 +249,8 @@ def across(buckets: DataFrame, joined: DataFrame, reps: DataFrame, sets: DataFra
                 held.append(row)
         if held:
             yield from out()
+        held = []
+        release()
 
     return rows.repartition(F.col("key")).sortWithinPartitions("key", "id").select("key", "id", "c", "sketch", "set").mapInArrow(run, "a long, b long").distinct()
 

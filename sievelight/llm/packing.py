@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, lists, map_batches, mix, signed, table
+from .shared import chunks, lists, map_batches, mix, release, signed, table
 from .tokens import encoder, gathered
 
 LENGTHS, ATTENTION, GROUP_ROWS, GROUP_BYTES, LOOK_AHEAD, END = (512, 1024, 2048, 4096), 0.25, 8_000, 32 << 20, 6, 0
@@ -80,7 +80,7 @@ def encoded(docs: DataFrame, vocabulary: str, groups: int, id_col: str, text_col
         def one(batch: pa.RecordBatch) -> dict:
             found, h, salt = [], [], []
             of = batch["id"].to_pylist()
-            for a, texts in chunks(batch["text"]):
+            for a, texts in chunks(batch["text"], 4 << 20):
                 flat, bounds = encode(texts)
                 data, bounds = flat.tobytes(), (bounds * encode.width).tolist()
                 for k in range(len(texts)):
@@ -149,6 +149,8 @@ def pack(docs: DataFrame, vocabulary: str, lengths: tuple[int, ...] = LENGTHS, a
                 held.append(batch.slice(a, b - a))
         if held:
             yield out()
+        held = []
+        release()
 
     rows = encoded(docs, vocabulary, groups, id_col, text_col, end)
     return rows.repartition(F.col("group")).sortWithinPartitions("group").mapInArrow(run, SEQUENCES)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +24,42 @@ BASE = 0x9E3779B97F4A7C15
 HASH_CACHE = 250_000
 
 
+#: Rows that go to a Python worker at once, at most: with long texts, the session's default of 10,000 takes much memory on both sides.
+ROWS_A_BATCH = 2_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark deletes the shuffle files of a query when it ends, where this holds.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch in this session, unless they are fewer already."""
+    if not 0 < int(spark.conf.get(BATCH, "10000")) <= ROWS_A_BATCH:
+        spark.conf.set(BATCH, str(ROWS_A_BATCH))
+
+
+def release() -> None:
+    """Give memory that a Python worker holds for nothing back to the system: workers wait for the next task and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+@contextlib.contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run inside go as soon as each ends."""
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -80,6 +116,8 @@ def map_batches(df: DataFrame, each: Callable[[], Callable[[pa.RecordBatch], pa.
                 if isinstance(out, dict):
                     out = pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(out.values(), arrow, strict=True)], schema=arrow)
                 yield out
+        del one
+        release()
 
     return df.mapInArrow(run, kind)
 
@@ -118,14 +156,13 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing."""
-    spark, path, schema = df.sparkSession, work_dir(df.sparkSession), df.schema
-    df.write.parquet(path)
-    # Spark deletes shuffle files once the driver has collected the plans that made them.
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    """The table written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing. Its shuffle
+    files go as soon as it is written."""
+    spark, path = df.sparkSession, work_dir(df.sparkSession)
+    bounded(spark)
+    with cleaning(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
@@ -167,7 +204,7 @@ _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
 
 
-def chunks(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def chunks(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) of about ``size`` bytes each, which bounds a worker's memory; a longer text is taken whole."""
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
     a = 0

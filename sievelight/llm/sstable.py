@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, table, work_dir, written
+from .shared import chunks, release, table, work_dir, written
 from .tokens import encoder
 
 MAGIC = b"SSTIDS01"
@@ -209,7 +209,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
         encode = encoder(vocabulary)
         stop = np.array([end], encode.kind).tobytes()
         for batch in batches:
-            for first, texts in chunks(batch["text"]):
+            for first, texts in chunks(batch["text"], 4 << 20):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(part)
@@ -224,6 +224,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
             if store.get_file_info(path).type != fs.FileType.NotFound:  # of a task that ran before
                 store.delete_file(path)
             store.move(part, path)
+            release()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([writer.docs], pa.int64()), pa.array([writer.all_ids], pa.int64())], ["shard", "path", "docs", "ids"])
 
     return dealt.mapInArrow(run, "shard int, path string, docs long, ids long")

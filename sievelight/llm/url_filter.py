@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,13 +190,13 @@ def judge(pages: DataFrame, model: Model, rules: list[tuple[str, str, str]] = RU
     """(id, host, path, rule, verdict, block_score) of each url."""
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for urls in batches:
-            m = sent.value.margin([u if isinstance(u, str) else None for u in urls])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(m, -30, 30))), index=urls.index)
+            yield pa.array(1 / (1 + np.exp(-np.clip(sent.value.margin(urls.to_pylist()), -30, 30))), pa.float64())
 
     out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    out = out.withColumn("block_score", F.pandas_udf(scored, "double")("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    out = out.withColumn("block_score", scored("url")).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     out = out.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return out.select("id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "block_score")

@@ -1,5 +1,6 @@
-"""Vectorised hashing of words against word-by-word splitting."""
+"""Vectorised hashing of words against word-by-word splitting, row keys, intermediate tables."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import sievelight.llm.shared as shared
-from sievelight.llm.shared import FlatWords, shingles, words
+from sievelight.llm.shared import FlatWords, keyed, shingles, words
 
 
 def texts(seed):
@@ -46,3 +47,24 @@ def test_shingles():
     h = np.arange(1, 8, dtype=np.uint64)
     assert len(shingles(h, 5)) == 3 and len(shingles(h[:3], 5)) == 1 and len(shingles(h[:0], 5)) == 0
     assert len(shingles(np.ones(9, np.uint64), 5)) == 1
+
+
+def test_keyed_gives_rows_of_their_own_in_order(spark):
+    unique = spark.createDataFrame([(5, "x"), (-3, "y")], "doc_id long, text string")
+    out = keyed(unique, "doc_id", "text", "row")
+    assert {(r["doc_id"], r["row"]) for r in out.collect()} == {(5, 5), (-3, -3)}
+    rows = [(None, "b"), (2, "z"), (2, "a"), (None, "b"), (1, None), (None, None), (2, "a"), (1, "q")]
+    out = keyed(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, place int").repartition(3), "doc_id", "text", "row").orderBy("row").collect()
+    assert len({r["row"] for r in out}) == len(rows) and out[0].asDict().keys() == {"doc_id", "text", "place", "row"}
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    assert [(r["doc_id"], r["text"]) for r in out] == want
+
+
+def test_written_cleans_its_shuffles_and_restores_the_setting(spark):
+    before = spark.conf.get(shared.CLEAN, None)
+    out = shared.written(spark.range(100).repartition(5, "id"))
+    assert out.count() == 100 and spark.conf.get(shared.CLEAN, None) == before
+    assert 0 < int(spark.conf.get(shared.BATCH)) <= shared.ROWS_A_BATCH
+    shared.discard(out)
+    with pytest.raises(Exception):
+        out.count()
