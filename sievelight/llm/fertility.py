@@ -15,13 +15,15 @@ and null or unknown languages, are judged by script. Rows with equal ids are jud
 matter.
 """
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, map_batches, mix, table
-from .tokens import encoder
+from .shared import FlatTexts, FlatWords, chunks, map_batches, mix, table
+from .tokens import Memory, encoder, gathered
 
 #: Fixed values of the base rules.
 LEAST_WORDS, WINDOW, MOST_REPEATED, SYMBOLS = 20, 8, 30, "[#*$%&|<>]"
@@ -30,7 +32,10 @@ SYMBOL_SET = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 #: Words below which the bands don't apply.
-LEAST_JUDGED, CACHE = 20, 250_000
+LEAST_JUDGED = 20
+#: Bytes taken at once, which bounds a worker's memory; a longer text is taken whole.
+CHUNK_BYTES = 4 << 20
+SPACE = b" \t\n\v\f\r"
 #: Scripts by the code points of their letters, first and last.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)],
@@ -80,26 +85,33 @@ def script_of(joined: bytes) -> str:
     return NAMES[int(counts.argmax())] if counts.any() else "other"
 
 
-class Segments(dict):
-    """Piece ids of a word, as bytes of 16-bit integers; those not seen yet are segmented together."""
+class Pieces:
+    """Piece ids of the words of a column. Different words of a column are looked up at once among the remembered ones (REMEMBERED at
+    most, of up to LONGEST bytes), and those not seen yet are segmented together."""
 
     def __init__(self, vocabulary: str):
-        super().__init__()
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         self.bytes = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         if len(self.bytes) >= 2**16:
             raise ValueError("the vocabulary has more than 65,535 pieces")
+        self.memory = Memory(np.dtype("<u2"))
+
+    def __call__(self, texts: FlatTexts) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the bounds of each text among them."""
+        if not len(texts.starts):
+            return np.empty(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
+        # A word goes with the white space up to the next: so words stand next to each other and need no copy.
+        edges = np.r_[texts.starts, texts.ends[-1]].astype(np.int64)
+        codes, source, starts, sizes = self.memory.ids(edges, texts.data, self.segment)
+        each = sizes[codes]
+        return source[gathered(starts[codes], each)], np.r_[0, np.cumsum(each)][texts.bounds]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if new := [w for w in set(words) if w not in self]:
-            if len(self) + len(new) > CACHE:
-                self.clear()
-                new = list(set(words))
-            for word, ids in zip(new, self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)):
-                self[word] = np.array(ids, np.uint16).tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint16)
+    def segment(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        made = self.model.encode([w.strip(SPACE).decode("utf-8", "replace") for w in new.to_pylist()], num_threads=1)
+        counts = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint16, int(counts.sum())), counts
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
@@ -134,41 +146,36 @@ def duplicate_lines(raw: bytes) -> int:
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double, script string, b_tokens long, b_single long, b_entropy double"
 
 
-def token_counts(texts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text by the byte vocabulary: tokens, those that are one byte of a longer character, and their entropy."""
-    n = len(texts)
-    flat, bounds = encode(texts)
-    tokens = np.diff(bounds)
+def token_counts(flat: np.ndarray, bounds: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: tokens, those that are marked, and their entropy."""
+    n, tokens = len(bounds) - 1, np.diff(bounds)
     text = np.repeat(np.arange(n), tokens)
     key = np.sort(text << 32 | flat.astype(np.int64))
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     of = key[first] >> 32
     share = np.diff(np.r_[first, len(key)]) / tokens[of]
-    return tokens, np.bincount(text[encode.parts[flat]], minlength=n), np.bincount(of, -share * np.log2(share), n) + 0.0
+    return tokens, np.bincount(text[single[flat]], minlength=n), np.bincount(of, -share * np.log2(share), n) + 0.0
 
 
 def measures(docs: DataFrame, pieces: str, byte_level: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts and fertility of every text by both vocabularies: id, lang and FIELDS."""
 
     def each():
-        segments, encode = Segments(pieces), encoder(byte_level)
+        segment, encode, words_of = Pieces(pieces), encoder(byte_level), FlatWords()
 
         def one(batch: pa.RecordBatch) -> dict:
-            rows, more = [], [[], [], []]
-            for _, texts in chunks(batch["text"]):
-                for x, y in zip(more, token_counts(texts, encode)):
+            rows, more = [], [[] for _ in range(6)]
+            for _, texts in chunks(batch["text"], CHUNK_BYTES):
+                for x, y in zip(more, (*token_counts(*segment(words_of(texts)), segment.bytes), *token_counts(*encode(texts), encode.parts))):
                     x.append(y)
                 for text in texts.to_pylist():
                     raw = text.encode("utf-8", "surrogatepass")
                     words = raw.split()
                     joined = b"".join(words)
-                    ids = segments.of(words)
-                    edges = np.flatnonzero(np.diff(np.sort(ids).astype(np.int32), prepend=-1, append=-1))
-                    share = np.diff(edges) / max(len(ids), 1)
-                    entropy = float(-(share * np.log2(share)).sum()) + 0.0
-                    rows.append((len(words), len(joined.translate(None, CONTINUATION)), len(raw) - len(raw.translate(None, SYMBOL_SET)), duplicate_lines(raw), repeated_words(words), len(ids), int(segments.bytes[ids].sum()), entropy, script_of(joined)))
-            columns = [list(v) for v in zip(*rows)] + [np.concatenate(x) for x in more]
-            return dict(id=batch["id"], lang=batch["lang"], **{str(k): v for k, v in enumerate(columns)})
+                    rows.append((len(words), len(joined.translate(None, CONTINUATION)), len(raw) - len(raw.translate(None, SYMBOL_SET)), duplicate_lines(raw), repeated_words(words), script_of(joined)))
+            *counts, script = (list(v) for v in zip(*rows))
+            a, b, c, *rest = (np.concatenate(x) for x in more)
+            return dict(id=batch["id"], lang=batch["lang"], **{str(k): v for k, v in enumerate([*counts, a, b, c, script, *rest])})
 
         return one
 

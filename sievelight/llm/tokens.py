@@ -9,6 +9,7 @@ is everything for vocabularies of another kind.
 
 import json
 import os
+from collections.abc import Callable
 from functools import cache
 from itertools import chain
 
@@ -47,6 +48,40 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at[fine]
 
 
+class Memory:
+    """Ids of remembered segments: the segments as an Arrow array, their ids in one pool."""
+
+    def __init__(self, kind: np.dtype):
+        self.known = pa.array([], pa.large_binary())
+        self.starts, self.counts, self.pool = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, kind)
+
+    def ids(self, edges: np.ndarray, data: np.ndarray, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the pieces of ``data`` between the edges: each one's code, and the ids (flat), and start and number of ids by code.
+        ``encode`` gives the ids of those not remembered."""
+        coded = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        codes, different = coded.indices.to_numpy(), coded.dictionary
+        at = pc.fill_null(pc.index_in(different, self.known), -1).to_numpy()
+        old = at >= 0
+        new = different.filter(pa.array(~old))
+        flat, counts = encode(new) if len(new) else (np.empty(0, self.pool.dtype), np.empty(0, np.int64))
+        starts, sizes = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        starts[old], sizes[old] = self.starts[at[old]], self.counts[at[old]]
+        starts[~old], sizes[~old] = len(self.pool) + np.cumsum(counts) - counts, counts
+        source = np.concatenate([self.pool, flat])
+        self.keep(new, flat, counts)
+        return codes, source, starts, sizes
+
+    def keep(self, new: pa.Array, flat: np.ndarray, counts: np.ndarray) -> None:
+        """Remember what has room."""
+        pick = np.flatnonzero(pc.binary_length(new).to_numpy() <= LONGEST)[: REMEMBERED - len(self.known)]
+        if len(pick):
+            ids = flat[gathered((np.cumsum(counts) - counts)[pick], counts[pick])]
+            counts = counts[pick].astype(np.int32)
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts, dtype=np.int32) - counts])
+            self.counts, self.pool = np.concatenate([self.counts, counts]), np.concatenate([self.pool, ids])
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(pick))])
+
+
 class Encoder:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -70,9 +105,7 @@ class Encoder:
             self.parts[[i for t, i in vocab.items() if len(t) == 1 and not ("!" <= t <= "~" or "\u0100" <= t <= "\u0121")]] = True
             self.newline = self.model.encode("\n", add_special_tokens=False).ids
             self.apart = len(self.newline) == 1
-        #: Remembered segments, and where their ids are in the pool.
-        self.known = pa.array([], pa.large_binary())
-        self.starts, self.counts, self.pool = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, self.kind)
+        self.memory = Memory(self.kind)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and their number for each, by the library alone."""
@@ -106,16 +139,6 @@ class Encoder:
             flat, counts = flat[keep], counts - heads
         return flat, counts
 
-    def keep(self, new: pa.Array, flat: np.ndarray, counts: np.ndarray) -> None:
-        """Remember what has room."""
-        pick = np.flatnonzero(pc.binary_length(new).to_numpy() <= LONGEST)[: REMEMBERED - len(self.known)]
-        if len(pick):
-            ids = flat[gathered((np.cumsum(counts) - counts)[pick], counts[pick])]
-            counts = counts[pick].astype(np.int32)
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts, dtype=np.int32) - counts])
-            self.counts, self.pool = np.concatenate([self.counts, counts]), np.concatenate([self.pool, ids])
-            self.known = pa.concat_arrays([self.known, new.take(pa.array(pick))])
-
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of a column of texts without nulls, and the bounds of each text among them."""
         n = len(column)
@@ -143,20 +166,9 @@ class Encoder:
         edges = np.flatnonzero(edge)
         if len(edges) < 2:
             return np.empty(0, self.kind), np.zeros(n + 1, np.int64)
-        coded = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
-        codes, different = coded.indices.to_numpy(), coded.dictionary
-        at = pc.fill_null(pc.index_in(different, self.known), -1).to_numpy()
-        old = at >= 0
-        new = different.filter(pa.array(~old))
-        flat, counts = self.segments(new) if len(new) else (np.empty(0, self.kind), np.empty(0, np.int64))
-        starts, sizes = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        starts[old], sizes[old] = self.starts[at[old]], self.counts[at[old]]
-        starts[~old], sizes[~old] = len(self.pool) + np.cumsum(counts) - counts, counts
-        source = np.concatenate([self.pool, flat])
-        self.keep(new, flat, counts)
+        codes, source, starts, sizes = self.memory.ids(edges, data, self.segments)
         each = sizes[codes]
-        before = np.r_[0, np.cumsum(each)]
-        return source[gathered(starts[codes], each)], before[np.searchsorted(edges, offsets)]
+        return source[gathered(starts[codes], each)], np.r_[0, np.cumsum(each)][np.searchsorted(edges, offsets)]
 
 
 def gathered(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
