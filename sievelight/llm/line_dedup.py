@@ -23,21 +23,20 @@ their texts' md5; null ids come last. Other columns are neither read nor touched
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import FlatWords, chunks, discard, keyed, lists, map_batches, mix, signed, table, unused, written
+from .shared import FlatWords, chunks, cleaning, discard, keyed, lists, map_batches, mix, release, signed, table, unused, written
 
 THRESHOLD, LEAST_WORDS, SKETCH_LOG2, BLOCK_ROWS, PUT_FORWARD = 80, 1, 21, 40_000, 16
 #: Bytes that are taken at once, which bounds a worker's memory; a longer text is taken whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Sets that a task remembers at least, to settle their copies by itself.
 SEEN = 500_000
 U = np.uint64
-#: Parts of the sketch that are summed apart, and tasks that do it.
-PARTS, SUMMING = 256, 16
+#: Parts of the sketch that are summed apart, in as many tasks at most.
+PARTS = 1_024
 #: Rows of three integers up to which a table of leftover keys or lines goes to all tasks; past it, it is joined by shuffle.
 FEW = 200_000
 
@@ -71,7 +70,8 @@ def sketch(docs: DataFrame, text_col: str, log2: int) -> np.ndarray:
         for k, n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["k", "n"])
 
-    got = docs.select(F.col(text_col)).mapInArrow(count, "k int, at binary, n binary").repartition(SUMMING, "k").mapInArrow(add, "k int, n binary").collect()
+    with cleaning(docs.sparkSession):
+        got = docs.select(F.col(text_col)).mapInArrow(count, "k int, at binary, n binary").repartition(F.col("k")).mapInArrow(add, "k int, n binary").collect()
     out = np.zeros(1 << log2, np.int32)
     for r in got:
         out[r["k"] * part : (r["k"] + 1) * part] = np.frombuffer(r["n"], np.int32)
@@ -195,7 +195,7 @@ def settled(lines: DataFrame) -> DataFrame:
     """The lines with ``copy``: whether an earlier line has the same set. Rows of a set are at most one a task and SEEN sets."""
     first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("row", "line")) == 1
     copy = (F.col("n") == 0) | ~first
-    return lines.withColumn("copy", copy).select("row", "line", "n", "h1", "b1", "b2", *(F.when(F.col("copy"), None).otherwise(F.col(c)).alias(c) for c in ("keys", "at")), "copy")
+    return lines.withColumn("copy", copy).select("row", "line", "n", "h1", "b1", "b2", *(F.when(F.col("copy"), None).otherwise(F.col(c)).alias(c) for c in lines.columns if c in ("keys", "at", "set")), "copy")
 
 
 def popcount(v: np.ndarray) -> np.ndarray:
@@ -308,11 +308,13 @@ def candidates(lines: DataFrame, threshold: int, limit: int, only: DataFrame | N
                 yield from out({k: v[:cut] for k, v in r.items()})
         if held is not None:
             yield from out(held)
+        held = None
+        release()
 
     return posts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "xd long, xl int, yd long, yl int, apart int, more boolean")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, row_col: str, text_col: str, side: Callable[[DataFrame], DataFrame] = lambda df: df.hint("merge")) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, row_col: str, text_col: str, side: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(row, line, set) of the wanted lines: sorted word hashes as bytes."""
 
     def each():
@@ -340,14 +342,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, row_col: str, text_col: str, sid
     return map_batches(texts.join(side(per), "id").select("id", "text", "lines"), each, "row long, line int, set binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Distinct (xd, xl) of the pairs that reach the threshold."""
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int, kind: str = "<u8") -> DataFrame:
+    """Distinct (xd, xl) of the pairs that reach the threshold; sets are sorted integers as bytes."""
 
     def each():
         def one(batch: pa.RecordBatch) -> dict:
             keep = []
             for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= threshold * (len(x) + len(y) - common))
@@ -367,29 +369,35 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("xd").alias("row"), F.col("xl").alias("line")).union(pairs.select(F.col("yd").alias("row"), F.col("yl").alias("line"))).distinct()
 
 
-def removals(docs: DataFrame, row_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
-    """(row, line) of the lines that go; lines count from 0. ``row_col`` tells rows apart and gives their order (see ``keyed``)."""
-    counts = sketch(docs, text_col, SKETCH_LOG2)
-    lines = written(settled(prefixes(docs, row_col, text_col, counts, threshold, least)))
-    copies = lines.where("copy").select("row", "line")
+def later_matches(lines: DataFrame, sets_for: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame], threshold: int, kind: str = "<u8") -> tuple[DataFrame, list[DataFrame]]:
+    """(xd, xl) of the lines that have an earlier match among these, which have different sets, and the tables made on the way.
+    ``sets_for`` gives (row, line, set) of wanted lines; it is told how to join them."""
     found = written(candidates(lines, threshold, PUT_FORWARD).groupBy("xd", "xl", "yd", "yl").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
-    sets = written(sets_of(docs, ends_of(found), row_col, text_col))
+    sets = written(sets_for(ends_of(found), lambda df: df.hint("merge")))
     nearest = found.groupBy("xd", "xl").agg(F.min(F.struct("apart", "yd", "yl")).alias("b")).select("xd", "xl", "b.yd", "b.yl")
-    gone = written(verified(nearest, sets, threshold))
+    gone = written(verified(nearest, sets, threshold, kind))
     unsettled = found.join(gone, ["xd", "xl"], "left_anti")
-    gone2 = written(verified(unsettled.join(nearest, ["xd", "xl", "yd", "yl"], "left_anti"), sets, threshold))
-    all_gone, made = gone.union(gone2), [lines, found, sets, gone, gone2]
+    gone2 = written(verified(unsettled.join(nearest, ["xd", "xl", "yd", "yl"], "left_anti"), sets, threshold, kind))
+    all_gone, made = gone.union(gone2), [found, sets, gone, gone2]
     again = found.where("more").select("xd", "xl").distinct().join(all_gone, ["xd", "xl"], "left_anti")
     again = written(again.select(F.col("xd").alias("row"), F.col("xl").alias("line")))
     made.append(again)
     if not again.isEmpty():
         keys = written(lines.join(few(again), ["row", "line"]).select(F.explode("keys").alias("key")).distinct())
         rest = written(candidates(lines, threshold, 0, again, keys).select("xd", "xl", "yd", "yl").distinct().join(found, ["xd", "xl", "yd", "yl"], "left_anti"))
-        more = written(sets_of(docs, ends_of(rest), row_col, text_col, few))
-        all_gone = all_gone.union(verified(rest, more, threshold))
+        more = written(sets_for(ends_of(rest), few))
+        all_gone = all_gone.union(verified(rest, more, threshold, kind))
         made += [keys, rest, more]
-    out = written(copies.union(all_gone.withColumnsRenamed({"xd": "row", "xl": "line"})))
-    for one in made:
+    return all_gone, made
+
+
+def removals(docs: DataFrame, row_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
+    """(row, line) of the lines that go; lines count from 0. ``row_col`` tells rows apart and gives their order (see ``keyed``)."""
+    counts = sketch(docs, text_col, SKETCH_LOG2)
+    lines = written(settled(prefixes(docs, row_col, text_col, counts, threshold, least)))
+    gone, made = later_matches(lines, lambda wanted, side: sets_of(docs, wanted, row_col, text_col, side), threshold)
+    out = written(lines.where("copy").select("row", "line").union(gone.withColumnsRenamed({"xd": "row", "xl": "line"})))
+    for one in (lines, *made):
         discard(one)
     return out
 
@@ -410,15 +418,15 @@ def with_removals(rows: DataFrame, gone: DataFrame, row_col: str, removed_col: s
     return rows.join(per.hint("merge"), rows[row_col] == per[of], "left").drop(of)
 
 
-def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
+def without(texts: pa.Array, removed: pa.Array) -> pa.Array:
     """Texts without the lines of the given numbers."""
     out = []
-    for text, lines in zip(texts, removed):
+    for text, lines in zip(texts.to_pylist(), removed.to_pylist()):
         if lines is not None and text is not None:
-            gone = set(lines.tolist())
+            gone = set(lines)
             text = "\n".join(one for k, one in enumerate(text.split("\n")) if k not in gone)
         out.append(text)
-    return pd.Series(out, index=texts.index)
+    return pa.array(out, pa.string())
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,7 +441,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that go, with n_chars of the new text; those that lose all their words go too."""
     name, text = unused(docs, "removed_lines"), unused(docs, "text_left")
-    left = F.when(F.col(name).isNull(), F.col("text")).otherwise(F.pandas_udf(without, "string")("text", name))
+    left = F.when(F.col(name).isNull(), F.col("text")).otherwise(F.arrow_udf(without, "string")("text", name))
     out = dedup_lines(docs, removed_col=name).withColumn(text, left).where(F.col(name).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     kinds = dict(docs.dtypes)
     new = {"text": F.col(text), "n_chars": F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kinds["n_chars"])) if "n_chars" in kinds else None}

@@ -2,14 +2,15 @@
 
 A signature starts at an anchor, one of the commonest words of a language, and is the chain of the CHAIN next content words
 (words that are no anchors). The set of a document's signatures is its fingerprint, written as base64 of their sorted 32-bit
-hashes. The likeness of two fingerprints is the Jaccard likeness of their sets, and near-duplicates are found by length: sets are
-partitioned by size, and two sets are compared only where their sizes and the signatures still to come allow the threshold.
+hashes. The likeness of two fingerprints is the Jaccard likeness of their sets. Near-duplicates are found by length: sets that share
+a signature are sorted by size, and two are compared only where their sizes and the signatures still to come allow the threshold.
 
 A text without a full chain has one signature for each content word, or else (only anchors, or too short) one for its word
 sequence, so that only texts without words have no signature; the likeness of two of those is 1, of one and another 0.
 
-Defined cases: null texts count as empty. In the row order (descending id) rows with equal ids are ordered by a hash of their
-text, and null ids come last. Other columns are neither read nor touched.
+Defined cases: null texts count as empty. In the row order (descending id) rows with equal ids are in descending order of the md5 of
+their text, and null ids come last; a row is near an earlier one in ascending order, where null ids come last as well. Other columns
+are neither read nor touched.
 """
 
 import base64
@@ -17,15 +18,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, lists, map_batches, mix, table, written
+from .line_dedup import later_matches, settled
+from .shared import WordHashes, discard, keyed, lists, map_batches, mix, release, signed, table, unused, written
 
 U = np.uint64
-CHAIN, ROWS_A_RANGE = 3, 4_000
+CHAIN, ROWS_A_RANGE, THRESHOLD = 3, 4_000, 75
 #: The commonest words of English, French, German and Spanish.
 ANCHORS = """
 a an the of to in and is are was were be been it its that this these those with for on at by from as or not have has had he she they we you i
@@ -87,99 +88,121 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str, range_rows: int) -> DataFrame:
-    """Rows (range, guest, id, text), partitioned by range and sorted in descending order of ids; after the own rows of a range
-    come, as guests, the first rows of the next one (after the last: of the first). Texts move once."""
+def in_order(docs: DataFrame, id_col: str, row_col: str, text_col: str, range_rows: int, marked: DataFrame) -> DataFrame:
+    """Rows (range, guest, id, row, text), partitioned by range and sorted in descending order of ids; after the own rows of a range
+    come, as guests, the first rows of the next one (after the last: of the first). Texts move once. Rows of ``marked`` (row, id)
+    come with them, without a text, right before the row they mark."""
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"))
     ranges = max(1, -(-docs.count() // range_rows))
     dealt = ids.repartitionByRange(ranges, F.col("id").desc()).select("id", F.spark_partition_id().alias("p"))
     tops = np.sort(np.array([r[0] for r in dealt.groupBy("p").agg(F.max("id")).select("max(id)").collect()], np.int64))  # one a range
     sent = docs.sparkSession.sparkContext.broadcast(tops)
 
-    def place(id_: pd.Series) -> pd.Series:
+    def place(id_: pa.Array) -> pa.Array:
         tops = sent.value
-        ids = id_.to_numpy(np.int64)
+        ids = id_.to_numpy(zero_copy_only=False)
         at = np.searchsorted(tops, ids)
         top = tops[np.minimum(at, len(tops) - 1)] == ids
-        return pd.Series([[a, (a + 1) % len(tops)] if t else [a] for a, t in zip(at.tolist(), top.tolist())])
+        return pa.array([[a, (a + 1) % len(tops)] if t else [a] for a, t in zip(at.tolist(), top.tolist())], pa.list_(pa.int32()))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("in", F.pandas_udf(place, "array<int>")(F.coalesce("id", F.lit(-(2**63)))))
-    rows = rows.select("id", "text", F.posexplode("in").alias("guest", "range"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(row_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.union(marked.select("id", "row", F.lit(None).cast("string")))
+    rows = rows.withColumn("in", F.arrow_udf(place, "array<int>")(F.coalesce("id", F.lit(-(2**63)))))
+    rows = rows.select("id", "row", "text", F.posexplode("in").alias("guest", "range"))
     # Twice as many parts as ranges, so that few parts have several.
-    return rows.repartition(2 * ranges, F.col("range")).sortWithinPartitions(F.col("range"), F.col("guest"), F.col("id").desc_nulls_last(), F.xxhash64("text"))
+    return rows.repartition(2 * ranges, F.col("range")).sortWithinPartitions(F.col("range"), F.col("guest"), F.col("id").desc_nulls_last(), F.col("row").desc(), F.col("text").isNotNull())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, chain: int = CHAIN) -> DataFrame:
-    """(doc_id, rep, near): each document with the representative of its fingerprint (the least id with that set), and pairs of
-    representatives whose likeness in per cent reaches the threshold, as (rep, near) rows with doc_id = rep.
-
-    Sets are partitioned by length so that similar ones are in one partition or the next; inside, a signature's posting list meets
-    only sets of a size and position that can reach the threshold, and the likeness is counted on the full sets."""
+def sets_in(docs: DataFrame, row_col: str, text_col: str, threshold: int, chain: int) -> DataFrame:
+    """Fingerprints as sets to join, one a row: row, line (0), n, h1 and h2 (hash of the set), b1 and b2 (parity bitmap), keys and at
+    (its prefix in the order of the signatures' hashes, and positions) and set (sorted signatures as bytes)."""
 
     def each():
         spot = Spotter(chain)
 
-        def one(batch: pa.RecordBatch) -> dict:
-            found = [spot(t or "") for t in batch["text"].to_pylist()]
-            return {"id": batch["id"], "sigs": lists(np.concatenate(found).astype(np.int64), [len(f) for f in found], pa.int64())}
+        def one(batch: pa.RecordBatch) -> dict | None:
+            found = [spot(t) for t in batch["text"].to_pylist()]
+            n = np.array([len(f) for f in found], np.int64)
+            some = np.flatnonzero(n)
+            if not len(some):
+                return None
+            n, flat = n[some], np.concatenate([found[k] for k in some.tolist()])
+            start = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(n)), n)
+            m = mix(flat.astype(U) + U(5))
+            h1, h2 = np.add.reduceat(m, start), np.add.reduceat(mix(m + U(2)), start)
+            bit = U(1) << (m & U(63))
+            half = (m >> U(6)) & U(1) == 0
+            b1, b2 = np.bitwise_xor.reduceat(np.where(half, bit, U(0)), start), np.bitwise_xor.reduceat(np.where(half, U(0), bit), start)
+            order = np.lexsort((m, of))
+            at = np.arange(len(flat)) - start[of]
+            # The nearest to a set of n signatures that is not the same has a likeness of n / (n + 1).
+            prefix = np.where(100 * n >= threshold * (n + 1), n - -(-threshold * n // 100) + 1, 0)
+            pick = at < prefix[of]
+            column = pa.array([found[k].astype("<u4").tobytes() for k in some.tolist()], pa.binary())
+            return {"row": batch["id"].take(pa.array(some)), "line": np.zeros(len(n), np.int32), "n": n.astype(np.int32), "h1": signed(h1), "h2": signed(h2), "b1": signed(b1), "b2": signed(b2), "keys": lists(signed(m[order][pick]), prefix, pa.int64()), "at": lists(at[pick].astype(np.int32), prefix, pa.int32()), "set": column}
 
         return one
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    made = written(map_batches(rows, each, "id long, sigs array<long>"))
-    some = made.where(F.size("sigs") > 0)
-    sets = some.groupBy("sigs").agg(F.min("id").alias("rep")).withColumn("n", F.size("sigs"))
-    # Partition k holds sizes of [r^-k, r^-(k+1)); a set also visits the next, where larger partners are.
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / threshold)))).cast("int")
-    frequency = sets.select(F.explode("sigs").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    posted = sets.select("rep", "n", part.alias("part"), F.explode("sigs").alias("s")).join(frequency.hint("merge"), "s")
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s"))
-    kept = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    known = F.count("*").over(Window.partitionBy("rep"))
-    posted = posted.withColumn("at", rank + F.col("n") - known).where(F.col("at") <= kept)
-    x = posted.select("s", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    y = posted.select("s", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), "part")
-    need = F.ceil((F.col("nx") + F.col("ny")) * threshold / (100 + threshold))
-    fits = (F.col("nx") * 100 >= F.col("ny") * threshold) & ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    reach = F.least(F.col("ax"), F.col("ay")) + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= need
-    pairs = x.join(y.hint("merge"), ["s", "part"]).where(fits & reach).select("x", "y").distinct()
-    full = pairs.join(sets.select(F.col("rep").alias("x"), F.col("sigs").alias("sx")).hint("merge"), "x").join(sets.select(F.col("rep").alias("y"), F.col("sigs").alias("sy")).hint("merge"), "y")
-    both = F.size(F.array_intersect("sx", "sy"))
-    linked = full.where(100 * both >= threshold * (F.size("sx") + F.size("sy") - both))
-    members = some.join(sets.select("sigs", "rep").hint("merge"), "sigs").select(F.col("id").alias("doc_id"), "rep", F.lit(None).cast("long").alias("near"))
-    return members.union(linked.select(F.col("x"), F.col("x"), F.col("y")))
-
-
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN, range_rows: int = ROWS_A_RANGE) -> DataFrame:
-    """FIELDS for each row: its fingerprint, that of its edited text, and the likeness to that and to the next row's."""
+    rows = docs.select(F.col(row_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return map_batches(rows, each, "row long, line int, n int, h1 long, h2 long, b1 long, b2 long, keys array<long>, at array<int>, set binary")
+
+
+def near_duplicates(docs: DataFrame, row_col: str, text_col: str = "text", threshold: int = THRESHOLD, chain: int = CHAIN) -> DataFrame:
+    """(row) of the documents whose fingerprint has a likeness of the threshold in per cent or more to that of an earlier row;
+    ``row_col`` tells rows apart and gives their order. Equal fingerprints meet by a hash, and only the first of each goes on. It is
+    posted under its prefix; sets under one signature are sorted by length, each is compared with those alone whose length,
+    signatures still to come and bitmap allow the threshold, and what is left is counted on the full sets. Texts without a
+    signature match nothing."""
+    made = written(settled(sets_in(docs, row_col, text_col, threshold, chain)))
+    full = made.select("row", "line", "set")
+    gone, more = later_matches(made, lambda wanted, side: full.join(side(wanted), ["row", "line"], "left_semi"), threshold, "<u4")
+    out = written(made.where("copy").select("row").union(gone.select(F.col("xd").alias("row"))).distinct())
+    for one in (made, *more):
+        discard(one)
+    return out
+
+
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_earlier boolean"
+
+
+def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN, range_rows: int = ROWS_A_RANGE, threshold: int = THRESHOLD) -> DataFrame:
+    """FIELDS for each row: its fingerprint, that of its edited text, the likeness to that and to the next row's, and whether an
+    earlier row (in ascending order of ids) is near."""
+    name = unused(docs, "row_key")
+    rows = keyed(docs.select(id_col, text_col), id_col, text_col, name)
+    near = near_duplicates(rows, name, text_col, threshold, chain)
+    marked = near.withColumn("id", F.col("row"))
+    if hasattr(rows, "_stored_at"):  # rows have numbers of their own
+        marked = rows.select(F.col(name).alias("row"), F.col(id_col).cast("long").alias("id")).join(near.hint("merge"), "row", "left_semi").select("row", "id")
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spot, before, out = Spotter(chain), None, []
+        spot, before, mark, out = Spotter(chain), None, None, []
 
         def result(row: tuple, after: tuple) -> tuple:
             new = edited(row[2], after[2])
             found = spot(new)
-            return (row[1], len(row[2]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), text_of(row[3]), text_of(found), likeness(row[3], found), likeness(row[3], after[3]))
+            return (row[1], len(row[2]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), text_of(row[3]), text_of(found), likeness(row[3], found), likeness(row[3], after[3]), row[4])
 
         for batch in batches:
-            for range_, guest, id_, text in zip(*(batch[k].to_pylist() for k in ("range", "guest", "id", "text"))):
+            for range_, guest, id_, key, text in zip(*(batch[k].to_pylist() for k in ("range", "guest", "id", "row", "text"))):
+                if text is None:
+                    mark = key
+                    continue
                 if guest and (before is None or before[0] != range_):
                     continue  # a further guest of a range that is done
-                row = (range_, id_, text, spot(text))
+                row = (range_, id_, text, spot(text), mark == key)
                 if before is not None and before[0] == range_:
                     out.append(result(before, row))
                 before = None if guest else row
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
                 out = []
+        release()
 
-    return in_order(docs, id_col, text_col, range_rows).mapInArrow(run, FIELDS)
+    return in_order(rows, id_col, name, text_col, range_rows, marked).mapInArrow(run, FIELDS)
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,12 +74,30 @@ def test_one_row_repeated_rows_and_null_ids(spark):
     assert compared(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_pairs(spark):
-    rows = list(enumerate(texts(5, 60)))
-    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    sets, rep = {i: frozenset(plain(t)) for i, t in rows}, {}
-    for i, s in sets.items():
-        rep.setdefault(s, i)
-    assert {(r[0], r[1]) for r in out if r[2] is None} == {(i, rep[s]) for i, s in sets.items() if s}
-    expected = {tuple(sorted((a, b))) for x, a in rep.items() for y, b in rep.items() if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y)}
-    assert {tuple(sorted((r[1], r[2]))) for r in out if r[2] is not None} == expected and expected
+def earlier(rows):
+    """Rows that an earlier one is near to, in the order of ids (null last) and texts' md5."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    sets = [plain(t or "") for _, t in order]
+    return [(i, t, any(a and b and 100 * len(a & b) >= 75 * len(a | b) for b in sets[:k])) for k, ((i, t), a) in enumerate(zip(order, sets))]
+
+
+def test_near_an_earlier_row(spark):
+    rows = [(i * 3 - 20, t) for i, t in enumerate(texts(5, 60))]
+    want = {i for i, _, near in earlier(rows) if near}
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id").collect()
+    assert {r["row"] for r in got} == want and 5 < len(want) < 100
+    out = compared(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), range_rows=7).collect()
+    assert {r["doc_id"] for r in out if r["near_earlier"]} == want
+
+
+def test_near_with_repeated_and_null_ids(spark):
+    same, other = "the one two three of four five six la seven eight nine", "a short text"
+    rows = [(1, same), (1, same + "."), (1, other), (None, same), (None, None), (None, None), (2, ""), (3, other), (None, "something of its own")]
+    out = compared(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), range_rows=2).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["near_earlier"]) for r in out) == sorted((str(i), len(t or ""), near) for i, t, near in earlier(rows))
+
+
+def test_many_copies_and_long_texts(spark):
+    rows = [(k, "the same words of this text and nothing else in it") for k in range(300)] + [(400, "the word of it " * 30_000), (401, "x" * 1_000_000)]
+    out = compared(spark.createDataFrame(rows, "doc_id long, text string"), range_rows=50).collect()
+    assert {r["doc_id"] for r in out if not r["near_earlier"]} == {0, 400, 401}
