@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: What ends a line, beside CR LF.
 LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+#: Every white space, as signs and as a class of a pattern.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BLANK = "\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed value: an amount alone.
 CURRENCY = r"^[£]?\s*-?\d{1,3}(,\d{3})*(\.\d{2})?\s*$"
@@ -21,7 +23,17 @@ QUALITY_WORDS = {
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def pieces(text: Column) -> Column:
+    """Parts of a text between line breaks; a break at the end opens an empty one."""
+    return F.split(text, LINE_END, -1)
+
+
+def some(text: Column) -> Column:
+    """Whether a text has a sign that isn't white space."""
+    return text.rlike(f"[^{BLANK}]")
 
 
 def lines(text: Column) -> Column:

@@ -10,8 +10,8 @@ from ..functions import text as T
 
 def line_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One span for each line that isn't blank. span_id is the line's number, page is 0; ``keep`` names columns to carry along."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.posexplode(T.lines(F.col(text_col))).alias("no", "line"))
-    rows = rows.withColumn("text", T.strip(F.col("line"))).where("text <> ''")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.posexplode(T.pieces(F.col(text_col))).alias("no", "line"))
+    rows = rows.where(T.some(F.col("line"))).withColumn("text", T.strip(F.col("line")))
     y = F.col("no").cast("double")
     box = F.struct(F.lit(0.0).alias("x0"), y.alias("y0"), F.length("text").cast("double").alias("x1"), (y + 1).alias("y1"))
     return rows.select("doc_id", F.col("no").cast("long").alias("span_id"), "text", box.alias("bbox"), F.lit(0).alias("page"), F.lit(source).alias("source"), F.lit(None).cast("double").alias("ocr_conf"), F.lit("line").alias("span_kind"), *keep)
@@ -30,7 +30,7 @@ def page_spans(doc_text: DataFrame) -> DataFrame:
     """Line spans of extracted texts (doc_id, pages array, source, quality_score): no geometry, and OCR lines carry the quality as
     their confidence, others 1."""
     rows = doc_text.select("doc_id", "source", "quality_score", F.posexplode("pages").alias("page", "p")).where("p is not null")
-    rows = rows.select("doc_id", "source", "quality_score", "page", F.posexplode(T.lines(F.col("p"))).alias("no", "line")).withColumn("text", T.strip(F.col("line"))).where("text <> ''")
+    rows = rows.select("doc_id", "source", "quality_score", "page", F.posexplode(T.pieces(F.col("p"))).alias("no", "line")).where(T.some(F.col("line"))).withColumn("text", T.strip(F.col("line")))
     conf = F.when(F.col("source") == "ocr", F.col("quality_score")).otherwise(F.lit(1.0))
     return rows.select("doc_id", F.shiftleft(F.col("page").cast("long"), 32).bitwiseOR(F.col("no").cast("long")).alias("span_id"), "text", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("bbox"), "page", "source", conf.alias("ocr_conf"), F.lit("line").alias("span_kind"))
 
