@@ -46,21 +46,27 @@ def need(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
     return -(-threshold * (n + m) // (100 + threshold))
 
 
-def sketch(docs: DataFrame, text_col: str, log2: int) -> np.ndarray:
-    """Occurrences of words, by the leading bits of their hash; the size doesn't depend on the table."""
+def hashes_of_words() -> Callable[[pa.Array], np.ndarray]:
+    """Hashes of all words of a column of texts."""
+    flat = FlatWords()
+    return lambda column: np.concatenate([flat(part).hashes for _, part in chunks(column, CHUNK_BYTES)] or [np.empty(0, U)])
+
+
+def sketch(rows: DataFrame, column: str, log2: int, hashes: Callable[[], Callable[[pa.Array], np.ndarray]] = hashes_of_words) -> np.ndarray:
+    """Occurrences of words, by the leading bits of their hash; the size doesn't depend on the table. ``hashes`` is called once a
+    task."""
     part = (1 << log2) // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, total = FlatWords(), np.zeros(1 << log2, np.int64)
+        of, total = hashes(), np.zeros(1 << log2, np.int64)
         for batch in batches:
-            for _, texts in chunks(batch.column(0), CHUNK_BYTES):
-                np.add.at(total, (flat(texts).hashes >> U(64 - log2)).astype(np.int64), 1)
-        rows = []
+            np.add.at(total, (of(batch.column(0)) >> U(64 - log2)).astype(np.int64), 1)
+        sent = []
         for k in range(PARTS):
             at = np.flatnonzero(total[k * part : (k + 1) * part])
-            rows.append((k, at.astype(np.int32).tobytes(), np.minimum(total[k * part + at], 2**31 - 1).astype(np.int32).tobytes()))
+            sent.append((k, at.astype(np.int32).tobytes(), np.minimum(total[k * part + at], 2**31 - 1).astype(np.int32).tobytes()))
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["k", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in sent], pa.int32()), pa.array([r[1] for r in sent], pa.binary()), pa.array([r[2] for r in sent], pa.binary())], ["k", "at", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -70,14 +76,26 @@ def sketch(docs: DataFrame, text_col: str, log2: int) -> np.ndarray:
         for k, n in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["k", "n"])
 
-    with cleaning(docs.sparkSession):
-        got = docs.select(F.col(text_col)).mapInArrow(count, "k int, at binary, n binary").repartition(F.col("k")).mapInArrow(add, "k int, n binary").collect()
+    with cleaning(rows.sparkSession):
+        got = rows.select(F.col(column)).mapInArrow(count, "k int, at binary, n binary").repartition(F.col("k")).mapInArrow(add, "k int, n binary").collect()
     out = np.zeros(1 << log2, np.int32)
     for r in got:
         out[r["k"] * part : (r["k"] + 1) * part] = np.frombuffer(r["n"], np.int32)
     return out
 
 
+def dealt(own: np.ndarray, at: np.ndarray, key: np.ndarray, freq: np.ndarray, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings (set, position, key) under keys of their own for each pair of blocks where a key is very common."""
+    blocks = np.maximum(freq // BLOCK_ROWS, 1).astype(np.int64)
+    if (blocks > 1).any():
+        mine = (mix(h1[own] ^ U(3)) % blocks.astype(U)).astype(np.int64)
+        other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        own, at, key, mine, blocks = (np.repeat(v, blocks) for v in (own, at, key, mine, blocks))
+        low, high = np.minimum(mine, other), np.maximum(mine, other)
+        key = np.where(blocks > 1, mix(key + (low * blocks + high).astype(U)), key)
+    return own, at, key
+
+
 class Seen:
     """Sets that a task has met, by hash, with the place of one of their lines; past ``SEEN`` it starts anew, which costs
     postings and loses nothing."""
@@ -167,13 +185,7 @@ def prefixes(docs: DataFrame, row_col: str, text_col: str, counts: np.ndarray, t
             shared = freq[pick] > 1
             own, at, pick = own[shared], at[shared], pick[shared]
             h, freq = h[pick], freq[pick]
-            blocks = np.maximum(freq // BLOCK_ROWS, 1).astype(np.int64)
-            if (blocks > 1).any():
-                mine = (mix(h1[own] ^ U(3)) % blocks.astype(U)).astype(np.int64)
-                other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                own, at, h, mine, blocks = (np.repeat(v, blocks) for v in (own, at, h, mine, blocks))
-                low, high = np.minimum(mine, other), np.maximum(mine, other)
-                h = np.where(blocks > 1, mix(h + (low * blocks + high).astype(U)), h)
+            own, at, h = dealt(own, at, h, freq, h1)
             h1[copy], h2[copy] = mix(row[copy].view(U) * U(31) + line[copy].astype(U)), 0
             return [row, line.astype(np.int32), np.where(copy, 0, n).astype(np.int32), signed(h1), signed(h2), signed(b1), signed(b2), np.bincount(own, minlength=len(n)), signed(h), at.astype(np.int32)]
 

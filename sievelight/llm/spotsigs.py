@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .line_dedup import later_matches, settled
+from .line_dedup import SKETCH_LOG2, dealt, later_matches, settled, sketch
 from .shared import WordHashes, discard, keyed, lists, map_batches, mix, release, signed, table, unused, written
 
 U = np.uint64
@@ -113,48 +113,72 @@ def in_order(docs: DataFrame, id_col: str, row_col: str, text_col: str, range_ro
     return rows.repartition(2 * ranges, F.col("range")).sortWithinPartitions(F.col("range"), F.col("guest"), F.col("id").desc_nulls_last(), F.col("row").desc(), F.col("text").isNotNull())
 
 
-def sets_in(docs: DataFrame, row_col: str, text_col: str, threshold: int, chain: int) -> DataFrame:
-    """Fingerprints as sets to join, one a row: row, line (0), n, h1 and h2 (hash of the set), b1 and b2 (parity bitmap), keys and at
-    (its prefix in the order of the signatures' hashes, and positions) and set (sorted signatures as bytes)."""
+def sets_in(docs: DataFrame, row_col: str, text_col: str, chain: int) -> DataFrame:
+    """(id, set): the sorted signatures of each row that has any, as bytes."""
 
     def each():
         spot = Spotter(chain)
 
-        def one(batch: pa.RecordBatch) -> dict | None:
-            found = [spot(t) for t in batch["text"].to_pylist()]
-            n = np.array([len(f) for f in found], np.int64)
-            some = np.flatnonzero(n)
-            if not len(some):
-                return None
-            n, flat = n[some], np.concatenate([found[k] for k in some.tolist()])
+        def one(batch: pa.RecordBatch) -> dict:
+            found = [spot(t).astype("<u4").tobytes() for t in batch["text"].to_pylist()]
+            some = pa.array([len(f) > 0 for f in found])
+            return {"id": batch["id"].filter(some), "set": pa.array(found, pa.binary()).filter(some)}
+
+        return one
+
+    rows = docs.select(F.col(row_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return map_batches(rows, each, "id long, set binary")
+
+
+def scattered(column: pa.Array) -> np.ndarray:
+    """64-bit hashes of the signatures of a column of sets."""
+    return mix(np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(U) + U(5))
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame:
+    """Fingerprints as sets to join, one a row: row, line (0), n, h1 and h2 (hash of the set), b1 and b2 (parity bitmap), keys and at
+    (its prefix in the order of rarity, and positions), and the set."""
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+    log2 = len(counts).bit_length() - 1
+
+    def each():
+        counts = sent.value
+
+        def one(batch: pa.RecordBatch) -> dict:
+            n = np.array([len(x) // 4 for x in batch["set"].to_pylist()], np.int64)
+            m = scattered(batch["set"])
             start = np.cumsum(n) - n
             of = np.repeat(np.arange(len(n)), n)
-            m = mix(flat.astype(U) + U(5))
             h1, h2 = np.add.reduceat(m, start), np.add.reduceat(mix(m + U(2)), start)
             bit = U(1) << (m & U(63))
             half = (m >> U(6)) & U(1) == 0
             b1, b2 = np.bitwise_xor.reduceat(np.where(half, bit, U(0)), start), np.bitwise_xor.reduceat(np.where(half, U(0), bit), start)
-            order = np.lexsort((m, of))
-            at = np.arange(len(flat)) - start[of]
-            # The nearest to a set of n signatures that is not the same has a likeness of n / (n + 1).
+            freq = counts[(m >> U(64 - log2)).astype(np.int64)]
+            order = np.lexsort((m, freq, of))
+            m, freq, at = m[order], freq[order], np.arange(len(m)) - start[of]
+            # The nearest to a set of n signatures that is not the same has a likeness of n / (n + 1); a signature seen once in all
+            # can't be shared.
             prefix = np.where(100 * n >= threshold * (n + 1), n - -(-threshold * n // 100) + 1, 0)
-            pick = at < prefix[of]
-            column = pa.array([found[k].astype("<u4").tobytes() for k in some.tolist()], pa.binary())
-            return {"row": batch["id"].take(pa.array(some)), "line": np.zeros(len(n), np.int32), "n": n.astype(np.int32), "h1": signed(h1), "h2": signed(h2), "b1": signed(b1), "b2": signed(b2), "keys": lists(signed(m[order][pick]), prefix, pa.int64()), "at": lists(at[pick].astype(np.int32), prefix, pa.int32()), "set": column}
+            pick = np.flatnonzero((at < prefix[of]) & (freq > 1))
+            own, at, keys = dealt(of[pick], at[pick], m[pick], freq[pick], h1)
+            count = np.bincount(own, minlength=len(n))
+            return {"row": batch["id"], "line": np.zeros(len(n), np.int32), "n": n.astype(np.int32), "h1": signed(h1), "h2": signed(h2), "b1": signed(b1), "b2": signed(b2), "keys": lists(signed(keys), count, pa.int64()), "at": lists(at.astype(np.int32), count, pa.int32()), "set": batch["set"]}
 
         return one
 
-    rows = docs.select(F.col(row_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_batches(rows, each, "row long, line int, n int, h1 long, h2 long, b1 long, b2 long, keys array<long>, at array<int>, set binary")
+    return map_batches(sets, each, "row long, line int, n int, h1 long, h2 long, b1 long, b2 long, keys array<long>, at array<int>, set binary")
 
 
 def near_duplicates(docs: DataFrame, row_col: str, text_col: str = "text", threshold: int = THRESHOLD, chain: int = CHAIN) -> DataFrame:
     """(row) of the documents whose fingerprint has a likeness of the threshold in per cent or more to that of an earlier row;
     ``row_col`` tells rows apart and gives their order. Equal fingerprints meet by a hash, and only the first of each goes on. It is
-    posted under its prefix; sets under one signature are sorted by length, each is compared with those alone whose length,
+    posted under the rarest signatures, its prefix; sets under one signature are sorted by length, each is compared with those alone whose length,
     signatures still to come and bitmap allow the threshold, and what is left is counted on the full sets. Texts without a
     signature match nothing."""
-    made = written(settled(sets_in(docs, row_col, text_col, threshold, chain)))
+    sets = written(sets_in(docs, row_col, text_col, chain))
+    counts = sketch(sets, "set", SKETCH_LOG2, lambda: scattered)
+    made = written(settled(prefixes(sets, counts, threshold)))
+    discard(sets)
     full = made.select("row", "line", "set")
     gone, more = later_matches(made, lambda wanted, side: full.join(side(wanted), ["row", "line"], "left_semi"), threshold, "<u4")
     out = written(made.where("copy").select("row").union(gone.select(F.col("xd").alias("row"))).distinct())
