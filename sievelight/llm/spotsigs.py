@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .line_dedup import SKETCH_LOG2, dealt, later_matches, settled, sketch
+from .line_dedup import SKETCH_LOG2, Seen, dealt, later_matches, settled, sketch
 from .shared import WordHashes, discard, keyed, lists, map_batches, mix, release, signed, table, unused, written
 
 U = np.uint64
@@ -137,12 +137,13 @@ def scattered(column: pa.Array) -> np.ndarray:
 
 def prefixes(sets: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame:
     """Fingerprints as sets to join, one a row: row, line (0), n, h1 and h2 (hash of the set), b1 and b2 (parity bitmap), keys and at
-    (its prefix in the order of rarity, and positions), and the set."""
+    (its prefix in the order of rarity, and positions), and the set. A row whose set this task has met in an earlier row has n = 0, a
+    hash of its own, and no keys."""
     sent = sets.sparkSession.sparkContext.broadcast(counts)
     log2 = len(counts).bit_length() - 1
 
     def each():
-        counts = sent.value
+        counts, seen = sent.value, Seen()
 
         def one(batch: pa.RecordBatch) -> dict:
             n = np.array([len(x) // 4 for x in batch["set"].to_pylist()], np.int64)
@@ -158,11 +159,14 @@ def prefixes(sets: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame:
             m, freq, at = m[order], freq[order], np.arange(len(m)) - start[of]
             # The nearest to a set of n signatures that is not the same has a likeness of n / (n + 1); a signature seen once in all
             # can't be shared.
-            prefix = np.where(100 * n >= threshold * (n + 1), n - -(-threshold * n // 100) + 1, 0)
+            row = batch["id"].to_numpy()
+            copy = seen.copies(h1, row, np.zeros(len(n), np.int64))  # settled here: many copies are one row a task
+            prefix = np.where(~copy & (100 * n >= threshold * (n + 1)), n - -(-threshold * n // 100) + 1, 0)
             pick = np.flatnonzero((at < prefix[of]) & (freq > 1))
             own, at, keys = dealt(of[pick], at[pick], m[pick], freq[pick], h1)
             count = np.bincount(own, minlength=len(n))
-            return {"row": batch["id"], "line": np.zeros(len(n), np.int32), "n": n.astype(np.int32), "h1": signed(h1), "h2": signed(h2), "b1": signed(b1), "b2": signed(b2), "keys": lists(signed(keys), count, pa.int64()), "at": lists(at.astype(np.int32), count, pa.int32()), "set": batch["set"]}
+            h1[copy], h2[copy] = mix(row[copy].view(U) * U(31)), 0
+            return {"row": batch["id"], "line": np.zeros(len(n), np.int32), "n": np.where(copy, 0, n).astype(np.int32), "h1": signed(h1), "h2": signed(h2), "b1": signed(b1), "b2": signed(b2), "keys": lists(signed(keys), count, pa.int64()), "at": lists(at.astype(np.int32), count, pa.int32()), "set": batch["set"]}
 
         return one
 
