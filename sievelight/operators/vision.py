@@ -14,8 +14,8 @@ CARD_MARGINS, PAD = (0.05, 0.07), 0.08
 
 
 def best_box(boxes: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    """The surest box of each page among the labels; of equals the first by place."""
-    w = Window.partitionBy("doc_id", "page").orderBy(F.col("conf").desc(), "x1", "y1", "x2", "y2")
+    """The surest box of each page among the labels; of equals the first by place, then by label, so that the order of rows is nothing."""
+    w = Window.partitionBy("doc_id", "page").orderBy(F.col("conf").desc(), "x1", "y1", "x2", "y2", "label")
     return boxes.where(F.col("label").isin(*labels)).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

@@ -118,6 +118,12 @@ def test_boxes_and_ocr_choice(spark):
     assert V.engines_used(results).first()["engines"] == ["a", "b", "c"]
 
 
+def test_equal_boxes_of_two_labels(spark):
+    rows = [(1, 0, label, 0.5, 1.0, 1.0, 9.0, 9.0) for label in ("id_card", "card")]
+    for order in (rows, rows[::-1]):
+        assert V.best_box(spark.createDataFrame(order, BOXES).coalesce(1), V.CARD_LABELS).first()["label"] == "card"
+
+
 def test_homography_round_trip(spark):
     box = F.struct(F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(60.0).alias("y1"))
     m, inverse = F.array(*map(F.lit, (2.0, 0.0, 1.0, 0.0, 4.0, -2.0, 0.0, 0.0, 1.0))), F.array(*map(F.lit, (0.5, 0.0, -0.5, 0.0, 0.25, 0.5, 0.0, 0.0, 1.0)))
