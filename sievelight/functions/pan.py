@@ -17,6 +17,9 @@ NOISE = rf"(?<![0-9])[{LOOKALIKE}](?![0-9])|[^0-9 \-{LOOKALIKE}]"
 SOME_DIGITS = "(?:[0-9][^0-9]*+){5}"
 SOME_STRICT = f"(?:[0-9{STRICT_LOOKALIKE}][ -]?+){{13}}"
 OPEN, CLOSE = "\x01", "\x02"
+#: Signs for look-alikes away from digits, which part digits but can still be told apart, and the shape of a number among them.
+GREEK = "αβγδεζηθικλ"
+CLEAN_PAN = rf"(?<![{SIGN}])[{SIGN}](?:[ \-*{GREEK}]*[{SIGN}]){{12,18}}(?![{SIGN}])"
 
 
 def plain(text: Column) -> Column:
@@ -50,6 +53,21 @@ def digits_of(candidate: Column, repair: bool = True) -> Column:
     return F.when(candidate.rlike("[*•]"), F.lit("")).otherwise(F.regexp_replace(fixed, "[^0-9]", ""))
 
 
+def cleaned(text: Column) -> Column:
+    """Same length; digits, spaces, hyphens, mask signs as stars, look-alikes as they are next to digits and else as Greek letters."""
+    out = F.translate(F.regexp_replace(text, rf"[^0-9 \-{LOOKALIKE}*•]", " "), LOOKALIKE + "•", GREEK + "*")
+    for letter, sign in zip(LOOKALIKE, GREEK):
+        out = F.regexp_replace(out, f"(?<=[0-9]){sign}|{sign}(?=[0-9])", letter)
+    return out
+
+
+def valid_numbers(clean: Column) -> Column:
+    """The numbers of a cleaned text that pass the checksum, as they stand there."""
+    digits = lambda m: F.regexp_replace(F.translate(m, LOOKALIKE + GREEK, LOOKALIKE_DIGITS * 2), "[^0-9]", "")
+    found = F.regexp_extract_all(clean, F.lit(CLEAN_PAN), F.lit(0))
+    return F.filter(found, lambda m: ~m.contains("*") & F.length(digits(m)).between(13, 19) & luhn(digits(m)))
+
+
 def candidates(text: Column, repair: bool = True) -> Column:
     """Card number candidates of a text: array of (start, length, digits) with 13 to 19 digits."""
     raw = plain(text)

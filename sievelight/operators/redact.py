@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pan
 from . import detectors
 
 
@@ -33,6 +34,14 @@ def remaining(redacted: DataFrame, detector: str = "card_pan", **options) -> Dat
     return found.groupBy("doc_id").agg(F.count_if(F.col("severity") == "hit").alias("hits_remaining"), F.count("*").alias("remaining"))
 
 
+def blanked_numbers(spans: DataFrame, sign: str = "█") -> DataFrame:
+    """(doc_id, hits, hits_remaining) of the documents with a valid card number: each number is blanked wherever its text stands in
+    the cleaned span, one after the other, and what is left is searched again. A blank parts the digits around it."""
+    rows = spans.where(F.col("text").rlike(pan.SOME_DIGITS)).select("doc_id", pan.cleaned(F.col("text")).alias("_c")).withColumn("_m", pan.valid_numbers(F.col("_c"))).where(F.size("_m") > 0)
+    left = F.aggregate("_m", F.col("_c"), lambda t, m: F.replace(t, m, F.repeat(F.lit(sign), F.length(m))))
+    return rows.groupBy("doc_id").agg(F.sum(F.size("_m")).cast("long").alias("hits"), F.sum(F.size(pan.valid_numbers(left))).cast("long").alias("hits_remaining"))
+
+
 def render_boxes(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Boxes to paint: detections with geometry on a page that exists, in page units, clamped to the page."""
     p = pages.select("doc_id", "page", "width", "height", "scale")
