@@ -210,56 +210,58 @@ def settled(lines: DataFrame) -> DataFrame:
     return lines.withColumn("copy", copy).select("row", "line", "n", "h1", "b1", "b2", *(F.when(F.col("copy"), None).otherwise(F.col(c)).alias(c) for c in lines.columns if c in ("keys", "at", "set")), "copy")
 
 
-def popcount(v: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(v.astype(U)).astype(np.int64)
-
-
 class Groups:
     """Candidates inside the groups of one key; rows come sorted by key and number of words."""
 
-    #: Group size from which each row is compared with all before it at once.
-    LARGE = 300
+    #: Pairs of rows that are compared at once, about.
+    LARGE = 1 << 16
 
     def __init__(self, threshold: int, limit: int):
         self.threshold, self.limit = threshold, limit
 
-    def near(self, r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the pairs of rows i and j those that may match, with the later line first, and the difference of their bitmaps."""
-        n, m = r["n"][i], r["n"][j]
-        least = need(n, m, self.threshold)
-        ok = np.flatnonzero(np.minimum(n - r["at"][i], m - r["at"][j]) >= least)
-        i, j, n, m, least = i[ok], j[ok], n[ok], m[ok], least[ok]
-        apart = popcount(r["b1"][i] ^ r["b1"][j]) + popcount(r["b2"][i] ^ r["b2"][j])
-        ok = (apart <= n + m - 2 * least) & ((r["h"][i] != r["h"][j]) | (n != m) | (apart > 0))
-        i, j, apart = i[ok], j[ok], apart[ok]
+    def ready(self, r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The rows with what each pair asks for: words from the place of the key on, unsigned bitmaps, and the greatest difference of
+        two bitmaps by the sum of both numbers of words."""
+        both = np.arange(2 * int(r["n"].max(initial=0)) + 1)
+        return r | {"left": r["n"] - r["at"], "b1": r["b1"].view(U), "b2": r["b2"].view(U), "most": both - 2 * need(both, 0, self.threshold)}
+
+    def near(self, r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs of rows i and j, of both words together, those that may match, with the later line first, and the difference of
+        their bitmaps. The bound by position is that of ``need`` without its division."""
+        ok = np.flatnonzero((100 + self.threshold) * np.minimum(r["left"][i], r["left"][j]) >= self.threshold * both)
+        i, j, both = i[ok], j[ok], both[ok]
+        apart = np.bitwise_count(r["b1"][i] ^ r["b1"][j]) + np.bitwise_count(r["b2"][i] ^ r["b2"][j])  # 128 at most
+        ok = np.flatnonzero(apart <= r["most"][both])
+        i, j, apart = i[ok], j[ok], apart[ok].astype(np.int64)
         di, dj, li, lj = r["row"][i], r["row"][j], r["line"][i], r["line"][j]
         later, same = (di > dj) | ((di == dj) & (li > lj)), (di == dj) & (li == lj)
+        other = (r["h"][i] != r["h"][j]) | (r["n"][i] != r["n"][j]) | (apart > 0)
         i, j = np.where(later, i, j), np.where(later, j, i)
-        ok = r["open"][i] & ~same
+        ok = r["open"][i] & ~same & other
         return i[ok], j[ok], apart[ok]
 
     def __call__(self, r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Later and earlier rows of the candidates, their bitmap difference, and whether the later one has more in its group."""
-        size = len(r["key"])
-        start = np.flatnonzero(np.r_[True, r["key"][1:] != r["key"][:-1]][:size])
-        length = np.diff(np.r_[start, size])
-        rank = np.arange(size) - np.repeat(start, length)
+        size, r, n = len(r["key"]), self.ready(r), r["n"]
+        # Each row meets those before it in its group from the first that is long enough; pairs of many rows are gone through at once.
+        group = np.cumsum(np.r_[False, r["key"][1:] != r["key"][:-1]][:size]) * (100 * (int(n.max(initial=0)) + 1))
+        from_ = np.searchsorted(group + 100 * n, group + self.threshold * n)
+        pairs = np.arange(size) - from_
+        total = np.cumsum(pairs)
         found: list[tuple[np.ndarray, ...]] = []
-        # Small groups: all rows with the row d places before, for every d.
-        at = np.flatnonzero(np.repeat(length < self.LARGE, length))
-        d = 1
-        while len(at := at[rank[at] >= d]):
-            at = at[100 * r["n"][at - d] >= self.threshold * r["n"][at]]  # those before are shorter still
-            found.append(self.near(r, at, at - d))
-            d += 1
-        for s, n in zip(start[length >= self.LARGE], length[length >= self.LARGE]):
-            waiting = []
-            from_ = s + np.searchsorted(r["n"][s : s + n] * 100, self.threshold * r["n"][s : s + n])
-            for i in range(s + 1, s + n):
-                waiting.append(self.near(r, np.full(i - from_[i - s], i), np.arange(from_[i - s], i)))
-                if sum(len(x[0]) for x in waiting) > 1_000_000:  # nothing but the nearest is needed of each
-                    waiting = [self.nearest(*(np.concatenate(x) for x in zip(*waiting)), self.limit + 1 if self.limit else 0)]
-            found += waiting
+        held, most, a = 0, 1_000_000, 0
+        while a < size:
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + self.LARGE, "right")))
+            count = pairs[a:b]
+            i = np.repeat(np.arange(a, b), count)
+            j = np.arange(len(i)) + np.repeat(from_[a:b] - (np.cumsum(count) - count), count)
+            found.append(self.near(r, i, j, n[i] + n[j]))
+            held += len(found[-1][0])
+            if self.limit and held > most:  # nothing but the nearest is needed of each
+                found = [self.nearest(*(np.concatenate(x) for x in zip(*found)), self.limit + 1)]
+                held = len(found[0][0])
+                most = held + 1_000_000
+            a = b
         if not found:
             return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
         i, j, apart = self.nearest(*(np.concatenate(x) for x in zip(*found)), self.limit + 1 if self.limit else 0)

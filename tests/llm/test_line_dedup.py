@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import sievelight.llm.line_dedup as m
@@ -133,3 +134,23 @@ def test_stage_takes_short_lines(spark):
     rows = [(1, "les.\none two"), (2, "all rights\nLES."), (3, "two one")]
     got = {r["doc_id"]: r["text"] for r in line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert got == {1: rows[0][1], 2: "all rights"}
+
+
+def test_rows_of_a_large_group_meet_in_bulk(monkeypatch):
+    """Pairs are compared many at once, so that a group of many rows doesn't cost a round of calls for each row."""
+    g = np.random.default_rng(3)
+    size, calls = 2_000, []
+    n = np.sort(g.integers(4, 120, size))
+    b1, b2 = g.integers(0, 2, size) << g.integers(0, 62, size), np.full(size, 7)
+    rows = {"key": np.zeros(size, np.int64), "row": g.permutation(size), "line": np.zeros(size, np.int64), "h": g.integers(0, 2**32, size), "n": n, "at": np.zeros(size, np.int64), "open": np.ones(size, bool), "b1": b1, "b2": b2}
+    near = m.Groups.near
+    monkeypatch.setattr(m.Groups, "near", lambda self, *a: calls.append(1) or near(self, *a))
+    i, j, _, _ = m.Groups(80, 0)(rows)
+    assert len(calls) < 100
+    wanted = set()
+    for x in range(size):
+        y = np.arange(x)
+        least = m.need(n[x], n[y], 80)
+        ok = (100 * n[y] >= 80 * n[x]) & (n[y] >= least) & (np.bitwise_count(b1[x] ^ b1[y]) <= n[x] + n[y] - 2 * least)
+        wanted |= {(x, k) if rows["row"][x] > rows["row"][k] else (k, x) for k in y[ok].tolist()}
+    assert set(zip(i.tolist(), j.tolist())) == wanted
