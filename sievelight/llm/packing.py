@@ -28,6 +28,8 @@ from .shared import chunks, lists, map_batches, mix, release, signed, table
 from .tokens import encoder, gathered
 
 LENGTHS, ATTENTION, GROUP_ROWS, GROUP_BYTES, LOOK_AHEAD, END = (512, 1024, 2048, 4096), 0.25, 8_000, 32 << 20, 6, 0
+#: Tokens of the sequences that go out at once, about: a whole group at once takes some hundred MB on both sides.
+TOKENS_A_BATCH = 1 << 18
 U = np.uint64
 
 
@@ -90,6 +92,8 @@ def encoded(docs: DataFrame, vocabulary: str, groups: int, id_col: str, text_col
                     h.append(key)
                     salt.append(seen[key])
                     seen[key] += 1
+                del flat, data, texts
+                release()
             h = np.array(h, U)
             return {"group": (mix(h + mix(np.array(salt, U))) % U(groups)).astype(np.int64), "doc_id": batch["id"], "h": signed(h), "ids": pa.array(found, pa.binary())}
 
@@ -102,11 +106,13 @@ def encoded(docs: DataFrame, vocabulary: str, groups: int, id_col: str, text_col
 SEQUENCES = "sequence long, capacity int, filled int, doc_ids array<long>, starts array<int>, counts array<int>, input_ids array<int>"
 
 
-def packed(group: int, doc_ids: pa.Array, h: np.ndarray, ids: list[bytes], kind: str, lengths: tuple[int, ...], attention: float) -> pa.RecordBatch:
-    """Sequences of one group."""
+def packed(group: int, doc_ids: pa.Array, h: np.ndarray, ids: pa.Array, kind: str, lengths: tuple[int, ...], attention: float) -> Iterator[pa.RecordBatch]:
+    """Sequences of one group, some at a time."""
     longest, width = max(lengths), np.dtype(kind).itemsize
-    flat = np.frombuffer(b"".join(ids), kind)
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+    ids = ids.cast(pa.large_binary())
+    bounds = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    flat = np.frombuffer(ids.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(kind)
+    size = np.diff(bounds) // width
     first = np.cumsum(size) - size
     count = -(-size // longest)
     of = np.repeat(np.arange(len(ids)), count)
@@ -118,11 +124,16 @@ def packed(group: int, doc_ids: pa.Array, h: np.ndarray, ids: list[bytes], kind:
     piece = order[place]
     parts = np.bincount(where, minlength=len(capacity))
     filled = np.bincount(np.array(where, np.int64), length[order], len(capacity)).astype(np.int64)
-    tokens = flat[gathered((first[of] + start)[piece], length[piece])].astype(np.int32)
-    columns = [pa.array(group * 2**31 + np.arange(len(capacity))), pa.array(capacity, pa.int32()), pa.array(filled.astype(np.int32))]
-    bounds = pa.array(np.r_[0, np.cumsum(parts)].astype(np.int32))
-    columns += [pa.ListArray.from_arrays(bounds, doc_ids.take(pa.array(of[piece]))), lists(start[piece].astype(np.int32), parts, pa.int32()), lists(length[piece].astype(np.int32), parts, pa.int32()), lists(tokens, filled, pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SEQUENCES.split(", ")])
+    ends, upto = np.cumsum(parts), np.cumsum(filled)
+    a = 0
+    while a < len(capacity):
+        b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + TOKENS_A_BATCH, "right")), a + 1)
+        some, n = piece[ends[a] - parts[a] : ends[b - 1]], parts[a:b]
+        tokens = flat[gathered((first[of] + start)[some], length[some])].astype(np.int32)
+        columns = [pa.array(group * 2**31 + np.arange(a, b)), pa.array(capacity[a:b], pa.int32()), pa.array(filled[a:b].astype(np.int32))]
+        columns += [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), doc_ids.take(pa.array(of[some]))), lists(start[some].astype(np.int32), n, pa.int32()), lists(length[some].astype(np.int32), n, pa.int32()), lists(tokens, filled[a:b], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SEQUENCES.split(", ")])
+        a = b
 
 
 def pack(docs: DataFrame, vocabulary: str, lengths: tuple[int, ...] = LENGTHS, attention: float = ATTENTION, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
@@ -134,22 +145,24 @@ def pack(docs: DataFrame, vocabulary: str, lengths: tuple[int, ...] = LENGTHS, a
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, held, group = encoder(vocabulary).kind, [], None
 
-        def out() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            return packed(group, rows["doc_id"].combine_chunks(), rows["h"].to_numpy(), rows["ids"].to_pylist(), kind, lengths, attention)
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            doc_ids, h, ids = rows["doc_id"].combine_chunks(), rows["h"].to_numpy(), rows["ids"].combine_chunks()
+            del rows
+            release()
+            yield from packed(group, doc_ids, h, ids, kind, lengths, attention)
 
         for batch in batches:
             own = batch["group"].to_numpy()
             edges = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if len(own) else []
             for a, b in zip(edges, edges[1:]):
                 if group is not None and own[a] != group:
-                    yield out()
-                    held = []
+                    yield from out()
                 group = int(own[a])
                 held.append(batch.slice(a, b - a))
         if held:
-            yield out()
-        held = []
+            yield from out()
         release()
 
     rows = encoded(docs, vocabulary, groups, id_col, text_col, end)

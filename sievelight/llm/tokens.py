@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 
 #: Segments that a worker remembers, and the longest one it does, in bytes: both bound its memory.
 REMEMBERED, LONGEST = 500_000, 32
-#: Characters that go to the library in one string, about.
-JOINED = 8_192
+#: Characters that go to the library in one string, and in one call, about, and segments that are joined at once: what the library
+#: returns takes some hundred bytes a token.
+JOINED, CALL, AT_ONCE = 8_192, 1 << 17, 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -109,12 +110,23 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and their number for each, by the library alone."""
-        made = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        counts = np.fromiter(map(len, made), np.int64, len(made))
-        return np.fromiter(chain.from_iterable(made), self.kind, int(counts.sum())), counts
+        flat, counts, start, size = [np.empty(0, self.kind)], [np.empty(0, np.int64)], 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= CALL or k + 1 == len(texts):
+                made = [e.ids for e in self.model.encode_batch_fast(texts[start : k + 1], add_special_tokens=False)]
+                counts.append(np.fromiter(map(len, made), np.int64, len(made)))
+                flat.append(np.fromiter(chain.from_iterable(made), self.kind, int(counts[-1].sum())))
+                start, size = k + 1, 0
+        return np.concatenate(flat), np.concatenate(counts)
 
     def segments(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As ``whole``, for segments, many joined to one string; the bytes of the ids tell where each ends."""
+        """As ``whole``, for segments."""
+        made = [self.joined(new.slice(a, AT_ONCE)) for a in range(0, len(new), AT_ONCE)]
+        return np.concatenate([flat for flat, _ in made]), np.concatenate([counts for _, counts in made])
+
+    def joined(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments, many joined to one string; the bytes of the ids tell where each ends."""
         put = new.cast(pa.large_string()).to_pylist()
         # A segment without white space before it gets a line feed, whose id goes again. One with white space at its end, which
         # would meet that of the next, stands last in its string.

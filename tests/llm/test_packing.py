@@ -4,9 +4,12 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from sievelight.llm.packing import best_fit, costs, pack
+from sievelight.llm import packing
+from sievelight.llm.packing import best_fit, costs, pack, packed
 
 P = pytest.importorskip("public_tokenizers")
 VOCABULARY = P.path("byte_bpe_50k.json")
@@ -57,6 +60,26 @@ def test_copies_are_dealt_out(spark):
     assert len(groups) > 20 and max(groups.values()) < 60
 
 
+def test_a_group_goes_out_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "TOKENS_A_BATCH", 100, raising=False)
+    rng = random.Random(4)
+    rows = [[rng.randrange(1, 2**16) for _ in range(rng.randrange(1, 200))] + [0] for _ in range(300)]
+    ids = pa.array([b"".join(t.to_bytes(2, "little") for t in r) for r in [[7], *rows]], pa.binary()).slice(1)
+    out = list(packed(3, pa.array(range(300)), np.arange(300, dtype=np.int64), ids, "<u2", (16, 64), 0.25))
+    assert len(out) > 100 and all(b.num_rows == 1 or sum(b["filled"].to_pylist()) <= 100 for b in out)
+    sequences = [s for b in out for s in b.to_pylist()]
+    assert [s["sequence"] for s in sequences] == [3 * 2**31 + k for k in range(len(sequences))]
+    pieces = {}
+    for s in sequences:
+        at = 0
+        for i, start, n in zip(s["doc_ids"], s["starts"], s["counts"]):
+            assert (i, start) not in pieces
+            pieces[i, start] = s["input_ids"][at : at + n]
+            at += n
+        assert at == s["filled"] == len(s["input_ids"]) <= s["capacity"]
+    assert [sum((pieces[i, a] for a in range(0, len(r), 64)), []) for i, r in enumerate(rows)] == rows
+
+
 def total(bins, lengths, attention):
     price = dict(zip(sorted(lengths), costs(tuple(sorted(lengths)), attention)))
     return sum(price[min(x for x in lengths if x >= b)] for b in bins)

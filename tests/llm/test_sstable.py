@@ -35,6 +35,26 @@ def test_encoder_equals_whole_texts(monkeypatch, kept):
             assert flat[bounds[k] : bounds[k + 1]].tolist() == reference(text), repr(text)
 
 
+def test_calls_of_the_library_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CALL", 1_000, raising=False)
+    monkeypatch.setattr(tokens, "AT_ONCE", 7, raising=False)
+    rng, encode = random.Random(6), tokens.Encoder(VOCABULARY)
+    texts = [" ".join(str(rng.randrange(10**9)) for _ in range(60)) + rng.choice(["", " ", "\n"]) for _ in range(40)]
+    calls, model = [], encode.model
+
+    class Counted:
+        def encode_batch_fast(self, some, **kind):
+            calls.append(sum(map(len, some)) - len(some[-1]))
+            return model.encode_batch_fast(some, **kind)
+
+    encode.model = Counted()
+    flat, bounds = encode(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    flat, counts = encode.whole(texts)
+    assert flat.tolist() == [i for t in texts for i in model.encode(t, add_special_tokens=False).ids] and len(counts) == 40
+    assert len(calls) > 40 and max(calls) < 1_000
+
+
 def test_special_token_is_one_as_the_library_does():
     flat, bounds = tokens.Encoder(VOCABULARY)(pa.array(["a <|endoftext|> b", "", "plain"]))
     assert flat[: bounds[1]].tolist() == [64, 220, 50256, 275] == plain()("a <|endoftext|> b") and bounds[1] == bounds[2]
