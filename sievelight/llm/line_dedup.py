@@ -7,9 +7,11 @@ takes part, unless ``least`` asks for more different words.
 1. Word frequencies go into a counting sketch of a fixed size, which orders words by rarity (any total order is exact).
 2. The first line of each set settles the others with that set: they are later matches of it. A task settles those of its own
    lines before anything moves, so a line that repeats everywhere is one row a task. Only first lines go on.
-3. Each first line is posted under the rarest words of its set, its prefix: two sets above the threshold share one. Under very
-   common words, postings are dealt to pairs of blocks, so that no word's group is unbounded. A set so small that no other set can
-   be near it (n / (n + 1) below the threshold) needs no posting: step 2 finds all its matches.
+3. Each first line is posted under the rarest words of its set, its prefix: two sets above the threshold share one. A common word
+   is posted together with each later word of a prefix longer by one instead, as such sets share two words there; so groups don't
+   grow with the table as its common words do. Postings are counted, and under keys that have very many are dealt to pairs of
+   blocks, so that no key's group is unbounded. A set so small that no other set can be near it (n / (n + 1) below the threshold)
+   needs no posting: step 2 finds all its matches.
 4. Inside a word's group, lines are sorted by length and compared by length, by position (the bound that holds where their first
    common word is) and by a parity bitmap (a lower bound of the sets' difference); each later line puts forward its nearest earlier
    lines, not all pairs.
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .shared import FlatWords, chunks, cleaning, discard, keyed, lists, map_batches, mix, release, signed, table, unused, written
 
 THRESHOLD, LEAST_WORDS, SKETCH_LOG2, BLOCK_ROWS, PUT_FORWARD = 80, 1, 21, 40_000, 16
+#: A word with more occurrences is common: it is posted in pairs, by sets of up to PAIRED words; longer ones are few.
+COMMON, PAIRED = 5_000, 200
 #: Bytes that are taken at once, which bounds a worker's memory; a longer text is taken whole.
 CHUNK_BYTES = 2 << 20
 #: Sets that a task remembers at least, to settle their copies by itself.
@@ -52,6 +56,11 @@ def hashes_of_words() -> Callable[[pa.Array], np.ndarray]:
     return lambda column: np.concatenate([flat(part).hashes for _, part in chunks(column, CHUNK_BYTES)] or [np.empty(0, U)])
 
 
+def hashes_of_keys() -> Callable[[pa.Array], np.ndarray]:
+    """All values of a column of lists of hashes."""
+    return lambda column: column.flatten().to_numpy(zero_copy_only=False).view(U)
+
+
 def sketch(rows: DataFrame, column: str, log2: int, hashes: Callable[[], Callable[[pa.Array], np.ndarray]] = hashes_of_words) -> np.ndarray:
     """Occurrences of words, by the leading bits of their hash; the size doesn't depend on the table. ``hashes`` is called once a
     task."""
@@ -84,9 +93,24 @@ def sketch(rows: DataFrame, column: str, log2: int, hashes: Callable[[], Callabl
     return out
 
 
-def dealt(own: np.ndarray, at: np.ndarray, key: np.ndarray, freq: np.ndarray, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Postings (set, position, key) under keys of their own for each pair of blocks where a key is very common."""
-    blocks = np.maximum(freq // BLOCK_ROWS, 1).astype(np.int64)
+def rarity(freq: np.ndarray) -> np.ndarray:
+    """Twelve bits that rise with the frequency at any size: the exponent and seven more bits of it."""
+    return (np.maximum(freq, 1).astype(np.float32).view(np.int32) >> 16) - (127 << 7)
+
+
+def paired(h: np.ndarray, start: np.ndarray, own: np.ndarray, at: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings (set, position, key) of the words at ``at`` together with each later one of their sets up to the place ``last``. Two
+    sets whose first common words these are have no more in common than one and what follows from the second on; the position
+    says so."""
+    count = np.maximum(last - at, 0)
+    own, at = np.repeat(own, count), np.repeat(at, count)
+    second = at + 1 + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    return own, second - 1, mix(h[start[own] + at] * U(31) + mix(h[start[own] + second] + U(9)))
+
+
+def dealt(own: np.ndarray, at: np.ndarray, key: np.ndarray, freq: np.ndarray, h1: np.ndarray, rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings (set, position, key) under keys of their own for each pair of blocks, of about ``rows``, where a key is very common."""
+    blocks = np.maximum(freq // rows, 1).astype(np.int64)
     if (blocks > 1).any():
         mine = (mix(h1[own] ^ U(3)) % blocks.astype(U)).astype(np.int64)
         other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -121,7 +145,7 @@ class Seen:
 
 def prefixes(docs: DataFrame, row_col: str, text_col: str, counts: np.ndarray, threshold: int, least: int) -> DataFrame:
     """Every line with enough words: row, line, n (different words), h1 and h2 (hash of the set), b1 and b2 (parity bitmap), keys
-    (of its prefix; several for a very common word) and at (their positions in the order). A line whose set this task has met in
+    (of its prefix; several for a common word) and at (their positions in the order). A line whose set this task has met in
     an earlier line has n = 0, hashes of its own, and no keys."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     log2 = int(len(counts)).bit_length() - 1
@@ -138,15 +162,15 @@ def prefixes(docs: DataFrame, row_col: str, text_col: str, counts: np.ndarray, t
             new = np.r_[True, (text[1:] != text[:-1]) | (line[1:] != line[:-1])]
             first, of = np.flatnonzero(new), np.cumsum(new) - 1
             text, line = text[first], line[first]
-            freq = np.minimum(counts[(h >> U(64 - log2)).astype(np.int64)], 2**20 - 1)
-            # Line, frequency and hash in one integer; the rare cases that it can't tell apart are sorted by all three.
-            key = (of.astype(U) << U(44)) | (np.minimum(freq, 4095).astype(U) << U(32)) | (h >> U(32))
+            freq = counts[(h >> U(64 - log2)).astype(np.int64)]
+            # Line, rarity and hash in one integer; the rare cases that it can't tell apart are sorted by all three.
+            key = (of.astype(U) << U(44)) | (rarity(freq).astype(U) << U(32)) | (h >> U(32))
             order = np.argsort(key)
             key, h, freq = key[order], h[order], freq[order]
             if len(first) >= 2**20 or ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
                 back = np.argsort(order)
                 h, freq = h[back], freq[back]
-                order = np.lexsort((h, np.minimum(freq, 4095), of))
+                order = np.lexsort((h, rarity(freq), of))
                 h, freq = h[order], freq[order]
                 of = of[order]
             else:
@@ -178,14 +202,24 @@ def prefixes(docs: DataFrame, row_col: str, text_col: str, counts: np.ndarray, t
                 half = (mine >> U(6)) & U(1) == 0
                 b1[~copy], b2[~copy] = np.bitwise_xor.reduceat(np.where(half, bit, U(0)), begin), np.bitwise_xor.reduceat(np.where(half, U(0), bit), begin)
             # A word seen once in all can't be shared.
-            prefix = np.where(post, n - -(-threshold * n // 100) + 1, 0)
+            least_common = -(-threshold * n // 100)
+            prefix = np.where(post, n - least_common + 1, 0)
             own = np.repeat(np.arange(len(n)), prefix)
             at = np.arange(len(own)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             pick = start[own] + at
             shared = freq[pick] > 1
             own, at, pick = own[shared], at[shared], pick[shared]
-            h, freq = h[pick], freq[pick]
-            own, at, h = dealt(own, at, h, freq, h1)
+            common = freq[pick] > COMMON
+            if common.any():
+                # Sets that may match with one common word, or one of which is too long for pairs, are posted under the word too.
+                alone = (least_common < 2) | (100 * n > threshold * PAIRED)
+                two, one = common & (n <= PAIRED)[own], ~common | alone[own]
+                o2, at2, h2_ = paired(h, start, own[two], at[two], np.minimum(n - least_common + 1, n - 1)[own[two]])
+                own, at, h = np.r_[own[one], o2], np.r_[at[one], at2], np.r_[h[pick[one]], h2_]
+                order = np.argsort(own, kind="stable")
+                own, at, h = own[order], at[order], h[order]
+            else:
+                h = h[pick]
             h1[copy], h2[copy] = mix(row[copy].view(U) * U(31) + line[copy].astype(U)), 0
             return [row, line.astype(np.int32), np.where(copy, 0, n).astype(np.int32), signed(h1), signed(h2), signed(b1), signed(b2), np.bincount(own, minlength=len(n)), signed(h), at.astype(np.int32)]
 
@@ -210,6 +244,28 @@ def settled(lines: DataFrame) -> DataFrame:
     return lines.withColumn("copy", copy).select("row", "line", "n", "h1", "b1", "b2", *(F.when(F.col("copy"), None).otherwise(F.col(c)).alias(c) for c in lines.columns if c in ("keys", "at", "set")), "copy")
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """The lines with their postings dealt to pairs of blocks under each key that has very many."""
+    counts = sketch(lines.where("keys is not null"), "keys", SKETCH_LOG2, hashes_of_keys)
+    if counts.max() < 2 * BLOCK_ROWS:
+        return lines
+    sent = lines.sparkSession.sparkContext.broadcast(counts)
+
+    def each():
+        def one(batch: pa.RecordBatch) -> dict:
+            keys = batch["keys"].flatten().to_numpy(zero_copy_only=False).view(U)
+            count = np.nan_to_num(batch["keys"].value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            at = batch["at"].flatten().to_numpy(zero_copy_only=False)
+            freq = sent.value[(keys >> U(64 - SKETCH_LOG2)).astype(np.int64)]
+            own, at, keys = dealt(np.repeat(np.arange(len(count)), count), at, keys, freq, batch["h1"].to_numpy(zero_copy_only=False).view(U), BLOCK_ROWS)
+            count = np.bincount(own, minlength=len(count))
+            return {c: batch[c] for c in batch.schema.names} | {"keys": lists(signed(keys), count, pa.int64()), "at": lists(at.astype(np.int32), count, pa.int32())}
+
+        return one
+
+    return map_batches(lines, each, lines.schema)
+
+
 class Groups:
     """Candidates inside the groups of one key; rows come sorted by key and number of words."""
 
@@ -409,7 +465,7 @@ def removals(docs: DataFrame, row_col: str = "doc_id", text_col: str = "text", t
     """(row, line) of the lines that go; lines count from 0. ``row_col`` tells rows apart and gives their order (see ``keyed``)."""
     counts = sketch(docs, text_col, SKETCH_LOG2)
     lines = written(settled(prefixes(docs, row_col, text_col, counts, threshold, least)))
-    gone, made = later_matches(lines, lambda wanted, side: sets_of(docs, wanted, row_col, text_col, side), threshold)
+    gone, made = later_matches(spread(lines), lambda wanted, side: sets_of(docs, wanted, row_col, text_col, side), threshold)
     out = written(lines.where("copy").select("row", "line").union(gone.withColumnsRenamed({"xd": "row", "xl": "line"})))
     for one in (lines, *made):
         discard(one)

@@ -77,6 +77,34 @@ def test_blocks_limits_and_large_groups(spark, monkeypatch):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)) == brute(rows)
 
 
+@pytest.mark.parametrize(("common", "paired", "rows"), [(1, 200, 40_000), (3, 30, 7), (10, 8, 7)])
+def test_common_words_are_posted_in_pairs(spark, monkeypatch, common, paired, rows):
+    for name, value in (("COMMON", common), ("PAIRED", paired), ("BLOCK_ROWS", rows)):
+        monkeypatch.setattr(m, name, value)
+    for docs in (corpus(6), short_corpus(7)):
+        assert result(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)
+    docs = short_corpus(8)[:40]
+    for threshold in (30, 50):
+        lines = [(d, k, s) for d, t in docs for k, x in enumerate(t.split("\n")) if (s := line_set(x))]
+        gone = {(i, k) for i, k, s in lines if any((j, q) < (i, k) and 100 * len(s & z) >= threshold * len(s | z) for j, q, z in lines)}
+        assert {tuple(r) for r in removals(spark.createDataFrame(docs, "doc_id long, text string"), threshold=threshold).collect()} == gone
+
+
+def test_groups_of_a_larger_table_stay_small(spark):
+    """The words of a table many times as large are as many times as frequent: prefixes must still take the rarest, and the lines
+    that meet must not grow with it."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 1) for k in range(3000)]
+    docs = spark.createDataFrame([(d, "\n".join(" ".join(rng.choices(vocabulary, weights, k=40)) for _ in range(5))) for d in range(300)], "doc_id long, text string")
+    counts = m.sketch(docs, "text", m.SKETCH_LOG2)
+
+    def pairs(counts):
+        return m.prefixes(docs, "doc_id", "text", counts, 80, 1).selectExpr("explode(keys) as k").groupBy("k").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+
+    assert pairs(np.minimum(counts.astype(np.int64) * 10_000, 2**31 - 1).astype(np.int32)) <= pairs(counts)
+
+
 def test_rows_without_an_id_of_their_own_lose_only_their_lines(spark):
     a, b = "alpha beta gamma delta epsilon", "another line of quite different words"
     for i in (None, 5):
